@@ -1,0 +1,5 @@
+"""Intentionally empty.
+
+The feature pipeline has no stream, watermark or stateful operator.  Late data is handled by rebuilding the
+current period in batch, see :func:`fieldgrid.sources.writers.materialize` and its ``refresh`` argument.
+"""
