@@ -175,6 +175,21 @@ def rolling_origin(
     return trained.unionByName(assessed)
 
 
+def rolling_origin_bounds(spark: SparkSession, n: int, initial: int, assess: int, skip: int) -> DataFrame:
+    """Rolling-origin folds over ``n`` ordered rows, as rank bounds: ``fold_id, train_to, assess_from, assess_to``.
+
+    A row of rank r trains fold i when ``r <= train_to``.  Ranks come from
+    :func:`fieldgrid.operators.ranks.row_numbers`; one row per fold, not per row and fold.
+    """
+    stops = spark.sql(f"SELECT posexplode(sequence({initial}L, greatest({n - assess}L, {initial}L), {skip + 1}L)) AS (i, stop)")
+    return stops.where(F.col("stop") <= n - assess).select(
+        (F.col("i") + 1).alias("fold_id"),
+        F.col("stop").alias("train_to"),
+        (F.col("stop") + 1).alias("assess_from"),
+        (F.col("stop") + assess).alias("assess_to"),
+    )
+
+
 def leave_location_out(data: DataFrame, location: str) -> DataFrame:
     """``location, inner_fold, inner_role``: each location is left out once (folds numbered in name order)."""
     places = data.select(location).distinct()

@@ -10,11 +10,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..operators.ranks import running_totals
+from ..session import cut
 from .folds import fold_rows
 
 METRICS = ("roc_auc", "pr_auc", "recall", "precision", "f_meas", "bal_accuracy")
@@ -170,8 +171,7 @@ def tune_grid(
             ids = {"outer_fold": F.lit(fold_id), "inner_fold": F.lit(inner_fold)}
             ids |= {p: F.lit(float(setting[p])) for p in PARAMETERS if p in setting}
             scored = predict(model, assess).select(label, "pred_1").withColumns(ids)
-            results.append(metrics_long(classification_metrics(scored, list(ids), label), list(ids)))
-        # Metrics were checkpointed while ranking, the fold's rows are not needed any more.
+            results.append(cut(metrics_long(classification_metrics(scored, list(ids), label), list(ids))))
         rows.unpersist()
     return reduce(DataFrame.unionByName, results)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,9 +84,11 @@ def parse_key_value_blocks(
     """``name=value`` lines to one row per block; a block opens at each ``opener`` line.
 
     ``text`` is the whole metadata listing of one file, so lines keep their order inside the row and blocks are
-    built per file.  Lines without ``=`` (band and metadata headings) are skipped.
+    built per file.  Band and metadata headings, lines without ``=`` and everything before the first block are
+    skipped.
     """
-    lines = df.select(*keys, F.posexplode(F.split(text, r"\r?\n")).alias("_pos", "_line")).where(F.contains("_line", F.lit("=")))
+    lines = df.select(*keys, F.posexplode(F.split(text, r"\r?\n")).alias("_pos", "_line"))
+    lines = lines.where(F.contains("_line", F.lit("=")) & ~F.rlike("_line", F.lit("^Band|BAND|Metadata|METADATA")))
     squish = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     cut_at = F.instr("_line", "=")
     pairs = lines.select(
@@ -95,11 +97,9 @@ def parse_key_value_blocks(
         squish(F.substring("_line", F.lit(1), cut_at - 1)).alias("_name"),
         squish(F.expr("substring(_line, instr(_line, '=') + 1)")).alias("_value"),
     )
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     blocks = pairs.withColumn("band", F.sum((F.col("_name") == opener).cast("int")).over(w))
-    return blocks.groupBy(*keys, "band").pivot("_name", list(names)).agg(F.first("_value"))
+    return blocks.where(F.col("band") > 0).groupBy(*keys, "band").pivot("_name", list(names)).agg(F.first("_value"))
 
 
 def grib_fields(meta: DataFrame) -> DataFrame:

@@ -29,11 +29,11 @@ def same_schema(frames: Sequence[DataFrame]) -> bool:
     return len(kinds) <= 1
 
 
-def missing_dates(df: DataFrame, date: str = "date") -> DataFrame:
-    """Days inside the covered range that no row has."""
-    bounds = df.agg(F.min(date).alias("a"), F.max(date).alias("b")).where(F.col("a").isNotNull())
-    days = bounds.select(F.explode(F.sequence("a", "b")).alias(date))
-    return days.join(df.select(date).distinct(), date, "left_anti")
+def missing_dates(df: DataFrame, date: str = "date", keys: Sequence[str] = ()) -> DataFrame:
+    """Days inside the covered range (of each key) that no row has."""
+    bounds = df.groupBy(*keys).agg(F.min(date).alias("_a"), F.max(date).alias("_b")).where(F.col("_a").isNotNull())
+    days = bounds.select(*keys, F.explode(F.sequence("_a", "_b")).alias(date))
+    return days.join(df.select(*keys, date).distinct(), [*keys, date], "left_anti")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
