@@ -163,7 +163,7 @@ def _(spark, d):
     """SELECT o_orderkey, CAST(b AS BIGINT) AS band, CAST(o_orderdate AS DATE) AS base_date, CAST(3e1 * b AS DOUBLE) AS lead_days,
       CAST(o_orderdate AS DATE) + CAST(30 * b AS INT) AS forecast_end_date, 'C' AS units, o_orderstatus AS var, '2T' AS var_id,
       CAST(date_diff('month', CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + CAST(30 * b AS INT)) - CASE WHEN day(CAST(o_orderdate AS DATE) + CAST(30 * b AS INT)) < day(o_orderdate)
-        AND CAST(o_orderdate AS DATE) + CAST(30 * b AS INT) <> last_day(CAST(o_orderdate AS DATE) + CAST(30 * b AS INT)) THEN 1 ELSE 0 END AS INT) AS lead_months
+        AND NOT (CAST(o_orderdate AS DATE) + CAST(30 * b AS INT) = last_day(CAST(o_orderdate AS DATE) + CAST(30 * b AS INT)) AND CAST(o_orderdate AS DATE) = last_day(CAST(o_orderdate AS DATE))) THEN 1 ELSE 0 END AS INT) AS lead_months
     FROM orders, (VALUES (1), (2)) AS t(b)""",
     "lead_days",
 )

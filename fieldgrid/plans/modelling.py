@@ -79,12 +79,12 @@ def _score_steps(scored: DataFrame, truth: str, score: str, group: Sequence[str]
     """Per distinct score, highest first: positives and negatives at it and at or above it, and the totals."""
     hit = F.col(truth).cast("int")
     steps = scored.groupBy(*group, score).agg(F.sum(hit).alias("_p"), F.sum(1 - hit).alias("_n"))
-    totals = steps.groupBy(*group).agg(F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
+    totals = steps.groupBy(*group).agg(F.sum("_p").alias("_pos_all"), F.sum("_n").alias("_neg_all"))
     running = running_totals(steps, [F.col(score).desc()], {"_cp": "_p", "_cn": "_n"}, group)
     if group:
         return running.join(totals, list(group))
-    both = totals.select(F.struct("_P", "_N")).scalar()
-    return running.withColumn("_t", both).select("*", "_t._P", "_t._N").drop("_t")
+    both = totals.select(F.struct("_pos_all", "_neg_all")).scalar()
+    return running.withColumn("_t", both).select("*", "_t._pos_all", "_t._neg_all").drop("_t")
 
 
 def classification_metrics(
@@ -100,10 +100,10 @@ def classification_metrics(
     up_to_prev_p, up_to_prev_n = F.col("_cp") - F.col("_p"), F.col("_cn") - F.col("_n")
     precision = F.try_divide(F.col("_cp").cast("double"), F.col("_cp") + F.col("_cn"))
     previous = F.coalesce(F.try_divide(up_to_prev_p.cast("double"), up_to_prev_p + up_to_prev_n), F.lit(1.0))
-    below = (F.col("_N") - F.col("_cn")) + F.col("_n") / 2
+    below = (F.col("_neg_all") - F.col("_cn")) + F.col("_n") / 2
     areas = steps.groupBy(*group).agg(
-        F.try_divide(F.sum(F.col("_p") * below), F.first("_P") * F.first("_N")).alias("roc_auc"),
-        F.sum(F.try_divide(F.col("_p").cast("double"), F.col("_P")) * (precision + previous) / 2).alias("pr_auc"),
+        F.try_divide(F.sum(F.col("_p") * below), F.first("_pos_all") * F.first("_neg_all")).alias("roc_auc"),
+        F.sum(F.try_divide(F.col("_p").cast("double"), F.col("_pos_all")) * (precision + previous) / 2).alias("pr_auc"),
     )
     yes, hit = F.col(score) >= threshold, F.col(truth).cast("int") == 1
     count = lambda rule: F.sum(rule.cast("int"))
@@ -136,8 +136,8 @@ def roc_curve(scored: DataFrame, truth: str = "outbreak", score: str = "pred_1",
     points = steps.select(
         *group,
         F.col(score).alias("threshold"),
-        F.try_divide((F.col("_N") - F.col("_cn")).cast("double"), F.col("_N")).alias("specificity"),
-        F.try_divide(F.col("_cp").cast("double"), F.col("_P")).alias("sensitivity"),
+        F.try_divide((F.col("_neg_all") - F.col("_cn")).cast("double"), F.col("_neg_all")).alias("specificity"),
+        F.try_divide(F.col("_cp").cast("double"), F.col("_pos_all")).alias("sensitivity"),
     )
     groups = scored.groupBy(*group).agg(F.count(F.lit(1)).alias("_k")) if group else scored.agg(F.count(F.lit(1)).alias("_k"))
     ends = F.array(
