@@ -182,7 +182,7 @@ LAGS = ("temperature", "relative_humidity")
     " ".join([*a.WEATHER, *[f"{c}_lag_{n}" for c in LAGS for n in (30, 60, 90)]]),
 )
 def _(spark, d):
-    return interval_lags(a.daily(spark, d), LAGS)
+    return interval_lags(a.daily(spark, d), LAGS, one_row_per_day=True)
 
 
 def sampled(spark, d):

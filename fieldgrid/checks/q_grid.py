@@ -116,9 +116,9 @@ def _(spark, d):
     return rasterize(a.regions(spark, d), a.grid_spec(spark, d))
 
 
-@query("G10_cell_regions", "SELECT ix, iy, region FROM cell_region WHERE (ix, iy) IN (SELECT (ix, iy) FROM daily)")
+@query("G10_cell_regions", "SELECT ix, iy, region FROM cell_region")
 def _(spark, d):
-    return cell_regions(a.daily(spark, d), a.regions(spark, d), a.grid_spec(spark, d))
+    return cell_regions(a.regions(spark, d), a.grid_spec(spark, d))
 
 
 @query(

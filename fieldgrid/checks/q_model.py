@@ -123,8 +123,8 @@ def _(spark, d):
 
 
 SETTINGS = [
-    {"trees": 3, "tree_depth": 2, "learn_rate": 0.3, "mtry": 2, "loss_reduction": 0.0},
-    {"trees": 5, "tree_depth": 3, "learn_rate": 0.1, "mtry": 3, "loss_reduction": 1e-4},
+    {"trees": 2, "tree_depth": 2, "learn_rate": 0.3, "mtry": 2, "loss_reduction": 0.0},
+    {"trees": 3, "tree_depth": 2, "learn_rate": 0.1, "mtry": 3, "loss_reduction": 1e-4},
 ]
 
 

@@ -43,13 +43,18 @@ def natural_join(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(step, frames)
 
 
-def natural_join_distinct(frames: Iterable[DataFrame]) -> DataFrame:
+def natural_join_distinct(frames: Iterable[DataFrame], colocate: Sequence[str] = ()) -> DataFrame:
     """``SELECT DISTINCT * .. NATURAL JOIN .. WHERE every column IS NOT NULL``.
 
     Distinct and the null rule are pushed into each input.  The result is the same set, because a natural join
-    keeps every column of its inputs, and duplicates cannot multiply in the join.
+    keeps every column of its inputs, and duplicates cannot multiply in the join; copies collapse before the
+    shuffle.  With ``colocate`` (columns all inputs share) every input is placed by those columns once, and all
+    joins, whatever their keys, run without moving the growing wide rows again.
     """
-    return natural_join([drop_incomplete(f).distinct() for f in frames])
+    parts = [drop_incomplete(f).distinct() for f in frames]
+    if colocate and all(set(colocate) <= set(p.columns) for p in parts):
+        parts = [p.repartition(*colocate) for p in parts]
+    return natural_join(parts)
 
 
 def union_or_natural(frames: Sequence[DataFrame]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
 from ..functions.geo import KM_PER_DEGREE, haversine_km
+from ..session import cut
 from .grid import GridSpec
 
 
@@ -90,17 +91,23 @@ def fill_nearest(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
 
     Values are taken as a property of the cell (and ``keys``): rows of one cell share the filled value.  A cell
     that already has a value on some row keeps the lowest one for its empty rows.
+
+    ``df`` is reduced to one row per cell for all columns together and that small table is materialised; the
+    search works on it, and one join brings the values back.
     """
     keys = list(keys)
-    out = df
+    place = [*keys, "ix", "iy"]
+    cells = cut(df.groupBy(*place).agg(*[F.min(quoted(c)).alias(c) for c in columns]))
+    values = cells
     for c in columns:
-        cells = df.groupBy(*keys, "ix", "iy").agg(F.min(quoted(c)).alias(c), F.max(quoted(c).isNull()).alias("_gap"))
-        donors = cells.where(quoted(c).isNotNull()).drop("_gap")
-        holes = cells.where(quoted(c).isNull()).select(*keys, "ix", "iy")
-        own = cells.where(quoted(c).isNotNull() & F.col("_gap")).drop("_gap")
-        filled = nearest_donors(holes, donors, c, keys).unionByName(own).withColumnRenamed(c, "_fill")
-        out = out.join(filled, [*keys, "ix", "iy"], "left")
-        out = out.withColumn(c, F.coalesce(quoted(c), F.col("_fill"))).drop("_fill")
+        donors = cells.where(quoted(c).isNotNull()).select(*place, quoted(c).alias(c))
+        holes = cells.where(quoted(c).isNull()).select(*place)
+        found = nearest_donors(holes, donors, c, keys).withColumnRenamed(c, "_found")
+        values = values.join(found, place, "left")
+        values = values.withColumn(c, F.coalesce(quoted(c), F.col("_found"))).drop("_found")
+    values = values.withColumnsRenamed({c: f"_fill_{i}" for i, c in enumerate(columns)})
+    out = df.join(values, place, "left")
+    out = out.withColumns({c: F.coalesce(quoted(c), F.col(f"_fill_{i}")) for i, c in enumerate(columns)})
     return out.select(*[quoted(c) for c in df.columns])
 
 

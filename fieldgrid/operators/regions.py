@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.aggregates import spec_aggregates
+from ..session import broadcast_if_small
 from .grid import GridSpec
 
+# A cell -> region row is two integers and a name (about 60 bytes), so this many rows stay near 100 MB.
+MAX_BROADCAST_CELLS = 2_000_000
+
 
 def regions_from_rings(rings: DataFrame, region: str = "region", ring: str = "ring") -> DataFrame:
     """One row per ring (parts and holes) to one row per region with all its edges and its bounding box."""
@@ -93,18 +97,22 @@ def match_points(
 
 
 def cell_regions(
-    df: DataFrame, regions: DataFrame, grid: GridSpec, region: str = "region", boundary: bool = True, tile: float = 1.0
+    regions: DataFrame, grid: GridSpec, region: str = "region", boundary: bool = True, tile: float = 1.0
 ) -> DataFrame:
-    """``ix, iy, region`` for the distinct cells of ``df``: the polygon test runs once per cell, not per row."""
-    cells = grid.with_centres(df.select("ix", "iy").distinct())
+    """``ix, iy, region`` for the cells of a grid: the polygon test runs once per cell, not per row or date."""
+    cells = grid.cells(regions.sparkSession)
     return match_points(cells, regions, "x", "y", region, boundary, tile).select("ix", "iy", region)
 
 
 def mask_to_regions(
     df: DataFrame, regions: DataFrame, grid: GridSpec, region: str = "region", boundary: bool = True
 ) -> DataFrame:
-    """Keep rows whose cell centre lies in a region and add the region name."""
-    return df.join(cell_regions(df, regions, grid, region, boundary), ["ix", "iy"], "inner")
+    """Keep rows whose cell centre lies in a region and add the region name.
+
+    ``df`` is read once.  The cell map is broadcast when its counted size allows, so masking is a narrow step.
+    """
+    lookup = broadcast_if_small(cell_regions(regions, grid, region, boundary), MAX_BROADCAST_CELLS)
+    return df.join(lookup, ["ix", "iy"], "inner")
 
 
 def rasterize(regions: DataFrame, grid: GridSpec, region: str = "region") -> DataFrame:

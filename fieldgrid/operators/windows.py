@@ -70,11 +70,13 @@ def interval_lags(
     group_cols: Sequence[str] = ("ix", "iy"),
     agg: str = "avg",
     suffix: str = "lag",
+    one_row_per_day: bool = False,
 ) -> DataFrame:
     """Aggregate each column over earlier day ranges of the same group: ``{column}_{suffix}_{far}``.
 
     Rows are first reduced to one partial aggregate per group and day, so the ordered frame holds at most one row
-    per calendar day; the result is joined back to the rows on (group, day).
+    per calendar day; the result is joined back to the rows on (group, day).  ``one_row_per_day`` states that the
+    rows are unique per group and day already: the frames then run on them directly, with a single shuffle.
     """
     missing = [c for c in columns if c not in df.columns]
     if missing:
@@ -91,7 +93,12 @@ def interval_lags(
             parts.append(F.count(c).alias(f"_n_{c}"))
         if agg in ("min", "max"):
             parts.append(aggregate_named(agg)(F.col(c)).alias(f"_s_{c}"))
-    daily = df.groupBy(*keys).agg(*parts)
+    if one_row_per_day:
+        own = {f"_s_{c}": F.col(c) for c in columns}
+        own |= {f"_n_{c}": F.col(c).isNotNull().cast("long") for c in columns}
+        daily = df.withColumns(own)
+    else:
+        daily = df.groupBy(*keys).agg(*parts)
     w = Window.partitionBy(*group_cols).orderBy(F.unix_date(date_col))
     out = {}
     for c in columns:
@@ -106,7 +113,10 @@ def interval_lags(
             else:
                 value = aggregate_named(agg)(F.col(f"_s_{c}")).over(frame)
             out[f"{c}_{suffix}_{far}"] = value
-    lags = daily.withColumns(out).select(*keys, *out)
+    lags = daily.withColumns(out)
+    if one_row_per_day:
+        return lags.select(*df.columns, *out)
+    lags = lags.select(*keys, *out)
     return df.join(lags, keys, "left")
 
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import CELL
 from ..functions.columns import relocate
 from ..operators.joins import join_or_zero, natural_join, natural_join_distinct, shared_columns, union_or_natural
 from ..sources.validation import assert_nulls_only_in
@@ -30,7 +31,7 @@ def assemble_predictors(
         frames.append(df)
     # Static layers (fewest columns in common with the others) join last, onto already reduced rows.
     frames.sort(key=lambda f: "date" not in f.columns)
-    return natural_join_distinct(frames)
+    return natural_join_distinct(frames, CELL)
 
 
 def join_layers(static: Sequence[DataFrame], dynamic: Sequence[DataFrame], nulls_allowed: str = "scaled") -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions.aggregates import mean
 from ..functions.columns import columns_matching, quoted, recode, relocate
 from ..operators.joins import join_or_zero, previous_available
 from ..operators.nearest import fill_nearest
+from ..session import cut
 
 # Drainage classes from excessively to very poorly drained.
 DRAINAGE_ORDER = {"E": 1, "SE": 2, "W": 3, "MW": 4, "I": 5, "P": 6, "VP": 7}
@@ -28,6 +29,7 @@ def lag_means_by_available_dates(
     buckets: Sequence[tuple[int, int]] = ((30, 1), (60, 31), (90, 61)),
     keys: Sequence[str] = ("ix", "iy"),
     date: str = "date",
+    available: DataFrame | None = None,
 ) -> DataFrame:
     """Means of each column over the sampled dates in ``[date - far, date - near]``: ``{column}_{far}``.
 
@@ -37,16 +39,18 @@ def lag_means_by_available_dates(
     * A NULL among the rows of a bucket makes its mean NULL.
 
     One shuffle: rows become daily sums per key, and bucket means and fallback values are frames of one ordering.
-    Which buckets are empty depends on the calendar of distinct dates only, a small table joined by date.
+    Which buckets are empty depends on the calendar of distinct dates only, a small table joined by date.  It is
+    taken from ``available`` or, by one pass over the date column, from ``df``.
     """
     keys = list(keys)
-    calendar = df.select(date).distinct().withColumn("_n", F.unix_date(date))
+    days = cut((df if available is None else available).select(date).distinct())
+    calendar = days.withColumn("_n", F.unix_date(date))
     w = Window.orderBy("_n")
     nears = [near for _, near in buckets]
     calendar = calendar.withColumns(
         {f"_filled_{far}": F.count(F.lit(1)).over(w.rangeBetween(-far, -near)) > 0 for far, near in buckets}
     ).drop("_n")
-    calendar = calendar.join(previous_available(df, nears, date), date)
+    calendar = calendar.join(previous_available(days, nears, date), date)
     rule: Column = F.lit(True)
     for near in nears:
         rule = rule & F.col(f"before_{near}").isNotNull()
@@ -112,7 +116,8 @@ def district_features(
     soil = [c for c in ("soil_drainage", "soil_texture") if c in static.columns]
     if soil:
         static = impute_soil(static, soil)
-    rows = static.join(lags, [*keys, "date"], "inner")
+    # The lags come out placed by cell and region; placing the static side likewise joins them where they are.
+    rows = static.repartition(*keys).join(lags, [*keys, "date"], "inner")
     labels = response.groupBy("ix", "iy", "date", "forecast_interval").agg(F.sum("cases").alias("cases"))
     rows = join_or_zero(rows, labels, ["ix", "iy", "date", "forecast_interval"], ["cases"])
     group = [region_col, "date", "forecast_interval"]

@@ -85,12 +85,12 @@ def interval_segments(dates: DataFrame, breaks: Sequence[int]) -> DataFrame:
 
 def _segment_sums(clim: DataFrame, segments: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Sums and counts of the daily climatology over each distinct segment, per cell."""
-    distinct = segments.select("first_doy", "last_doy").distinct()
+    distinct = segments.select("first_doy", "last_doy").distinct()  # at most 6,000 pairs of days in one month
     days = distinct.withColumn("doy", F.explode(F.sequence("first_doy", "last_doy")))
     sums = [F.sum(c).alias(f"_s_{c}") for c in columns] + [F.count(c).alias(f"_n_{c}") for c in columns]
     return (
         clim.select(*keys, "doy", *columns)
-        .join(days, "doy")
+        .join(F.broadcast(days), "doy")  # bounded by the calendar: < 6,000 day pairs x 31 days, under 5 MB
         .groupBy(*keys, "first_doy", "last_doy")
         .agg(F.count(F.lit(1)).alias("_days"), *sums)
     )
@@ -111,11 +111,16 @@ def forecast_anomalies(
     segment's climatology depends on two days of year only, and is summed once per cell for all dates that share
     it; the forecast is constant inside a segment, so its daily mean is a mean weighted by the segment's days.
     The scaled anomaly divides by the mean of the daily deviations.
+
+    Climatology (one row per cell and day of year) and forecast (one per cell, issue and lead) are placed by cell
+    once; the segment sums, the forecast join and the final mean then stay inside the cell's partition.
     """
     keys = list(keys)
+    issued = forecast.select("base_date")
+    clim, forecast = clim.repartition(*keys), forecast.repartition(*keys)
     sds = [f"{c}_sd" for c in value_cols]
     segments = interval_segments(dates, breaks)
-    issues = latest_at_or_before(dates, forecast)
+    issues = latest_at_or_before(dates, issued)
     segments = segments.join(issues, "date")  # calendar x calendar
     sums = _segment_sums(clim, segments, [*value_cols, *sds], keys)
     cells = sums.join(segments, ["first_doy", "last_doy"])

@@ -162,17 +162,21 @@ def tune_grid(
 
     The loop runs over folds and settings; every fit and every scoring is a distributed job on the fold's rows.
     """
+    ids = ["outer_fold", "inner_fold", *[p for p in PARAMETERS if p in params[0]]]
     results = []
     for fold_id, inner_fold in folds:
         rows = fold_rows(data, outer, fold_id, inner, inner_fold, region_col).persist()
         train, assess = rows.where(F.col("inner_role") == "train"), rows.where(F.col("inner_role") == "assess")
+        scored = []
         for setting in params:
             model = boosted_trees(features, setting, label, seed=seed).fit(train)
-            ids = {"outer_fold": F.lit(fold_id), "inner_fold": F.lit(inner_fold)}
-            ids |= {p: F.lit(float(setting[p])) for p in PARAMETERS if p in setting}
-            scored = predict(model, assess).select(label, "pred_1").withColumns(ids)
-            results.append(cut(metrics_long(classification_metrics(scored, list(ids), label), list(ids))))
+            values = {"outer_fold": F.lit(fold_id), "inner_fold": F.lit(inner_fold)}
+            values |= {p: F.lit(float(setting[p])) for p in ids[2:]}
+            scored.append(predict(model, assess).select(label, "pred_1").withColumns(values))
+        # All settings of a fold are scored in one job and ranked in one job.
+        all_scored = cut(reduce(DataFrame.unionByName, scored))
         rows.unpersist()
+        results.append(metrics_long(classification_metrics(all_scored, ids, label), ids))
     return reduce(DataFrame.unionByName, results)
 
 

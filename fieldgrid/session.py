@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that every plan in this package is written for.  They are Spark's own run-time settings, so they
 # can equally be given to spark-submit.
@@ -48,3 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so it survives executor loss and is computed once."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Materialise a lookup table, count it, and mark it for broadcast only when it has at most ``max_rows`` rows.
+
+    Beyond that the caller's equi join shuffles, and adaptive execution splits its skewed partitions.
+    """
+    stored = cut(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
