@@ -160,46 +160,49 @@ def recorded_anomalies(
 ) -> DataFrame:
     """What was recorded over each interval: mean of the daily values minus mean of the daily climatology.
 
-    The recorded mean is NULL when a day of the cell is NULL.  Cells known to only one side are kept.
+    One row per cell of the climatology, date and interval.  The recorded mean is NULL when a day of the cell is
+    NULL or the cell has no day in the interval.
+
+    Days are summed per cell and placed by cell; each day then meets the (date, interval) pairs of the calendar
+    that cover it inside that partition, so the fan-out feeds the aggregate without being shuffled.
     """
     keys = list(keys)
-    table = interval_table(dates.sparkSession, breaks)
-    spans = with_dates(table, dates).withColumnRenamed("date", "model_date")
-    days = spans.withColumn(
-        "date", F.explode(F.sequence(F.expr("date_add(model_date, lo)"), F.expr("date_add(model_date, hi - 1)")))
-    )
-    observed = daily.groupBy(*keys, "date").agg(
+    observed = daily.groupBy(*keys, F.col("date").alias("_seen")).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(c).alias(f"_s_{c}") for c in value_cols],
         *[F.count(c).alias(f"_n_{c}") for c in value_cols],
     )
-    group = [*keys, "model_date", "hi"]
-    seen = observed.join(days.select("model_date", "hi", "date"), "date").groupBy(*group).agg(
-        *[
-            F.when(F.sum(f"_n_{c}") == F.sum("_rows"), F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}"))).alias(f"_r_{c}")
-            for c in value_cols
-        ]
+    calendar = with_dates(interval_table(dates.sparkSession, breaks), dates).withColumn(
+        "_seen", F.explode(F.sequence(F.date_add("date", F.col("lo")), F.date_add("date", F.col("hi") - 1)))
     )
-    segments = interval_segments(dates, breaks)
+    seen = (
+        observed.repartition(*keys)
+        .join(calendar.drop("lo"), "_seen")
+        .groupBy(*keys, "date", "hi")
+        .agg(
+            *[
+                F.when(F.sum(f"_n_{c}") == F.sum("_rows"), F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}"))).alias(f"_r_{c}")
+                for c in value_cols
+            ]
+        )
+    )
+    clim = clim.repartition(*keys)
     sds = [f"{c}_sd" for c in value_cols]
+    segments = interval_segments(dates, breaks)
+    group = [*keys, "date", "hi"]
     normal = (
         _segment_sums(clim, segments, [*value_cols, *sds], keys)
-        .join(segments.withColumnRenamed("date", "model_date"), ["first_doy", "last_doy"])
+        .join(segments, ["first_doy", "last_doy"])
         .groupBy(*group)
         .agg(*[F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}")).alias(f"_h_{c}") for c in [*value_cols, *sds]])
     )
-    both = seen.join(normal, group, "full")
+    both = normal.join(seen, group, "left")
     built = {}
     for c in value_cols:
         diff = F.col(f"_r_{c}") - F.col(f"_h_{c}")
         built[f"anomaly_recorded_{c}"] = diff
         built[f"anomaly_recorded_scaled_{c}"] = ratio(diff, F.col(f"_h_{c}_sd"))
-    return both.select(
-        *keys,
-        F.col("model_date").alias("date"),
-        F.col("hi").alias("forecast_interval"),
-        *[v.alias(k) for k, v in built.items()],
-    )
+    return both.select(*keys, "date", F.col("hi").alias("forecast_interval"), *[v.alias(k) for k, v in built.items()])
 
 
 def validate_forecast(
