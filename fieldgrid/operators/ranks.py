@@ -81,3 +81,23 @@ def running_totals(
     out = out.join(carried, ["_range", *group])
     out = out.withColumns({n: F.col(f"_i_{n}") + F.col(f"_c_{n}") for n in sums})
     return out.drop("_range", "_row", *[f"_i_{n}" for n in sums], *[f"_c_{n}" for n in sums])
+
+
+def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
+    """Exact interpolated quantiles in one row, ``q<prob>`` per probability; NULLs are skipped.
+
+    Values are counted, ordered by ranges and accumulated; each quantile is then the smallest value whose running
+    count passes its position.  No task holds all values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    steps = running_totals(counts, [column], {"_upto": "_n"})
+    total = steps.agg(F.max("_upto")).scalar()
+    steps = steps.withColumn("_all", total)
+    out = []
+    for p in probs:
+        at = (F.col("_all") - 1) * F.lit(float(p))
+        low = F.min(F.when(F.col("_upto") > F.floor(at), F.col(column)))
+        high = F.min(F.when(F.col("_upto") > F.ceil(at), F.col(column)))
+        share = F.max(at - F.floor(at))
+        out.append((low + (high - low) * share).alias(f"q{p}"))
+    return steps.agg(*out)

@@ -114,8 +114,10 @@ def outbreak_history(
     ``0 < age`` and ``years < max_years``.  Only events strictly before the date are used.
 
     Events at one place and day are merged first; each then touches the cells in reach once, for all dates.  The
-    time decay factorises, so a date's value is a day-range sum over the cell's daily impulses: no date x event
-    pairs are built.
+    time decay factorises, so per cell and day one impulse is enough.  An impulse starts to count the day after,
+    turns old, and expires; recent and old pressure are differences of the running totals of these three moments.
+    The totals add the same terms in the same order, so a window without events gives exactly 0.  Work is linear in
+    impulses plus cell-days asked for: no date x event pairs and no sliding frames.
     """
     weight = F.when(F.col("cases").isNull(), F.lit(1.0)).otherwise(F.log10(F.col("cases") + F.lit(1.0)))
     merged = outbreaks.where(F.col("start_date").isNotNull()).groupBy("longitude", "latitude", "start_date").agg(
@@ -126,28 +128,34 @@ def outbreak_history(
         F.sum(F.col("_cw") * F.col("w")).alias("_w")
     )
     decay = F.lit(beta_time / DAYS_PER_YEAR)
-    impulses = impulses.withColumn("_w", F.col("_w") * F.exp(decay * (F.col("_day") - F.lit(_ANCHOR))))
+    oldest = math.ceil(max_years * DAYS_PER_YEAR) - 1  # last age in days that counts
+    split = min(math.ceil(recent * DAYS_PER_YEAR) - 1, oldest)  # last age that is still recent
+    scaled = F.col("_w") * F.exp(decay * (F.col("_day") - F.lit(_ANCHOR)))
+    none = F.lit(None).cast("double")
+    moments = F.array(
+        *[
+            F.struct(
+                (F.col("_day") + age).alias("_day"), *[(scaled if i == k else none).alias(f"_m{i}") for i in range(3)]
+            )
+            for k, age in enumerate((1, split + 1, oldest + 1))
+        ]
+    )
+    impulses = impulses.select("ix", "iy", F.inline(moments))
     cells = (cells if cells is not None else grid.cells(dates.sparkSession)).select("ix", "iy")
     asked = with_dates(cells, dates).withColumn("_day", F.unix_date("date"))
     both = asked.unionByName(impulses, allowMissingColumns=True)
-    w = Window.partitionBy("ix", "iy").orderBy("_day")
-    split = math.ceil(recent * DAYS_PER_YEAR) - 1  # last age in days that is still recent
-    oldest = math.ceil(max_years * DAYS_PER_YEAR) - 1
-    split = min(split, oldest)
+    upto = Window.partitionBy("ix", "iy").orderBy("_day").rangeBetween(Window.unboundedPreceding, 0)
+    total_at = [F.coalesce(F.sum(f"_m{i}").over(upto), F.lit(0.0)) for i in range(3)]
+    both = both.withColumns({f"_t{i}": total_at[i] for i in range(3)}).where(F.col("date").isNotNull())
     back = F.exp(-decay * (F.col("_day") - F.lit(_ANCHOR)))
-
-    def pressure(far: int, near_: int):
-        if far < near_:
-            return F.lit(0.0)
-        return F.coalesce(F.sum("_w").over(w.rangeBetween(-far, -near_)) * back, F.lit(0.0))
-
-    out = both.withColumns(
-        {
-            "outbreak_history_weight_recent": pressure(split, 1),
-            "outbreak_history_weight_old": pressure(oldest, max(split + 1, 1)),
-        }
-    ).where(F.col("date").isNotNull())
-    out = with_date_parts(out)
+    out = with_date_parts(
+        both.withColumns(
+            {
+                "outbreak_history_weight_recent": (F.col("_t0") - F.col("_t1")) * back,
+                "outbreak_history_weight_old": (F.col("_t1") - F.col("_t2")) * back,
+            }
+        )
+    )
     return out.select(
         "ix", "iy", "date", "doy", "month", "year", "outbreak_history_weight_recent", "outbreak_history_weight_old"
     )

@@ -60,14 +60,21 @@ def missing_keys(
 
 
 def materialize(
-    df: DataFrame, path: str, keys: Sequence[str], overwrite: bool = False, refresh: Column | None = None
+    df: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    overwrite: bool = False,
+    refresh: Column | None = None,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Write the partitions of ``df`` that are not stored yet, and return the whole stored dataset.
 
     ``refresh`` is a rule on the keys naming the periods that are always rebuilt.  Stored partitions outside the
-    rebuilt keys are not touched (dynamic partition overwrite).
+    rebuilt keys are not touched (dynamic partition overwrite).  ``wanted`` names the keys to have (say, the model
+    dates); without it they are read from ``df``, one pass more.  The semi join on the missing keys is pushed below
+    aggregates on those keys, so stored periods are not computed again.
     """
-    todo = missing_keys(df, path, keys, refresh, overwrite)
+    todo = missing_keys(df if wanted is None else wanted, path, keys, refresh, overwrite)
     write_parquet(df.join(todo, list(keys), "left_semi"), path, keys)
     return df.sparkSession.read.schema(_stored_schema(df, keys)).parquet(path)
 
