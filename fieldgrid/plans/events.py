@@ -15,6 +15,7 @@ from ..operators.nearest import cells_within
 from ..operators.ranks import row_numbers
 from ..operators.regions import match_points
 from ..operators.windows import with_group_stats
+from ..session import spread
 
 DAYS_PER_YEAR = 365.25
 _ANCHOR = 10957  # 2000-01-01 as a day number; keeps the decay exponents small
@@ -119,17 +120,21 @@ def outbreak_history(
     The totals add the same terms in the same order, so a window without events gives exactly 0.  Work is linear in
     impulses plus cell-days asked for: no date x event pairs and no sliding frames.
     """
-    weight = F.when(F.col("cases").isNull(), F.lit(1.0)).otherwise(F.log10(F.col("cases") + F.lit(1.0)))
-    merged = outbreaks.where(F.col("start_date").isNotNull()).groupBy("longitude", "latitude", "start_date").agg(
-        F.sum(weight).alias("_cw")
-    )
-    near = distance_weights(merged, grid, within_km, beta_dist)
-    impulses = near.groupBy("ix", "iy", F.unix_date("start_date").alias("_day")).agg(
-        F.sum(F.col("_cw") * F.col("w")).alias("_w")
-    )
     decay = F.lit(beta_time / DAYS_PER_YEAR)
     oldest = math.ceil(max_years * DAYS_PER_YEAR) - 1  # last age in days that counts
     split = min(math.ceil(recent * DAYS_PER_YEAR) - 1, oldest)  # last age that is still recent
+    first_day = dates.agg(F.unix_date(F.min("date"))).scalar()
+    last_day = dates.agg(F.unix_date(F.max("date"))).scalar()
+    weight = F.when(F.col("cases").isNull(), F.lit(1.0)).otherwise(F.log10(F.col("cases") + F.lit(1.0)))
+    day = F.unix_date("start_date")
+    in_reach = outbreaks.where((day < last_day) & (day >= first_day - F.lit(oldest)))
+    merged = in_reach.groupBy("longitude", "latitude", "start_date").agg(F.sum(weight).alias("_cw"))
+    merged = spread(merged, "longitude", "latitude", "start_date")  # each event becomes thousands of cells
+    near = distance_weights(merged, grid, within_km, beta_dist).select(
+        "ix", "iy", day.alias("_day"), (F.col("_cw") * F.col("w")).alias("_w")
+    )
+    # Placed by cell once: daily impulses, their moments and the running totals all stay there.
+    impulses = spread(near, "ix", "iy").groupBy("ix", "iy", "_day").agg(F.sum("_w").alias("_w"))
     scaled = F.col("_w") * F.exp(decay * (F.col("_day") - F.lit(_ANCHOR)))
     none = F.lit(None).cast("double")
     moments = F.array(
@@ -140,9 +145,9 @@ def outbreak_history(
             for k, age in enumerate((1, split + 1, oldest + 1))
         ]
     )
-    impulses = impulses.select("ix", "iy", F.inline(moments))
+    impulses = impulses.select("ix", "iy", F.inline(moments)).where(F.col("_day") <= last_day)
     cells = (cells if cells is not None else grid.cells(dates.sparkSession)).select("ix", "iy")
-    asked = with_dates(cells, dates).withColumn("_day", F.unix_date("date"))
+    asked = with_dates(spread(cells, "ix", "iy"), dates).withColumn("_day", F.unix_date("date"))
     both = asked.unionByName(impulses, allowMissingColumns=True)
     upto = Window.partitionBy("ix", "iy").orderBy("_day").rangeBetween(Window.unboundedPreceding, 0)
     total_at = [F.coalesce(F.sum(f"_m{i}").over(upto), F.lit(0.0)) for i in range(3)]

@@ -58,3 +58,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """
     stored = cut(df)
     return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Place rows by ``columns`` on the full number of shuffle partitions.
+
+    For small tables that fan out next: with an explicit number, adaptive execution does not merge the partitions
+    by their present size, which says nothing about the rows they are about to produce.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
