@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import CELL
 from ..functions.columns import relocate
 from ..operators.joins import join_or_zero, natural_join, natural_join_distinct, shared_columns, union_or_natural
+from ..session import calendar_side
 from ..sources.validation import assert_nulls_only_in
 
 
@@ -22,16 +22,16 @@ def assemble_predictors(
     Frames of one source are stacked when their schemas agree and naturally joined when they differ.  Sources with
     a ``date`` column are limited to ``dates`` before any shuffle; all dates are built in one job.
     """
-    wanted = None if dates is None else dates.select("date").distinct()
-    frames = []
+    wanted = None if dates is None else calendar_side(dates.select("date").distinct())
+    dynamic, static = [], []
     for parts in sources.values():
         df = union_or_natural([parts] if isinstance(parts, DataFrame) else list(parts))
-        if wanted is not None and "date" in df.columns:
-            df = df.join(wanted, "date", "left_semi")
-        frames.append(df)
-    # Static layers (fewest columns in common with the others) join last, onto already reduced rows.
-    frames.sort(key=lambda f: "date" not in f.columns)
-    return natural_join_distinct(frames, CELL)
+        if "date" not in df.columns:
+            static.append(df)
+        else:
+            dynamic.append(df if wanted is None else df.join(wanted, "date", "left_semi"))
+    # Static layers are joined among themselves first (one row per cell), so the wide daily rows meet them once.
+    return natural_join([natural_join_distinct(group) for group in (dynamic, static) if group])
 
 
 def join_layers(static: Sequence[DataFrame], dynamic: Sequence[DataFrame], nulls_allowed: str = "scaled") -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions.dates import expand_range, with_date_parts
 from ..operators.joins import join_all
 from ..operators.nearest import fill_nearest
 from ..operators.windows import interval_ends, interval_gaps
+from ..session import calendar_side
 
 
 def climatology(
@@ -56,7 +57,7 @@ def anomalies(
     keys = list(keys)
     rows = daily.select(*keys, "date", *value_cols)
     if dates is not None:
-        rows = rows.join(dates.select("date").distinct(), "date", "left_semi")
+        rows = rows.join(calendar_side(dates.select("date").distinct()), "date", "left_semi")
     rows = with_date_parts(rows)
     ref = clim.select(*keys, "doy", *value_cols, *[f"{c}_sd" for c in value_cols])
     if drop_null:

@@ -12,7 +12,7 @@ from ..functions.aggregates import mean
 from ..functions.columns import columns_matching, quoted, recode, relocate
 from ..operators.joins import join_or_zero, previous_available
 from ..operators.nearest import fill_nearest
-from ..session import cut
+from ..session import calendar_side, cut
 
 # Drainage classes from excessively to very poorly drained.
 DRAINAGE_ORDER = {"E": 1, "SE": 2, "W": 3, "MW": 4, "I": 5, "P": 6, "VP": 7}
@@ -63,7 +63,7 @@ def lag_means_by_available_dates(
     )
     per_cell = Window.partitionBy(*keys).orderBy(F.unix_date(date))
     whole = F.struct(F.col(date).alias("d"), F.col("_rows").alias("r"), *[F.col(f"_{p}_{c}") for c in columns for p in "sn"])
-    cells = daily.join(calendar, date)
+    cells = daily.join(calendar_side(calendar), date)
     frames = {}
     for far, near in buckets:
         inside = per_cell.rangeBetween(-far, -near)
@@ -116,8 +116,7 @@ def district_features(
     soil = [c for c in ("soil_drainage", "soil_texture") if c in static.columns]
     if soil:
         static = impute_soil(static, soil)
-    # The lags come out placed by cell and region; placing the static side likewise joins them where they are.
-    rows = static.repartition(*keys).join(lags, [*keys, "date"], "inner")
+    rows = static.join(lags, [*keys, "date"], "inner")
     labels = response.groupBy("ix", "iy", "date", "forecast_interval").agg(F.sum("cases").alias("cases"))
     rows = join_or_zero(rows, labels, ["ix", "iy", "date", "forecast_interval"], ["cases"])
     group = [region_col, "date", "forecast_interval"]

@@ -15,7 +15,7 @@ from ..operators.nearest import cells_within
 from ..operators.ranks import row_numbers
 from ..operators.regions import match_points
 from ..operators.windows import with_group_stats
-from ..session import spread
+from ..session import calendar_side, spread
 
 DAYS_PER_YEAR = 365.25
 _ANCHOR = 10957  # 2000-01-01 as a day number; keeps the decay exponents small
@@ -67,7 +67,7 @@ def outbreak_response(outbreaks: DataFrame, grid: GridSpec, dates: DataFrame, br
     calendar = spans.withColumn(
         "start_date", F.explode(F.sequence(F.expr("date_add(date, lo)"), F.expr("date_add(date, hi - 1)")))
     )
-    out = daily.join(calendar, "start_date").groupBy("ix", "iy", "date", F.col("hi").alias("forecast_interval"), "lo").agg(
+    out = daily.join(calendar_side(calendar), "start_date").groupBy("ix", "iy", "date", F.col("hi").alias("forecast_interval"), "lo").agg(
         total(F.col("cases")).cast("double").alias("cases")
     )
     return out.select(
@@ -89,7 +89,7 @@ def outbreak_flag(outbreaks: DataFrame, regions: DataFrame, dates: DataFrame, lo
     days = dates.select("date").distinct().withColumn(
         "start_date", F.explode(F.sequence(F.date_add("date", lo), F.date_add("date", hi)))
     )
-    return starts.join(days, "start_date").select("date", region).distinct().withColumn(f"outbreak_{hi}", F.lit(True))
+    return starts.join(calendar_side(days), "start_date").select("date", region).distinct().withColumn(f"outbreak_{hi}", F.lit(True))
 
 
 def distance_weights(outbreaks: DataFrame, grid: GridSpec, within_km: float = 500.0, beta_dist: float = 0.01) -> DataFrame:

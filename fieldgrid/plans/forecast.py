@@ -13,6 +13,7 @@ from ..functions.columns import ratio
 from ..functions.dates import interval_table, whole_months, with_date_parts
 from ..operators.grid import with_dates
 from ..operators.joins import latest_at_or_before
+from ..session import calendar_side, spread
 
 WEATHER = ("temperature", "precipitation", "relative_humidity")
 
@@ -31,34 +32,44 @@ def normalize_forecast(members: DataFrame, keys: Sequence[str] = CELL) -> DataFr
 
     ``units == "C"`` marks temperatures (labelled Celsius, delivered in Kelvin); an empty unit marks the
     precipitation rate.  The lead month is the month of the day before ``forecast_end_date``.
-    The pivot is a conditional aggregate over the fixed list of variables, not a distinct scan.
+
+    Ensemble statistics and the spread to one column per variable are the same aggregate, conditional on the
+    variable: members are combined before the only shuffle and no pivot pass follows.
     """
-    stats = ensemble_stats(members, keys)
-    is_temperature = F.col("units") == "C"
-    fixed = stats.select(
+    names = ("temperature", "dewpoint", "precipitation")
+    aggregates = []
+    for v in names:
+        here = F.when(F.col("variable") == v, F.col("value"))
+        aggregates += [
+            F.avg(here).alias(f"_m_{v}"),
+            F.stddev_samp(here).alias(f"_s_{v}"),
+            F.max(F.when(F.col("variable") == v, F.col("units"))).alias(f"_u_{v}"),
+        ]
+    stats = members.groupBy(*keys, "base_date", "forecast_end_date").agg(*aggregates)
+
+    def mean_of(v: str):
+        m = F.col(f"_m_{v}")
+        return F.when(F.col(f"_u_{v}") == "C", m - F.lit(KELVIN_OFFSET)).otherwise(rate_to_mm_per_day(m))
+
+    def sd_of(v: str):
+        sd = F.col(f"_s_{v}")
+        return F.when(F.col(f"_u_{v}") == "", rate_to_mm_per_day(sd)).otherwise(sd)
+
+    t, d = mean_of("temperature"), mean_of("dewpoint")
+    last_day = F.date_sub("forecast_end_date", 1)
+    return stats.select(
         *keys,
         "base_date",
         F.month("base_date").alias("month"),
         F.year("base_date").alias("year"),
-        F.month(F.date_sub("forecast_end_date", 1)).alias("lead_month"),
-        F.year(F.date_sub("forecast_end_date", 1)).alias("lead_year"),
-        "variable",
-        F.when(is_temperature, F.col("mean") - F.lit(KELVIN_OFFSET)).otherwise(rate_to_mm_per_day(F.col("mean"))).alias("mean"),
-        F.when(F.col("units") == "", rate_to_mm_per_day(F.col("sd"))).otherwise(F.col("sd")).alias("sd"),
-    )
-    ids = [*keys, "base_date", "month", "year", "lead_month", "lead_year"]
-    wide = fixed.groupBy(*ids).pivot("variable", ["temperature", "dewpoint", "precipitation"]).agg(
-        F.first("mean").alias("mean"), F.first("sd").alias("sd")
-    )
-    t, d = F.col("temperature_mean"), F.col("dewpoint_mean")
-    return wide.select(
-        *ids,
+        F.month(last_day).alias("lead_month"),
+        F.year(last_day).alias("lead_year"),
         t.alias("temperature"),
-        F.col("precipitation_mean").alias("precipitation"),
+        mean_of("precipitation").alias("precipitation"),
         relative_humidity(t, d).alias("relative_humidity"),
-        "temperature_sd",
-        "precipitation_sd",
-        relative_humidity_sd(t, F.col("temperature_sd"), d, F.col("dewpoint_sd")).alias("relative_humidity_sd"),
+        sd_of("temperature").alias("temperature_sd"),
+        sd_of("precipitation").alias("precipitation_sd"),
+        relative_humidity_sd(t, sd_of("temperature"), d, sd_of("dewpoint")).alias("relative_humidity_sd"),
     )
 
 
@@ -113,25 +124,31 @@ def forecast_anomalies(
     The scaled anomaly divides by the mean of the daily deviations.
 
     Climatology (one row per cell and day of year) and forecast (one per cell, issue and lead) are placed by cell
-    once; the segment sums, the forecast join and the final mean then stay inside the cell's partition.
+    once.  The calendar is broadcast behind a size check, and the two sides meet in a union grouped by segment
+    instead of a join on cell, issue and month, so nothing that has been multiplied by dates is shuffled.
     """
     keys = list(keys)
-    issued = forecast.select("base_date")
-    clim, forecast = clim.repartition(*keys), forecast.repartition(*keys)
     sds = [f"{c}_sd" for c in value_cols]
-    segments = interval_segments(dates, breaks)
-    issues = latest_at_or_before(dates, issued)
-    segments = segments.join(issues, "date")  # calendar x calendar
-    sums = _segment_sums(clim, segments, [*value_cols, *sds], keys)
-    cells = sums.join(segments, ["first_doy", "last_doy"])
-    lead = forecast.select(
+    issues = latest_at_or_before(dates, forecast.select("base_date"))
+    segments = calendar_side(interval_segments(dates, breaks).join(issues, "date"))
+    part = [*keys, "date", "hi", "year", "month"]
+    sums = _segment_sums(spread(clim, *keys), segments, [*value_cols, *sds], keys)
+    normal = sums.join(segments, ["first_doy", "last_doy"]).drop("first_doy", "last_doy", "lo", "base_date")
+    lead = spread(forecast, *keys).select(
         *keys,
         "base_date",
         F.col("lead_month").alias("month"),
         F.col("lead_year").alias("year"),
         *[F.col(c).alias(f"_f_{c}") for c in value_cols],
     )
-    joined = cells.join(lead, [*keys, "base_date", "month", "year"], "left")
+    lead = lead.join(segments, ["base_date", "month", "year"]).select(*part, *[f"_f_{c}" for c in value_cols])
+    measured = [c for c in [*normal.columns, *lead.columns] if c.startswith("_")]
+    joined = (
+        normal.unionByName(lead, allowMissingColumns=True)
+        .groupBy(*part)
+        .agg(*[F.max(c).alias(c) for c in measured])  # at most one row per side
+        .where(F.col("_days").isNotNull())
+    )
     agg = []
     for c in value_cols:
         known = F.when(F.col(f"_f_{c}").isNotNull(), F.col("_days"))
@@ -176,8 +193,8 @@ def recorded_anomalies(
         "_seen", F.explode(F.sequence(F.date_add("date", F.col("lo")), F.date_add("date", F.col("hi") - 1)))
     )
     seen = (
-        observed.repartition(*keys)
-        .join(calendar.drop("lo"), "_seen")
+        spread(observed, *keys)
+        .join(calendar_side(calendar.drop("lo")), "_seen")
         .groupBy(*keys, "date", "hi")
         .agg(
             *[
@@ -186,17 +203,23 @@ def recorded_anomalies(
             ]
         )
     )
-    clim = clim.repartition(*keys)
     sds = [f"{c}_sd" for c in value_cols]
-    segments = interval_segments(dates, breaks)
+    segments = calendar_side(interval_segments(dates, breaks))
     group = [*keys, "date", "hi"]
     normal = (
-        _segment_sums(clim, segments, [*value_cols, *sds], keys)
+        _segment_sums(spread(clim, *keys), segments, [*value_cols, *sds], keys)
         .join(segments, ["first_doy", "last_doy"])
         .groupBy(*group)
         .agg(*[F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}")).alias(f"_h_{c}") for c in [*value_cols, *sds]])
     )
-    both = normal.join(seen, group, "left")
+    measured = [c for c in [*normal.columns, *seen.columns] if c.startswith("_")]
+    both = (
+        normal.withColumn("_known", F.lit(True))
+        .unionByName(seen, allowMissingColumns=True)
+        .groupBy(*group)
+        .agg(*[F.max(c).alias(c) for c in measured], F.max("_known").alias("_known"))
+        .where("_known")
+    )
     built = {}
     for c in value_cols:
         diff = F.col(f"_r_{c}") - F.col(f"_h_{c}")
@@ -221,7 +244,7 @@ def validate_forecast(
     columns, ``end`` being the last day of the interval; otherwise one row per interval.
     """
     keys = list(keys)
-    wanted = forecast_anom.join(dates.select("date").distinct(), "date", "left_semi")
+    wanted = forecast_anom.join(calendar_side(dates.select("date").distinct()), "date", "left_semi")
     recorded = recorded_anomalies(daily, clim, dates, breaks, value_cols, keys)
     joined = wanted.join(recorded, [*keys, "date", "forecast_interval"], "left")
     built = {}

@@ -60,6 +60,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= max_rows else stored
 
 
+# Calendar tables hold dates x intervals x days.  Two million rows of dates and small integers are about 50 MB.
+MAX_CALENDAR_ROWS = 2_000_000
+
+
+def calendar_side(df: DataFrame) -> DataFrame:
+    """A date table for joining: computed once and broadcast when its counted size allows.
+
+    Its estimate is useless to the planner (dates are often a distinct over a huge table), and a shuffle by date
+    would move the data side for nothing.
+    """
+    return broadcast_if_small(df, MAX_CALENDAR_ROWS)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Place rows by ``columns`` on the full number of shuffle partitions.
 
