@@ -17,6 +17,8 @@ from .grid import GridSpec
 
 # A cell -> region row is two integers and a name (about 60 bytes), so this many rows stay near 100 MB.
 MAX_BROADCAST_CELLS = 2_000_000
+# Four doubles per edge: about 64 MB.
+MAX_BROADCAST_EDGES = 2_000_000
 
 
 def regions_from_rings(rings: DataFrame, region: str = "region", ring: str = "ring") -> DataFrame:
@@ -76,13 +78,16 @@ def match_points(
 ) -> DataFrame:
     """Inner point-in-polygon join; a point in several regions gives several rows.
 
-    An equi join on tiles, then the bounding box, then the exact test, all in the join condition.
+    An equi join on tiles, then the bounding box, then the exact test, all in the join condition.  The tiled
+    outlines are broadcast when their counted edges allow, so the points stay where they are and a tile that
+    holds a large share of them is no hot spot.
     """
     size = F.lit(float(tile))
     placed = points.withColumns(
         {"_tx": F.floor(F.col(x) / size).cast("int"), "_ty": F.floor(F.col(y) / size).cast("int")}
     )
-    cut_regions = _tiled(regions, region, tile).withColumnsRenamed({"_tx": "_rx", "_ty": "_ry"})
+    tiled = _tiled(regions, region, tile).withColumnsRenamed({"_tx": "_rx", "_ty": "_ry"})
+    tiled = broadcast_if_small(tiled, MAX_BROADCAST_EDGES, F.size("_edges"))
     b = F.col("_bbox")
     rule = (
         (F.col("_tx") == F.col("_rx"))
@@ -93,7 +98,7 @@ def match_points(
         & (F.col(y) <= b["ymax"])
         & geo.point_in_edges(F.col("_edges"), F.col(x), F.col(y), boundary)
     )
-    return placed.join(cut_regions, rule, "inner").drop("_tx", "_ty", "_rx", "_ry", "_bbox", "_edges")
+    return placed.join(tiled, rule, "inner").drop("_tx", "_ty", "_rx", "_ry", "_bbox", "_edges")
 
 
 def cell_regions(

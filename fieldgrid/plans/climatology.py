@@ -15,7 +15,7 @@ from ..functions.dates import expand_range, with_date_parts
 from ..operators.joins import join_all
 from ..operators.nearest import fill_nearest
 from ..operators.windows import interval_ends, interval_gaps
-from ..session import calendar_side
+from ..session import calendar_side, spread
 
 
 def climatology(
@@ -88,9 +88,19 @@ def own_anomalies(
 
 
 def expand_composites(
-    df: DataFrame, source: str | None = None, start: str = "start_date", end: str = "end_date"
+    df: DataFrame,
+    source: str | None = None,
+    start: str = "start_date",
+    end: str = "end_date",
+    place: Sequence[str] = CELL,
 ) -> DataFrame:
-    """Step function to daily rows: the composite value holds on every day of ``[start, end]``."""
+    """Step function to daily rows: the composite value holds on every day of ``[start, end]``.
+
+    Composites are placed by cell before they are repeated, so that grouping the many daily rows by cell and day
+    (:func:`fuse_sources`) needs no second shuffle.
+    """
+    if place:
+        df = spread(df, *place)
     out = with_date_parts(expand_range(df, start, end), "date")
     out = out.drop(start, end)
     return out if source is None else out.withColumn("source", F.lit(source))

@@ -102,16 +102,18 @@ def district_features(
     region_col: str = "region",
     buckets: Sequence[tuple[int, int]] = ((30, 1), (60, 31), (90, 61)),
     drop: Sequence[str] = ("slope", "aspect"),
+    dates: DataFrame | None = None,
 ) -> DataFrame:
     """Region-masked predictors to the training table, one row per district, date and forecast interval.
 
     Soil is imputed, recorded anomalies are replaced by their lags, cases are joined (0 where absent), and every
     numeric column is averaged over the district's cells; a NULL cell makes that district's mean NULL.
-    ``outbreak`` is 1 when the mean of cases is above 0.
+    ``outbreak`` is 1 when the mean of cases is above 0.  ``dates`` names the sampled dates of ``df`` when they are
+    known, which saves reading them from it.
     """
     keys = ["ix", "iy", region_col]
     lagging = lag_columns(df)
-    lags = lag_means_by_available_dates(df.select(*keys, "date", *lagging), lagging, buckets, keys)
+    lags = lag_means_by_available_dates(df.select(*keys, "date", *lagging), lagging, buckets, keys, available=dates)
     static = df.drop(*lagging, *[c for c in drop if c in df.columns])
     soil = [c for c in ("soil_drainage", "soil_texture") if c in static.columns]
     if soil:

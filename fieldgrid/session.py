@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Settings that every plan in this package is written for.  They are Spark's own run-time settings, so they
@@ -51,13 +51,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Materialise a lookup table, count it, and mark it for broadcast only when it has at most ``max_rows`` rows.
+def broadcast_if_small(df: DataFrame, limit: int, weight: Column | None = None) -> DataFrame:
+    """Materialise a lookup table, measure it, and mark it for broadcast only when it is within ``limit``.
 
-    Beyond that the caller's equi join shuffles, and adaptive execution splits its skewed partitions.
+    The measure is the number of rows, or the sum of ``weight`` when rows hold arrays.  Beyond the limit the caller's
+    equi join shuffles, and adaptive execution splits its skewed partitions.
     """
     stored = cut(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    size = stored.count() if weight is None else stored.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(stored) if size <= limit else stored
 
 
 # Calendar tables hold dates x intervals x days.  Two million rows of dates and small integers are about 50 MB.

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_parquet(
@@ -38,10 +39,10 @@ def write_parquet(
     return path
 
 
-def existing_keys(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
-    """Distinct partition keys already stored under ``path``; ``None`` when nothing readable is there."""
+def existing_keys(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """Distinct partition keys stored under ``path``, read with the given types; ``None`` when nothing is there."""
     try:
-        return spark.read.parquet(path).select(*keys).distinct()
+        return spark.read.schema(schema).parquet(path).distinct()
     except AnalysisException:
         return None
 
@@ -51,7 +52,7 @@ def missing_keys(
 ) -> DataFrame:
     """Wanted keys that still have to be built: not stored yet, or matched by ``refresh`` (the current period)."""
     wanted = wanted.select(*keys).distinct()
-    stored = None if overwrite else existing_keys(wanted.sparkSession, path, keys)
+    stored = None if overwrite else existing_keys(wanted.sparkSession, path, wanted.schema)
     if stored is None:
         return wanted
     if refresh is not None:
@@ -79,8 +80,6 @@ def materialize(
     return df.sparkSession.read.schema(_stored_schema(df, keys)).parquet(path)
 
 
-def _stored_schema(df: DataFrame, keys: Sequence[str]):
-    from pyspark.sql import types as T
-
+def _stored_schema(df: DataFrame, keys: Sequence[str]) -> StructType:
     names = [c for c in df.columns if c not in keys] + list(keys)
-    return T.StructType([df.schema[n] for n in names])
+    return StructType([df.schema[n] for n in names])

@@ -518,3 +518,61 @@ def test_parameter_grid_fills_the_space():
     grid = modelling.parameter_grid(100, 8, seed=4)
     assert len(grid) == 100 and {p["mtry"] for p in grid} == set(range(1, 9))
     assert grid == modelling.parameter_grid(100, 8, seed=4)
+
+
+# --- skew and plans -------------------------------------------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_key_with_many_copies(spark):
+    """One cell and day holds most rows; lags, climatology and ids stay exact."""
+    hot = [(0, 0, D(2020, 1, 5), 1.0)] * 3000
+    rest = [(0, 0, D(2020, 1, 20), 3.0), (0, 0, D(2020, 1, 5), 5.0), (1, 0, D(2020, 1, 20), 7.0)]
+    df = series(spark, hot + rest)
+    lags = windows.interval_lags(df, ["v"], 30, 1)
+    assert lags.count() == 3003
+    got = lags.where("ix = 0 AND date = DATE'2020-01-20'").collect()[0].v_lag_30
+    assert got == pytest.approx((3000 + 5) / 3001)
+    ids = ranks.row_numbers(df.withColumn("u", F.monotonically_increasing_id()), ["date", "v", "u"], "rn", ranges=6)
+    assert ids.agg(F.count_distinct("rn"), F.min("rn"), F.max("rn")).collect()[0][:] == (3003, 1, 3003)
+
+
+def test_assembly_collapses_copies_before_joining(spark):
+    a = spark.createDataFrame([(0, 0, 1)] * 500 + [(0, 1, 2)], "ix int, iy int, a int")
+    b = spark.createDataFrame([(0, 0, "x")] * 500 + [(0, 1, "y")], "ix int, iy int, b string")
+    assert assemble.assemble_predictors({"a": a, "b": b}).count() == 2
+
+
+def test_forecast_anomalies_shuffle_nothing_after_placing(spark, tmp_path):
+    base = D(2020, 3, 1)
+    fc = spark.createDataFrame([(0, 0, base, 3, 2020, 1.0)], "ix int, iy int, base_date date, lead_month int, lead_year int, v double")
+    clim = spark.createDataFrame([(0, 0, 80, 1.0, 2.0)], "ix int, iy int, doy int, v double, v_sd double")
+    for name, df in (("fc", fc), ("clim", clim)):
+        df.write.parquet(str(tmp_path / name))
+    fc, clim = spark.read.parquet(str(tmp_path / "fc")), spark.read.parquet(str(tmp_path / "clim"))
+    plan = plan_of(forecast.forecast_anomalies(fc, clim, date_frame(spark, [D(2020, 3, 20)]), (0, 30), ["v"]))
+    by_cell = [line for line in plan.splitlines() if "Exchange hashpartitioning(ix" in line]
+    assert len(by_cell) == 2 and "SortMergeJoin" not in plan
+
+
+def test_masking_does_not_shuffle_rows(spark):
+    plan = plan_of(regions.mask_to_regions(series(spark, [(0, 0, D(2020, 1, 1), 1.0)]), shape_frame(spark), GRID))
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+
+
+def test_large_lookup_is_not_broadcast(spark):
+    from fieldgrid.session import broadcast_if_small
+
+    lookup = spark.range(50).withColumnRenamed("id", "k")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(broadcast_if_small(lookup, 50)) and not hinted(broadcast_if_small(lookup, 49))
+
+
+def test_vegetation_fusion_shuffles_composites_not_days(spark):
+    rows = spark.createDataFrame([(0, 0, D(2020, 1, 1), D(2020, 1, 16), 1.0)], "ix int, iy int, start_date date, end_date date, ndvi double")
+    fused = climatology.fuse_sources({s: climatology.expand_composites(rows) for s in ("modis", "sentinel")})
+    exchanges = [line for line in plan_of(fused).splitlines() if "Exchange hashpartitioning" in line]
+    assert fused.count() == 16 and all("REPARTITION_BY_NUM" in line for line in exchanges)
