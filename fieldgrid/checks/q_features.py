@@ -335,6 +335,11 @@ def _(spark, d):
     return districts.district_features(rows.select(*keep), response)
 
 
+cte(
+    "inner_cell_region",
+    """SELECT r.* FROM cell_region r, (SELECT min(least(x1, x2)) AS xmin, max(greatest(x1, x2)) AS xmax, min(least(y1, y2)) AS ymin, max(greatest(y1, y2)) AS ymax FROM edges) b
+    WHERE r.x > b.xmin AND r.x < b.xmax AND r.y > b.ymin AND r.y < b.ymax""",
+)
 SPEC = {"x": None, "y": None, "year": None, "temperature": "AVG", "precipitation": "SUM", "month": "MODE"}
 
 
@@ -342,10 +347,10 @@ SPEC = {"x": None, "y": None, "year": None, "temperature": "AVG", "precipitation
     "D16_aggregate_by_region",
     """SELECT g.region, g.year, g.temperature_avg, g.precipitation_sum, m.month_mode, ar.area FROM (
       SELECT r.region, CAST(year(d.date) AS INT) AS year, avg(d.temperature) AS temperature_avg, sum(d.precipitation) AS precipitation_sum
-      FROM daily d JOIN cell_region r USING (ix, iy) GROUP BY 1, 2) g
+      FROM daily d JOIN inner_cell_region r USING (ix, iy) GROUP BY 1, 2) g
     JOIN (SELECT region, year, CAST(month AS INT) AS month_mode FROM (
       SELECT *, row_number() OVER (PARTITION BY region, year ORDER BY n DESC, month) AS rn FROM (
-        SELECT r.region, CAST(year(d.date) AS INT) AS year, month(d.date) AS month, count(*) AS n FROM daily d JOIN cell_region r USING (ix, iy) GROUP BY 1, 2, 3)) WHERE rn = 1) m
+        SELECT r.region, CAST(year(d.date) AS INT) AS year, month(d.date) AS month, count(*) AS n FROM daily d JOIN inner_cell_region r USING (ix, iy) GROUP BY 1, 2, 3)) WHERE rn = 1) m
       ON m.region = g.region AND m.year = g.year
     JOIN (SELECT region, abs(sum(radians(x2 - x1) * (2 + sin(radians(y1)) + sin(radians(y2))))) * 63710088e-4 * 63710088e-4 / 2 AS area FROM edges GROUP BY 1) ar ON ar.region = g.region""",
     "temperature_avg precipitation_sum area",
@@ -519,7 +524,9 @@ SUMMARY = [f"{c}_{s}" for c in ("temperature", "relative_humidity") for s in ("m
     )
     + " FROM (SELECT ix, iy, year(date) AS yr, "
     + ", ".join(
-        f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_sd, min({c}) AS {c}_min, max({c}) AS {c}_max, max({c}) - min({c}) AS {c}_range" for c in ("temperature", "relative_humidity")
+        f"CASE WHEN count({c}) = count(*) THEN {e} END AS {c}_{s}"
+        for c in ("temperature", "relative_humidity")
+        for s, e in (("mean", f"avg({c})"), ("sd", f"stddev_samp({c})"), ("min", f"min({c})"), ("max", f"max({c})"), ("range", f"max({c}) - min({c})"))
     )
     + " FROM daily GROUP BY 1, 2, 3) GROUP BY 1, 2",
     " ".join(SUMMARY),

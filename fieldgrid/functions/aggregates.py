@@ -53,15 +53,18 @@ def means_and_sds(columns: Iterable[str]) -> list[Column]:
     return out
 
 
-def five_numbers(column: str) -> list[Column]:
+def five_numbers(column: str, na_rm: bool = True) -> list[Column]:
+    """Mean, sample deviation, minimum, maximum and range; with ``na_rm=False`` one NULL makes all of them NULL."""
     c = quoted(column)
-    return [
-        F.avg(c).alias("mean"),
-        F.stddev_samp(c).alias("sd"),
-        F.min(c).alias("min"),
-        F.max(c).alias("max"),
-        (F.max(c) - F.min(c)).alias("range"),
-    ]
+    stats = {
+        "mean": F.avg(c),
+        "sd": F.stddev_samp(c),
+        "min": F.min(c),
+        "max": F.max(c),
+        "range": F.max(c) - F.min(c),
+    }
+    whole = F.count(c) == F.count(F.lit(1))
+    return [(v if na_rm else F.when(whole, v)).alias(k) for k, v in stats.items()]
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

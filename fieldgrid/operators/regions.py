@@ -161,7 +161,7 @@ def aggregate_by_region(
     """Spec-driven aggregates per region and grouping variables, with the region's area.
 
     ``spec`` maps variable -> ``"SUM" | "AVG" | "MODE" | None``; ``None`` marks a grouping variable.  Coordinates
-    in the spec are never group keys.
+    in the spec are never group keys.  Points on the outline of the regions' common bounding box are left out.
     """
     spec = {v: fn for v, fn in spec.items() if v not in ("x", "y", "ix", "iy")}
     check_spec(df, spec)
@@ -169,6 +169,11 @@ def aggregate_by_region(
     if date is not None:
         df = df.where(F.col("date") == F.lit(date).cast("date"))
     rows = df.select("ix", "iy", *[c for c in spec], *extra_keys)
-    masked = mask_to_regions(rows, regions, grid, region)
+    box = overall_bbox(regions).select(F.struct("xmin", "xmax", "ymin", "ymax")).scalar()
+    lookup = grid.with_centres(cell_regions(regions, grid, region)).withColumn("_b", box)
+    b = F.col("_b")
+    inside = (F.col("x") > b["xmin"]) & (F.col("x") < b["xmax"]) & (F.col("y") > b["ymin"]) & (F.col("y") < b["ymax"])
+    lookup = broadcast_if_small(lookup.where(inside).select("ix", "iy", region), MAX_BROADCAST_CELLS)
+    masked = rows.join(lookup, ["ix", "iy"], "inner")
     areas = regions.select(region, geo.spherical_area_km2(F.col("edges")).alias("area"))
     return masked.groupBy(region, *keys, *extra_keys).agg(*aggregates).join(areas, region, "left")

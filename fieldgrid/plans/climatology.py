@@ -171,9 +171,12 @@ def reported_overlaps(intervals: DataFrame, within: Sequence[str] = ()) -> DataF
 
 
 def yearly_summary(df: DataFrame, column: str, keys: Sequence[str] = CELL) -> DataFrame:
-    """Mean, sd, min, max and range per cell and year, then their means over the years: ``{column}_{stat}``."""
+    """Mean, sd, min, max and range per cell and year, then their means over the years: ``{column}_{stat}``.
+
+    A NULL makes the statistics of its year, and with them those of the cell, NULL (to be imputed later).
+    """
     rows = df if "year" in df.columns else with_date_parts(df, "date", ["year"])
-    yearly = rows.groupBy(*keys, "year").agg(*five_numbers(column))
+    yearly = rows.groupBy(*keys, "year").agg(*five_numbers(column, na_rm=False))
     stats = ["mean", "sd", "min", "max", "range"]
     return yearly.groupBy(*keys).agg(*[mean(F.col(s), na_rm=False).alias(f"{column}_{s}") for s in stats])
 

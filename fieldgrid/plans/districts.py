@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,6 +129,14 @@ def district_features(
     return relocate(out, [*group, "cases", "outbreak"])
 
 
-def spec_for(df: DataFrame, spec: Mapping[str, str | None]) -> dict[str, str | None]:
-    """The part of a spec that names columns of ``df``."""
-    return {v: fn for v, fn in spec.items() if v in df.columns}
+# How the model table's variables are aggregated; every other variable is averaged.
+GROUP_VARIABLES = ("date", "forecast_interval", "doy", "month", "year")
+SUM_VARIABLES = ("cases", "glw_cattle", "glw_sheep", "glw_goats")
+MODE_VARIABLES = ("soil_drainage", "soil_texture", "aspect", "slope")
+
+
+def predictor_spec(variables: Sequence[str]) -> dict[str, str | None]:
+    """The aggregation spec of the given model-table variables, for ``aggregate_by_region``."""
+    fixed = {v: None for v in ("x", "y", "ix", "iy", *GROUP_VARIABLES)}
+    fixed |= {v: "SUM" for v in SUM_VARIABLES} | {v: "MODE" for v in MODE_VARIABLES}
+    return {v: fixed.get(v, "AVG") for v in variables}

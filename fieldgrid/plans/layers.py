@@ -15,7 +15,29 @@ from ..operators.grid import GridSpec, dominant_band, resample, resample_mode, r
 
 # Texture classes folded to seven groups; every other known class becomes 0.
 TEXTURE_GROUPS = {5: "1", 7: "2", 8: "3", 9: "4", 10: "5", 11: "6", 12: "7"}
+# Names of the land cover fractions and of the 19 bioclimatic layers, in layer order.
 LANDCOVER = ("trees", "grassland", "shrubs", "cropland", "built", "bare", "snow", "water", "wetland", "mangroves", "moss")
+BIOCLIM = (
+    "Annual_Mean_Temperature",
+    "Mean_Diurnal_Range",
+    "Isothermality",
+    "Temperature_Seasonality",
+    "Max_Temperature_of_Warmest_Month",
+    "Min_Temperature_of_Coldest_Month",
+    "Temperature_Annual_Range",
+    "Mean_Temperature_of_Wettest_Quarter",
+    "Mean_Temperature_of_Driest_Quarter",
+    "Mean_Temperature_of_Warmest_Quarter",
+    "Mean_Temperature_of_Coldest_Quarter",
+    "Annual_Precipitation",
+    "Precipitation_of_Wettest_Month",
+    "Precipitation_of_Driest_Month",
+    "Precipitation_Seasonality",
+    "Precipitation_of_Wettest_Quarter",
+    "Precipitation_of_Driest_Quarter",
+    "Precipitation_of_Warmest_Quarter",
+    "Precipitation_of_Coldest_Quarter",
+)
 
 
 def soil_classes(units: DataFrame, key: DataFrame, src: GridSpec | None = None, dst: GridSpec | None = None) -> DataFrame:
@@ -57,6 +79,14 @@ def static_layer(
     return out
 
 
+def bioclim_layer(layer: DataFrame, src: GridSpec | None = None, dst: GridSpec | None = None) -> DataFrame:
+    """The 19 bioclimatic bands, named by their position after ``ix, iy``."""
+    bands = [c for c in layer.columns if c not in ("ix", "iy")]
+    if len(bands) != len(BIOCLIM):
+        raise ValueError(f"expected {len(BIOCLIM)} bands, got {len(bands)}")
+    return static_layer(layer, dict(zip(bands, BIOCLIM)), src, dst)
+
+
 def stack_layers(layers: Sequence[DataFrame]) -> DataFrame:
     """Layers with different bands side by side, keeping cells any of them covers."""
     return reduce(lambda a, b: a.join(b, ["ix", "iy"], "full"), layers)

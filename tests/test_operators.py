@@ -576,3 +576,24 @@ def test_vegetation_fusion_shuffles_composites_not_days(spark):
     fused = climatology.fuse_sources({s: climatology.expand_composites(rows) for s in ("modis", "sentinel")})
     exchanges = [line for line in plan_of(fused).splitlines() if "Exchange hashpartitioning" in line]
     assert fused.count() == 16 and all("REPARTITION_BY_NUM" in line for line in exchanges)
+
+
+def test_predictor_spec_and_bioclim_names(spark):
+    spec = districts.predictor_spec(["x", "date", "cases", "slope", "anomaly_ndvi"])
+    assert spec == {"x": None, "date": None, "cases": "SUM", "slope": "MODE", "anomaly_ndvi": "AVG"}
+    bands = spark.createDataFrame([(0, 0, *[float(i) for i in range(19)])], ["ix", "iy", *[f"bio_{i}" for i in range(1, 20)]])
+    out = layers.bioclim_layer(bands).collect()[0]
+    assert out["Annual_Mean_Temperature"] == 0.0 and out["Precipitation_of_Coldest_Quarter"] == 18.0
+    with pytest.raises(ValueError):
+        layers.bioclim_layer(bands.drop("bio_19"))
+
+
+def test_region_aggregate_leaves_out_the_common_outline(spark):
+    spec = g.GridSpec(-0.5, -0.5, 1.0, 8, 8)  # cell centres on whole degrees
+    df = spec.cells(spark).select("ix", "iy", F.lit(1.0).alias("v"), F.lit(D(2020, 1, 1)).alias("date"))
+    out = {r.region: r.v_sum for r in regions.aggregate_by_region(df, shape_frame(spark), spec, {"date": None, "v": "SUM"}).collect()}
+    # The common box is 0..6 x 0..4.  Strictly inside it, "ell" touches (1..4, 1), (1, 2) and (1, 3).
+    ell = [(x, y) for x in range(1, 6) for y in range(1, 4) if (x <= 4 and y <= 1) or (x <= 1 and y <= 4)]
+    assert len(ell) == 6 and out["ell"] == float(len(ell))
+    masked = regions.mask_to_regions(df, shape_frame(spark), spec).where("region = 'ell'").count()
+    assert masked == 5 * 2 + 2 * 3  # the mask keeps the outline
