@@ -50,7 +50,7 @@ def _cell(key: str, step: int) -> list:
 
 
 def grid_spec(spark: SparkSession, d: str) -> GridSpec:
-    """Grid over all parts: one number read from the parquet footer statistics."""
+    """Grid over all parts; its width is the one number read here."""
     last = table(spark, d, "part").agg(F.max("p_partkey")).first()[0]
     return GridSpec(XMIN, YMIN, RES, int(last) // 200 + 1, NY)
 

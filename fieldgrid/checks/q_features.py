@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.regions import aggregate_by_region, mask_to_regions
 from ..operators.windows import interval_ends, interval_lags
 from ..plans import assemble, calendars, climatology, districts, events, forecast, layers
+from ..session import cut
 from . import adapters as a
 from .registry import cte, query
 
@@ -329,8 +330,8 @@ DIST = ["cases", "soil_drainage", "soil_texture", "anomaly_forecast_temperature"
     " ".join(DIST),
 )
 def _(spark, d):
-    rows = masked_predictors(spark, d)
-    response = events.outbreak_response(a.outbreaks(spark, d), a.grid_spec(spark, d), sampled(spark, d), (1, 30, 60))
+    rows = cut(masked_predictors(spark, d))  # a stored table in a real run: it is read several times
+    response = events.outbreak_response(a.outbreaks(spark, d), a.grid_spec(spark, d), rows, (1, 30, 60))
     keep = [c for c in rows.columns if not c.startswith("anomaly_") or c in (*LAGGED, "anomaly_forecast_temperature")]
     return districts.district_features(rows.select(*keep), response)
 

@@ -597,3 +597,38 @@ def test_region_aggregate_leaves_out_the_common_outline(spark):
     assert len(ell) == 6 and out["ell"] == float(len(ell))
     masked = regions.mask_to_regions(df, shape_frame(spark), spec).where("region = 'ell'").count()
     assert masked == 5 * 2 + 2 * 3  # the mask keeps the outline
+
+
+def test_nearest_fill_per_key(spark):
+    rows = [(d, x, 0, v) for d, vs in ((1, "a--b"), (2, "-c--"), (3, "----")) for x, v in enumerate(vs)]
+    df = spark.createDataFrame([(d, x, y, None if v == "-" else v) for d, x, y, v in rows], "d int, ix int, iy int, v string")
+    got = {(r.d, r.ix): r.v for r in nearest.fill_nearest(df, ["v"], ["d"]).collect()}
+    assert [got[(1, x)] for x in range(4)] == ["a", "a", "b", "b"]
+    assert [got[(2, x)] for x in range(4)] == ["c"] * 4 and [got[(3, x)] for x in range(4)] == [None] * 4
+
+
+def test_lags_on_unique_days_agree_with_the_general_form(spark):
+    rnd = random.Random(11)
+    df = series(spark, [(c, 0, d, rnd.choice([None, rnd.random()])) for c in (0, 1) for d in days(D(2020, 1, 1), 70) if rnd.random() < 0.8])
+    for name in ("avg", "sum", "min", "max", "count"):
+        a = windows.interval_lags(df, ["v"], 10, 2, agg=name)
+        b = windows.interval_lags(df, ["v"], 10, 2, agg=name, one_row_per_day=True)
+        key = lambda r: (r.ix, r.date)
+        for x, y in zip(sorted(a.collect(), key=key), sorted(b.collect(), key=key)):
+            assert (x.v_lag_10, x.v_lag_20) == pytest.approx((y.v_lag_10, y.v_lag_20), nan_ok=True) or (x.v_lag_10, x.v_lag_20) == (y.v_lag_10, y.v_lag_20)
+
+
+@pytest.mark.parametrize("cumulative", [True, False])
+def test_rolling_origin_definition(spark, cumulative):
+    dates = days(D(2020, 1, 1), 31)
+    got = {(r.date, r.fold_id, r.role) for r in folds.rolling_origin(date_frame(spark, dates), 10, 3, 4, cumulative=cumulative).collect()}
+    want = set()
+    for i, stop in enumerate(range(10, 31 - 3 + 1, 5), 1):
+        for r, d in enumerate(dates, 1):
+            if r <= stop and (cumulative or r > stop - 10):
+                want.add((d, i, "train"))
+            elif stop < r <= stop + 3:
+                want.add((d, i, "assess"))
+    assert got == want
+    bounds = [(r.fold_id, r.train_to, r.assess_from, r.assess_to) for r in folds.rolling_origin_bounds(spark, 31, 10, 3, 4).orderBy("fold_id").collect()]
+    assert bounds == [(i, s, s + 1, s + 3) for i, s in enumerate(range(10, 29, 5), 1)]
