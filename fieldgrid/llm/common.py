@@ -25,10 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, the same on every machine that has the files installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this application: visible to the driver and every executor."""
     ensure_checkpoint_dir(spark)
     return spark.sparkContext.getCheckpointDir()
 
 
-__all__ = ["cut", "prepare", "shared_folder", "table"]
+__all__ = ["cut", "prepare", "shared_folder", "table", "vocabulary"]
