@@ -67,6 +67,10 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def span_codes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges of the texts."""
+        return _span_hash(_BYTE_CODE[self.data], start, end)
+
     def sequences(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word and hash of every run of ``size`` words inside one text."""
         n = len(self.code) - size + 1
