@@ -248,7 +248,7 @@ def regions(item: Item) -> dict[tuple[str, ...], str]:
                 here = "maybe"
             elif state == "maybe" and kind.endswith("+"):
                 here = "in"
-            elif kind == "#" and state in ("open", "maybe") and inner.value is not None and not inner.optional and item.pages >= ENOUGH:
+            elif kind == "#" and state in ("open", "maybe") and inner.value is not None and inner.pages == item.pages >= ENOUGH:
                 here = "out"
             found[(*way, kind)] = here
             walk(inner, (*way, kind), here)

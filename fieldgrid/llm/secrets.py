@@ -21,6 +21,10 @@ KINDS = ("assign", "access", "hex", "model")
 # Strings the models judge: maximal runs of these characters.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 SAMPLE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}"
+# An ordinary identifier: words in one of the usual spellings with a short number, capitals, or digits alone.  A long
+# word of another shape is neither class and is not learnt from, so a secret cannot vouch for itself.
+ORDINARY = r"^[-_/=+]*(?:(?:[A-Z]?[a-z]{2,}+[-_/=+]*+)++[0-9]{0,4}|(?:[A-Z]++[-_/=+]*+)++|(?:[0-9]++[-_/=+]*+)++)$"
+_PRIOR = 20
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 
 
@@ -51,7 +55,7 @@ def base_spans(text: Column) -> Column:
 
 
 def labelled_samples(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``token, random`` from whole texts: values of base matches are random strings, the other long words are not."""
+    """``token, random`` from whole texts: values of base matches are random, other long words of ordinary shape are not."""
     t = F.coalesce(F.col(text), F.lit(""))
     any_base = f"{ASSIGN}|{ACCESS}|{HEX}"
     values = F.concat(
@@ -63,7 +67,7 @@ def labelled_samples(documents: DataFrame, text: str = "text") -> DataFrame:
     none = F.array().cast("array<string>")
     rest = F.when(is_base, F.regexp_replace(t, any_base, " ")).otherwise(t)
     rows = documents.select(
-        F.when(is_base, values).otherwise(none).alias("yes"), F.regexp_extract_all(rest, F.lit(SAMPLE), F.lit(0)).alias("no")
+        F.when(is_base, values).otherwise(none).alias("yes"), F.filter(F.regexp_extract_all(rest, F.lit(SAMPLE), F.lit(0)), lambda v: v.rlike(ORDINARY)).alias("no")
     )
     both = F.concat(
         F.transform("yes", lambda v: F.struct(v.alias("token"), F.lit(True).alias("random"))),
@@ -75,7 +79,7 @@ def labelled_samples(documents: DataFrame, text: str = "text") -> DataFrame:
 def train(samples: DataFrame) -> dict[str, int]:
     """Log-likelihood ratio of each character pair in thousandths of a nat, from all samples.
 
-    Both models are first-order chains with add-one smoothing.  The counts are summed in the cluster; what comes to
+    Both models are first-order chains.  The counts are summed in the cluster; what comes to
     the driver is one row per class and pair of characters, bounded by the alphabet.  Without samples of either class
     every ratio is 0 and nothing is ever reported.
     """
@@ -93,16 +97,19 @@ def train(samples: DataFrame) -> dict[str, int]:
             counts[r["random"]][r["pair"]] = r["n"]
     if not counts[True] or not counts[False]:
         return {}
-    total = {k: {a: sum(counts[k].get(a + b, 0) for b in ALPHABET) for a in ALPHABET} for k in counts}
-    return {
-        a + b: round(1000 * (_log_p(counts[True], total[True], a, b) - _log_p(counts[False], total[False], a, b)))
-        for a in ALPHABET
-        for b in ALPHABET
-    }
+    chains = {k: _chain(counts[k]) for k in counts}
+    return {p: round(1000 * (chains[True][p] - chains[False][p])) for p in chains[True]}
 
 
-def _log_p(counts: Mapping[str, int], total: Mapping[str, int], a: str, b: str) -> float:
-    return math.log((counts.get(a + b, 0) + 1) / (total[a] + len(ALPHABET)))
+def _chain(counts: Mapping[str, int]) -> dict[str, float]:
+    """Log-probability of every pair's second character after its first, for one class.
+
+    Pairs are smoothed by how often the second character occurs at all, weighing like ``_PRIOR`` pairs.
+    """
+    second = {b: sum(counts.get(a + b, 0) for a in ALPHABET) for b in ALPHABET}
+    after = {a: sum(counts.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
+    alone = {b: (second[b] + 1) / (sum(second.values()) + len(ALPHABET)) for b in ALPHABET}
+    return {a + b: math.log((counts.get(a + b, 0) + _PRIOR * alone[b]) / (after[a] + _PRIOR)) for a in ALPHABET for b in ALPHABET}
 
 
 def model_spans(text: Column, ratios: Mapping[str, int], least: int = 12_000) -> Column:
