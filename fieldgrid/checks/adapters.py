@@ -6,7 +6,6 @@ Each view exists twice: as a Spark frame and as SQL text for the comparison.  Ce
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.grid import GridSpec
 from ..operators.regions import regions_from_edges
+from ..session import ensure_checkpoint_dir
 from .registry import cte
 
 XMIN, YMIN, RES, NY = 20.0, -10.0, 0.5, 5
@@ -38,10 +38,9 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder on the cluster's shared checkpoint storage, or a temporary one when none is set."""
+    """A new folder on the cluster's shared checkpoint storage."""
+    ensure_checkpoint_dir(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="fieldgrid-scratch-")
     return f"{base.rstrip('/')}/fieldgrid-{uuid.uuid4().hex}"
 
 
@@ -93,7 +92,7 @@ cte(
     "anoms",
     "SELECT d.ix, d.iy, d.date, d_doy AS doy, CAST(month(d.date) AS INT) AS month, CAST(year(d.date) AS INT) AS year, "
     + ", ".join(
-        f"d.{c} - k.{c} AS anomaly_{c}, CASE WHEN abs(k.{c}_sd) > 1e-9 THEN (d.{c} - k.{c}) / k.{c}_sd END AS anomaly_scaled_{c}"
+        f"d.{c} - k.{c} AS anomaly_{c}, CASE WHEN abs(k.{c}_sd) > 1e-12 * abs(k.{c}) THEN (d.{c} - k.{c}) / k.{c}_sd END AS anomaly_scaled_{c}"
         for c in WEATHER
     )
     + " FROM (SELECT *, CAST(dayofyear(date) AS INT) AS d_doy FROM daily) d JOIN clim k ON k.ix = d.ix AND k.iy = d.iy AND k.doy = d_doy WHERE "
@@ -218,7 +217,7 @@ cte(
     "forecast_anoms",
     "SELECT ix, iy, date, CAST(dayofyear(date) AS INT) AS doy, CAST(month(date) AS INT) AS month, CAST(year(date) AS INT) AS year, hi AS forecast_interval, "
     + ", ".join(
-        f"p_{c} - h_{c} AS anomaly_forecast_{c}, CASE WHEN abs(d_{c}) > 1e-9 THEN (p_{c} - h_{c}) / d_{c} END AS anomaly_forecast_scaled_{c}"
+        f"p_{c} - h_{c} AS anomaly_forecast_{c}, CASE WHEN abs(d_{c}) > 1e-12 * abs(h_{c}) THEN (p_{c} - h_{c}) / d_{c} END AS anomaly_forecast_scaled_{c}"
         for c in WEATHER
     )
     + " FROM (SELECT k.ix, k.iy, s.date, s.hi, "
@@ -246,12 +245,13 @@ def outbreaks(spark: SparkSession, d: str) -> DataFrame:
 
 cte(
     "outbreaks",
-    """SELECT o_orderkey AS outbreak_id, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_custkey % 7 AS INT) END AS cases,
+    """SELECT *, CAST(floor((longitude - 2e1) / 5e-1) AS INT) AS ix,
+      CAST(greatest(0, 4 - floor((-75e-1 - latitude) / 5e-1)) AS INT) AS iy
+    FROM (SELECT o_orderkey AS outbreak_id, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_custkey % 7 AS INT) END AS cases,
       CAST(o_orderdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INT) AS end_date,
       2e1 + 5e-1 * (o_custkey // 150) + 1e-2 * (o_custkey % 50) AS longitude,
-      -1e1 + 5e-1 * (o_custkey % 5) + 1e-2 * (o_custkey % 49) AS latitude,
-      CAST(o_custkey // 150 AS INT) AS ix, CAST(o_custkey % 5 AS INT) AS iy
-    FROM orders WHERE o_orderpriority = '1-URGENT'""",
+      -1e1 + 5e-1 * (o_custkey % 5) + 1e-2 * (o_custkey % 49) AS latitude
+    FROM orders WHERE o_orderpriority = '1-URGENT')""",
 )
 cte(
     "response",

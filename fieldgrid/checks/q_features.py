@@ -99,7 +99,7 @@ def _(spark, d):
     "D05_anomalies_keep_null",
     """SELECT d.ix, d.iy, d.date, CAST(dayofyear(d.date) AS INT) AS doy, CAST(month(d.date) AS INT) AS month, CAST(year(d.date) AS INT) AS year,
       d.relative_humidity - k.relative_humidity AS anomaly_relative_humidity,
-      CASE WHEN abs(k.relative_humidity_sd) > 1e-9 THEN (d.relative_humidity - k.relative_humidity) / k.relative_humidity_sd END AS anomaly_scaled_relative_humidity
+      CASE WHEN abs(k.relative_humidity_sd) > 1e-12 * abs(k.relative_humidity) THEN (d.relative_humidity - k.relative_humidity) / k.relative_humidity_sd END AS anomaly_scaled_relative_humidity
     FROM daily d LEFT JOIN (SELECT * FROM clim WHERE relative_humidity_sd IS NOT NULL) k ON k.ix = d.ix AND k.iy = d.iy AND k.doy = dayofyear(d.date)""",
     "anomaly_relative_humidity anomaly_scaled_relative_humidity",
 )
@@ -125,7 +125,7 @@ VALID = [f"anomaly_{c}{s}_{k}" for c in a.WEATHER for s in ("", "_scaled") for k
 cte(
     "recorded",
     "SELECT coalesce(r.ix, h.ix) AS ix, coalesce(r.iy, h.iy) AS iy, coalesce(r.date, h.date) AS date, coalesce(r.hi, h.hi) AS hi, "
-    + ", ".join(f"r_{c} - h_{c} AS rec_{c}, CASE WHEN abs(s_{c}) > 1e-9 THEN (r_{c} - h_{c}) / s_{c} END AS recs_{c}" for c in a.WEATHER)
+    + ", ".join(f"r_{c} - h_{c} AS rec_{c}, CASE WHEN abs(s_{c}) > 1e-12 * abs(h_{c}) THEN (r_{c} - h_{c}) / s_{c} END AS recs_{c}" for c in a.WEATHER)
     + " FROM (SELECT w.ix, w.iy, s.date, s.hi, "
     + ", ".join(f"CASE WHEN count(w.{c}) = count(*) THEN avg(w.{c}) END AS r_{c}" for c in a.WEATHER)
     + " FROM span_days s JOIN daily w ON w.date = s.day GROUP BY 1, 2, 3, 4) r FULL JOIN (SELECT k.ix, k.iy, s.date, s.hi, "
@@ -197,7 +197,7 @@ cte(
     "sampled",
     """SELECT d.ix, d.iy, d.date, """
     + ", ".join(
-        f"CASE WHEN k.{c}_sd IS NULL THEN NULL ELSE 0 END AS z_{c}, d.{c} - k.{c} AS anomaly_{c}, CASE WHEN abs(k.{c}_sd) > 1e-9 THEN (d.{c} - k.{c}) / k.{c}_sd END AS anomaly_scaled_{c}"
+        f"CASE WHEN k.{c}_sd IS NULL THEN NULL ELSE 0 END AS z_{c}, d.{c} - k.{c} AS anomaly_{c}, CASE WHEN abs(k.{c}_sd) > 1e-12 * abs(k.{c}) THEN (d.{c} - k.{c}) / k.{c}_sd END AS anomaly_scaled_{c}"
         for c in a.WEATHER
     )
     + """ FROM daily d JOIN clim k ON k.ix = d.ix AND k.iy = d.iy AND k.doy = dayofyear(d.date)

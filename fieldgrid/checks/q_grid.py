@@ -65,6 +65,31 @@ def _(spark, d):
     return g.resample(coarse_values(spark, d), spec, a.fine_spec(spec), ["v"], "cubicspline", ["p_type"])
 
 
+def _coarser_sql(kernel: str, ratio: int) -> str:
+    """As above for a target ``ratio`` times as coarse: the kernel is as much wider."""
+    kx = kernel.format(d=f"(((t.ix + 5e-1) * {ratio} - 5e-1 - s.ix) / {ratio})")
+    ky = kernel.format(d=f"(((t.iy + 5e-1) * {ratio} - 5e-1 - s.iy) / {ratio})")
+    cells = f"SELECT CAST(i AS INT) AS ix, CAST(j AS INT) AS iy FROM (SELECT unnest(range(max(p_partkey) // 200 // {ratio} + 1)) AS i FROM part), (SELECT unnest(range(5 // {ratio} + 1)) AS j)"
+    return f"""SELECT p_type, ix, iy, sum(w * v) / nullif(sum(CASE WHEN v IS NOT NULL THEN w END), 0) AS v
+      FROM (SELECT p_type, t.ix, t.iy, s.v, ({kx}) * ({ky}) AS w FROM ({cells}) t, coarse_values s) WHERE w > 0 GROUP BY p_type, ix, iy"""
+
+
+def _coarser(spark, d, method, ratio):
+    spec = a.grid_spec(spark, d)
+    dst = g.GridSpec(spec.xmin, spec.ymin, spec.res * ratio, (spec.nx - 1) // ratio + 1, spec.ny // ratio + 1)
+    return g.regrid(coarse_values(spark, d), spec, dst, ["v"], method, ["p_type"])
+
+
+@query("G04_resample_bilinear_2_to_1", _coarser_sql(_LINEAR, 2), "v")
+def _(spark, d):
+    return _coarser(spark, d, "bilinear", 2)
+
+
+@query("G04_resample_cubicspline_3_to_1", _coarser_sql(_SPLINE, 3), "v")
+def _(spark, d):
+    return _coarser(spark, d, "cubicspline", 3)
+
+
 @query("G05_resample_near", "SELECT * FROM soil_target")
 def _(spark, d):
     spec = a.grid_spec(spark, d)

@@ -107,9 +107,12 @@ def _(spark, d):
     return _build_twice(spark, d, F.col("year") >= 1998).groupBy("year", "build").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S13_file_row_counts", "SELECT 'lineitem' AS name, count(*) AS rows FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("S13_file_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in _TABLES))
 def _(spark, d):
-    parts = [validation.file_row_counts(spark, f"{d}/{t}.parquet") for t in ("lineitem", "orders")]
+    parts = [validation.file_row_counts(spark, f"{d}/{t}.parquet") for t in _TABLES]
     counts = reduce(DataFrame.unionByName, parts)
     listed = counts.select("file")
     gone = validation.unreadable_files(listed, counts)
@@ -231,7 +234,7 @@ def _(spark, d):
     return daily.groupBy(*keys).agg(*aggs)
 
 
-_COUNTED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+_COUNTED = _TABLES
 
 
 @query("A16_table_row_counts", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in _COUNTED))

@@ -10,6 +10,7 @@ from ..operators import joins, ranks, windows
 from ..operators.grid import GridSpec, crop
 from ..operators.nearest import cells_within
 from ..plans import assemble, climatology, events, forecast
+from ..session import calendar_side
 from ..sources import readers
 from . import adapters as a
 from . import q_features as qf
@@ -146,7 +147,10 @@ def _(spark, d):
 )
 def _(spark, d):
     clim = climatology.climatology(a.daily(spark, d), ["temperature"]).select("ix", "iy", "doy")
-    return clim.join(dates.with_date_parts(a.model_days(spark, d), "date", ["doy"]), "doy", "right")
+    days = calendar_side(dates.with_date_parts(a.model_days(spark, d), "date", ["doy"]))
+    hits = clim.join(days, "doy").select("ix", "iy", "doy", "date")  # the calendar is the side that travels
+    bare = days.join(F.broadcast(clim.select("doy").distinct()), "doy", "left_anti")  # at most 366 days
+    return hits.unionByName(bare, allowMissingColumns=True)
 
 
 @query(
@@ -317,7 +321,7 @@ def _(spark, d):
 
 @query("J22_semi_join", "SELECT ix, iy, date, temperature FROM daily WHERE date IN (SELECT date FROM model_days)", "temperature")
 def _(spark, d):
-    return a.daily(spark, d).select("ix", "iy", "date", "temperature").join(a.model_days(spark, d), "date", "left_semi")
+    return a.daily(spark, d).select("ix", "iy", "date", "temperature").join(calendar_side(a.model_days(spark, d)), "date", "left_semi")
 
 
 @query("J23_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")

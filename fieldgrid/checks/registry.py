@@ -13,10 +13,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _BODIES: dict[str, tuple[str, list[str]]] = {}
 CTES: dict[str, str] = {}
 
-# Both engines round with the same arithmetic.  The offset is not exactly one half: averages of prices with two
-# decimals often lie exactly between two results, where the last bit of a sum would decide.
+# Both engines round with the same arithmetic, in doubles throughout, so NaN, infinities and large values stay what they
+# are.  The offset keeps averages of prices with two decimals, which often lie exactly between two results, from being
+# decided by the last bit of a sum.
 _SCALE = "1e6"
-_HALF = "0.5001"
+_OFFSET = "1e-4"
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def rounded(df: DataFrame) -> DataFrame:
     for f in df.schema:
         c = F.col("`" + f.name + "`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.expr(f"floor(`{f.name}` * {_SCALE}D + {_HALF}D) / {_SCALE}D").alias(f.name)
+            c = F.expr(f"rint(`{f.name}` * {_SCALE}D + {_OFFSET}D) / {_SCALE}D").alias(f.name)
         out.append(c)
     return df.select(*out)
 
@@ -48,7 +49,7 @@ def statement(body: str, doubles: Sequence[str] = ()) -> str:
     views = ",\n".join(f"{n} AS ({CTES[n]})" for n in names)
     head = f"WITH {views}\n" if views else ""
     if doubles:
-        cols = ", ".join(f'floor("{c}" * {_SCALE} + {_HALF}) / {_SCALE} AS "{c}"' for c in doubles)
+        cols = ", ".join(f'round_even("{c}" * {_SCALE} + {_OFFSET}, 0) / {_SCALE} AS "{c}"' for c in doubles)
         return f"{head}SELECT * REPLACE ({cols}) FROM (\n{body.strip()}\n)"
     return f"{head}{body.strip()}"
 

@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A standard deviation below this is taken as zero: summation order alone can leave a constant series with a
-# standard deviation of about 1e-15.
-ZERO_SD = 1e-9
+# A standard deviation below this share of the mean is taken as zero: summation order alone can leave a constant series
+# with one of about 1e-16 of its value.  A series around zero has none of that error, so its deviation counts as it is.
+ZERO_SD = 1e-12
 
 
 def columns_matching(
@@ -115,6 +115,6 @@ def row_sum(columns: Iterable[str]) -> Column:
     return total
 
 
-def ratio(numerator: Column, spread: Column) -> Column:
-    """``numerator / spread`` with NULL where the spread is (numerically) zero."""
-    return F.when(F.abs(spread) > ZERO_SD, numerator / spread)
+def ratio(numerator: Column, spread: Column, level: Column) -> Column:
+    """``numerator / spread`` with NULL where the spread is zero, or zero next to the mean ``level`` of its series."""
+    return F.when(F.abs(spread) > ZERO_SD * F.abs(level), numerator / spread)

@@ -33,10 +33,6 @@ def date_of_year_day(text: Column) -> Column:
     return F.to_date(text, "yyyyDDD")
 
 
-def day_number(date: Column) -> Column:
-    return F.unix_date(date)
-
-
 def spine(spark: SparkSession, start: str, end: str, step: str = "1 day", name: str = "date") -> DataFrame:
     """One row per step from ``start`` to ``end`` inclusive."""
     return spark.sql(

@@ -32,17 +32,19 @@ class GridSpec:
         return F.lit(self.ymin) + (iy + F.lit(0.5)) * F.lit(self.res)
 
     @staticmethod
-    def _index(value: Column, low: float, res: float, n: int) -> Column:
-        at = F.floor((value - F.lit(low)) / F.lit(res)).cast("int")
-        upper = F.lit(low + res * n)
-        # The far edge belongs to the last cell.
-        return F.when(value == upper, F.lit(n - 1)).when((at >= 0) & (at < n), at)
+    def _index(steps: Column, at_end: Column, n: int) -> Column:
+        """Number of the line ``steps`` cells from the first edge; NaN, infinite and far values are outside."""
+        inside = (steps >= 0) & (steps < n)  # NaN is larger than any number
+        return F.when(at_end, F.lit(n - 1)).when(inside, F.floor(F.when(inside, steps)).cast("int"))
 
     def ix(self, x: Column) -> Column:
-        return self._index(x, self.xmin, self.res, self.nx)
+        """Columns count from the west; a point on a line between two belongs to the eastern one."""
+        return self._index((x - F.lit(self.xmin)) / F.lit(self.res), x == F.lit(self.xmin + self.res * self.nx), self.nx)
 
     def iy(self, y: Column) -> Column:
-        return self._index(y, self.ymin, self.res, self.ny)
+        """Rows are found from the north, so a point on a line between two belongs to the southern one."""
+        top = self.ymin + self.res * self.ny
+        return F.lit(self.ny - 1) - self._index((F.lit(top) - y) / F.lit(self.res), y == F.lit(self.ymin), self.ny)
 
     def cells(self, spark: SparkSession) -> DataFrame:
         """All cells as ``ix, iy, x, y``, generated on the executors."""
@@ -74,31 +76,32 @@ def with_dates(cells: DataFrame, dates: DataFrame, date: str = "date") -> DataFr
     return cells.withColumn(date, F.explode(calendar))
 
 
+def _kernel(distance: Column, method: str) -> Column:
+    d = F.abs(distance)
+    if method == "bilinear":
+        return F.greatest(F.lit(0.0), 1 - d)
+    inner = (4 - 6 * F.pow(d, 2) + 3 * F.pow(d, 3)) / 6
+    return F.when(d < 1, inner).when(d < 2, F.pow(2 - d, 3) / 6).otherwise(F.lit(0.0))
+
+
 def _taps(spark: SparkSession, n_dst: int, dst_min: float, dst_res: float, src_min: float, src_res: float, n_src: int, method: str, src: str, dst: str) -> DataFrame:
-    """One axis of a kernel: ``(dst index, src index, weight)``; a handful of rows per grid line."""
+    """One axis of a kernel: ``(dst index, src index, weight)``; a handful of rows per grid line.
+
+    Where the target is coarser the kernel is widened by the ratio of the resolutions, so every source cell counts.
+    """
     at = (F.lit(dst_min) + (F.col("id") + F.lit(0.5)) * F.lit(dst_res) - F.lit(src_min)) / F.lit(src_res) - F.lit(0.5)
-    t = F.col("t")
     if method == "near":
-        offsets = [(0, F.lit(1.0))]
-        base = F.floor(at + F.lit(0.5))
-    elif method == "bilinear":
-        offsets = [(0, 1 - t), (1, t)]
-        base = F.floor(at)
-    elif method == "cubicspline":
-        offsets = [
-            (-1, F.pow(1 - t, 3) / 6),
-            (0, (3 * F.pow(t, 3) - 6 * F.pow(t, 2) + 4) / 6),
-            (1, (-3 * F.pow(t, 3) + 3 * F.pow(t, 2) + 3 * t + 1) / 6),
-            (2, F.pow(t, 3) / 6),
-        ]
-        base = F.floor(at)
+        lines = spark.range(n_dst).select(F.col("id").cast("int").alias(dst), F.floor(at + F.lit(0.5)).cast("int").alias("i"))
+        taps = lines.select(dst, F.struct("i", F.lit(1.0).alias("w")).alias("tap"))
+    elif method in ("bilinear", "cubicspline"):
+        wider = max(1.0, dst_res / src_res)
+        reach = wider * (1 if method == "bilinear" else 2)
+        lines = spark.range(n_dst).select(F.col("id").cast("int").alias(dst), at.alias("at"))
+        near = F.sequence(F.ceil(F.col("at") - F.lit(reach)).cast("int"), F.floor(F.col("at") + F.lit(reach)).cast("int"))
+        weight = _kernel((F.col("i") - F.col("at")) / F.lit(wider), method)
+        taps = lines.select(dst, "at", F.explode(near).alias("i")).select(dst, F.struct("i", weight.alias("w")).alias("tap"))
     else:
         raise ValueError(f"unknown resampling method {method!r}")
-    lines = spark.range(n_dst).select(F.col("id").cast("int").alias(dst), base.cast("int").alias("b"), (at - F.floor(at)).alias("t"))
-    taps = lines.select(
-        dst,
-        F.explode(F.array(*[F.struct((F.col("b") + o).alias("i"), w.cast("double").alias("w")) for o, w in offsets])).alias("tap"),
-    )
     return taps.select(dst, F.col("tap.i").alias(src), F.col("tap.w").alias("w")).where(
         (F.col(src) >= 0) & (F.col(src) < n_src) & (F.col("w") > 0)
     )
@@ -114,8 +117,8 @@ def resample(
 ) -> DataFrame:
     """Resample ``columns`` from grid ``src`` to grid ``dst``; weights are renormalised over present values.
 
-    The kernel is separable, so the x and y directions are two small passes with at most 4 taps each (not 16 at
-    once).  Numerator and denominator are carried through both, which keeps the renormalisation exact.
+    The kernel is separable, so the x and y directions are two small passes, each with at most 4 taps when the target
+    is finer, and 4 times the ratio of the resolutions when it is coarser.  Numerator and denominator are carried through both, which keeps the renormalisation exact.
     """
     spark = df.sparkSession
     keys = list(keys)
@@ -134,6 +137,33 @@ def resample(
     return both.withColumnsRenamed({"_tx": "ix", "_ty": "iy"})
 
 
+def regrid(
+    df: DataFrame,
+    src: GridSpec,
+    dst: GridSpec,
+    columns: Sequence[str],
+    method: str = "cubicspline",
+    keys: Sequence[str] = (),
+    fill_na: bool = False,
+) -> DataFrame:
+    """A layer on another grid: optional 3x3 gap fill on the source grid, then :func:`resample` up or down.
+
+    With ``fill_na``, cells that ``df`` lacks count as gaps like those that are NULL; ``keys`` values that occur get
+    all cells.  The target grid's extent crops the result.
+    """
+    if fill_na:
+        cells = src.cells(df.sparkSession).select("ix", "iy")
+        if keys:
+            number = F.explode(F.expr(f"sequence(0, {src.nx * src.ny - 1})"))  # one source grid for each layer
+            cells = df.select(*keys).distinct().withColumn("_cell", number)
+            cells = cells.select(*keys, F.expr(f"_cell % {src.nx}").alias("ix"), F.expr(f"cast(_cell div {src.nx} as int)").alias("iy"))
+        filled = cells.join(df.select(*keys, "ix", "iy", *[quoted(c) for c in columns]), [*keys, "ix", "iy"], "left")
+        for c in columns:
+            filled = focal_fill(filled, c, keys)
+        df = filled
+    return resample(df, src, dst, columns, method, keys)
+
+
 def resample_near(df: DataFrame, src: GridSpec, dst: GridSpec, keys: Sequence[str] = ()) -> DataFrame:
     """Nearest-cell resampling of any column type: each target centre takes the source cell it falls in."""
     spark = df.sparkSession

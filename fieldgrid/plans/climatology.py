@@ -37,7 +37,7 @@ def _anomaly_columns(value_cols: Sequence[str], clim: Mapping[str, str], sd: Map
     for c in value_cols:
         diff = F.col(c) - F.col(clim[c])
         out[f"anomaly_{c}"] = diff
-        out[f"anomaly_scaled_{c}"] = ratio(diff, F.col(sd[c]))
+        out[f"anomaly_scaled_{c}"] = ratio(diff, F.col(sd[c]), F.col(clim[c]))
     return out
 
 

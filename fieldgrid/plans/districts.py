@@ -127,16 +127,3 @@ def district_features(
     out = rows.groupBy(*group).agg(*[mean(quoted(c), na_rm=False).alias(c) for c in numeric])
     out = out.withColumn("outbreak", F.when(F.col("cases") > 0, 1).otherwise(0))
     return relocate(out, [*group, "cases", "outbreak"])
-
-
-# How the model table's variables are aggregated; every other variable is averaged.
-GROUP_VARIABLES = ("date", "forecast_interval", "doy", "month", "year")
-SUM_VARIABLES = ("cases", "glw_cattle", "glw_sheep", "glw_goats")
-MODE_VARIABLES = ("soil_drainage", "soil_texture", "aspect", "slope")
-
-
-def predictor_spec(variables: Sequence[str]) -> dict[str, str | None]:
-    """The aggregation spec of the given model-table variables, for ``aggregate_by_region``."""
-    fixed = {v: None for v in ("x", "y", "ix", "iy", *GROUP_VARIABLES)}
-    fixed |= {v: "SUM" for v in SUM_VARIABLES} | {v: "MODE" for v in MODE_VARIABLES}
-    return {v: fixed.get(v, "AVG") for v in variables}

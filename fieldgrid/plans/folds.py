@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import row_numbers
+from ..session import calendar_side
 
 
 def outer_folds(spark: SparkSession, start_date: str, end_date: str, horizon: int = 90, step: int = 90) -> DataFrame:
@@ -134,7 +135,7 @@ def fold_rows(
 ) -> DataFrame:
     """Rows of one fold with their ``role``; with an inner fold, the training rows with their ``inner_role``."""
     dates = outer.where(F.col("fold_id") == fold_id).select("date", "role")
-    rows = data.join(dates, "date")
+    rows = data.join(calendar_side(dates), "date")
     if inner is None:
         return rows
     here = inner.where(F.col("inner_fold") == inner_fold).select(region_col, "inner_role")

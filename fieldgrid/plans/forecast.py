@@ -162,7 +162,7 @@ def forecast_anomalies(
     for c in value_cols:
         diff = F.col(f"_p_{c}") - F.col(f"_h_{c}")
         built[f"anomaly_forecast_{c}"] = diff
-        built[f"anomaly_forecast_scaled_{c}"] = ratio(diff, F.col(f"_d_{c}"))
+        built[f"anomaly_forecast_scaled_{c}"] = ratio(diff, F.col(f"_d_{c}"), F.col(f"_h_{c}"))
     out = with_date_parts(out.withColumns(built).withColumnRenamed("hi", "forecast_interval"))
     return out.select(*keys, "date", "doy", "month", "year", "forecast_interval", *built)
 
@@ -224,7 +224,7 @@ def recorded_anomalies(
     for c in value_cols:
         diff = F.col(f"_r_{c}") - F.col(f"_h_{c}")
         built[f"anomaly_recorded_{c}"] = diff
-        built[f"anomaly_recorded_scaled_{c}"] = ratio(diff, F.col(f"_h_{c}_sd"))
+        built[f"anomaly_recorded_scaled_{c}"] = ratio(diff, F.col(f"_h_{c}_sd"), F.col(f"_h_{c}"))
     return both.select(*keys, "date", F.col("hi").alias("forecast_interval"), *[v.alias(k) for k, v in built.items()])
 
 

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_present, quoted, recode, row_sum
+from ..functions.columns import quoted, recode, row_sum
 from ..functions.columns import split_complete
 from ..functions.dates import with_date_parts
-from ..operators.grid import GridSpec, dominant_band, resample, resample_mode, resample_near
+from ..operators.grid import GridSpec, dominant_band, regrid, resample_mode, resample_near
 
 # Texture classes folded to seven groups; every other known class becomes 0.
 TEXTURE_GROUPS = {5: "1", 7: "2", 8: "3", 9: "4", 10: "5", 11: "6", 12: "7"}
@@ -70,12 +69,13 @@ def static_layer(
     src: GridSpec | None = None,
     dst: GridSpec | None = None,
     method: str = "cubicspline",
+    fill_na: bool = False,
 ) -> DataFrame:
-    """Plain raster bands, optionally renamed and resampled to the target grid."""
+    """Plain raster bands, optionally renamed, gap-filled and brought to the target grid, finer or coarser."""
     names = dict(columns) if isinstance(columns, Mapping) else {c: c for c in columns}
     out = layer.select("ix", "iy", *[quoted(old).alias(new) for old, new in names.items()])
     if src is not None and dst is not None:
-        out = resample(out, src, dst, list(names.values()), method)
+        out = regrid(out, src, dst, list(names.values()), method, fill_na=fill_na)
     return out
 
 
@@ -87,11 +87,6 @@ def bioclim_layer(layer: DataFrame, src: GridSpec | None = None, dst: GridSpec |
     return static_layer(layer, dict(zip(bands, BIOCLIM)), src, dst)
 
 
-def stack_layers(layers: Sequence[DataFrame]) -> DataFrame:
-    """Layers with different bands side by side, keeping cells any of them covers."""
-    return reduce(lambda a, b: a.join(b, ["ix", "iy"], "full"), layers)
-
-
 def fill_landcover(df: DataFrame, bands: Sequence[str] = LANDCOVER, gap: str = "bare") -> DataFrame:
     """Rows missing the gap band get it as 1 minus the others and 0 for other NULLs; other incomplete rows go."""
     complete, incomplete = split_complete(df, bands)
@@ -111,7 +106,3 @@ def clean_weather(raw: DataFrame) -> DataFrame:
     out = with_date_parts(out, "date", ["doy"])
     renamed = {"rh2m": "relative_humidity", "t2m": "temperature", "prectotcorr": "precipitation"}
     return out.withColumnsRenamed({k: v for k, v in renamed.items() if k in out.columns}).drop("yyyymmdd")
-
-
-def covered(df: DataFrame, bands: Sequence[str]) -> DataFrame:
-    return df.where(all_present(bands))

@@ -37,11 +37,16 @@ def local_session(cores: int = 8, app: str = "fieldgrid", memory: str = "8g", sh
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; fall back to a scratch folder when unset."""
+    """Use the shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a scratch folder; on a cluster executors could not read one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="fieldgrid-checkpoint-"))
 
 

@@ -78,11 +78,13 @@ def parse_key_value_blocks(
     df: DataFrame,
     text: str,
     names: Sequence[str],
-    keys: Sequence[str] = (),
+    keys: Sequence[str],
     opener: str = "Description",
 ) -> DataFrame:
     """``name=value`` lines to one row per block; a block opens at each ``opener`` line.
 
+    ``keys`` name the file; without them lines of all files would be numbered together in one task.
+
     ``text`` is the whole metadata listing of one file, so lines keep their order inside the row and blocks are
     built per file.  Band and metadata headings, lines without ``=`` and everything before the first block are
     skipped.

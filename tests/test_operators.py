@@ -313,13 +313,13 @@ def test_spec_is_checked(spark):
         regions.aggregate_by_region(series(spark, [(0, 0, D(2020, 1, 1), 1.0)]), shape_frame(spark), GRID, {"nope": "AVG"})
 
 
-def test_literal_aggregation_fixture(spark):
-    """Six points with duplicates, so mean, sum and mode differ."""
-    rows = [("2024-01-01", "A", 10, 100, 5), ("2024-01-02", "A", 20, 200, 10), ("2024-01-03", "B", 30, 300, 15), ("2024-01-01", "A", 10, 100, 5), ("2024-01-01", "B", 15, 150, 5), ("2024-01-02", "A", 25, 250, 10)]
-    df = spark.createDataFrame(rows, "date string, category string, value1 int, value2 int, value3 int")
-    keys, aggs = agg.spec_aggregates({"value1": "mean", "value2": "sum", "value3": "mode", "category": None, "date": None})
-    got = {(r.category, r.date): (r.value1_avg, r.value2_sum, r.value3_mode) for r in df.groupBy(*keys).agg(*aggs).collect()}
-    assert got == {("A", "2024-01-01"): (10.0, 200, 5), ("A", "2024-01-02"): (22.5, 450, 10), ("B", "2024-01-03"): (30.0, 300, 15), ("B", "2024-01-01"): (15.0, 150, 5)}
+def test_spec_aggregates_on_nulls_and_ties(spark):
+    """A missing weight, a tie of kinds, and one place with a single row."""
+    rows = [("north", 1.5, 7, 3), ("north", None, 2, 9), ("north", 4.5, 1, 9), ("north", 3.0, 5, 3), ("south", 8.25, 4, 1)]
+    df = spark.createDataFrame(rows, "place string, weight double, visits int, kind int")
+    keys, aggs = agg.spec_aggregates({"place": None, "weight": "mean", "visits": "sum", "kind": "mode"})
+    got = {r.place: (r.weight_avg, r.visits_sum, r.kind_mode) for r in df.groupBy(*keys).agg(*aggs).collect()}
+    assert got == {"north": (3.0, 15, 3), "south": (8.25, 4, 1)}
 
 
 # --- grids ----------------------------------------------------------------------------------------------------
@@ -331,6 +331,45 @@ def test_snap_edges(spark):
     assert got == [(0, 0), (7, 7), (None, None), (None, None), (1, 7)]
 
 
+def test_snap_lines_between_cells_and_odd_coordinates(spark):
+    spec = g.GridSpec(20.0, -10.0, 0.5, 6, 5)
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(20.5, -9.5), (21.0, -8.0), (20.2, -7.5), (20.2, -10.0), (nan, -9.0), (21.0, nan), (3e12, -9.0), (21.0, -3e12), (inf, -9.0), (None, -9.0)], "longitude double, latitude double")
+    got = [(r.ix, r.iy) for r in spec.snap(df).collect()]
+    assert got == [(1, 0), (2, 3), (0, 4), (0, 0)] + [(None, None)] * 6
+    tenth = g.GridSpec(0.0, 0.0, 0.1, 40, 40)
+    lines = spark.createDataFrame([(round(0.1 * k, 1), round(4.0 - 0.1 * k, 1), k) for k in range(1, 40)], "longitude double, latitude double, k int")
+    for r in tenth.snap(lines).collect():  # divided from the west and from the north, as given
+        assert (r.ix, 39 - r.iy) == (math.floor((r.longitude - 0.0) / 0.1), math.floor((4.0 - r.latitude) / 0.1))
+
+
+@pytest.mark.parametrize(("method", "ratio"), [("bilinear", 2), ("bilinear", 10), ("cubicspline", 3)])
+def test_resampling_to_a_coarser_grid_reads_every_cell(spark, method, ratio):
+    src, dst = g.GridSpec(0.0, 0.0, 1.0, 60, 60), g.GridSpec(0.0, 0.0, float(ratio), 60 // ratio, 60 // ratio)
+    df = src.cells(spark).select("ix", "iy", F.when(F.col("ix") % ratio == 0, 10.0 * ratio).otherwise(0.0).alias("v"))
+    out = g.regrid(df, src, dst, ["v"], method)
+    assert out.count() == dst.nx * dst.ny
+    inner = out.where(f"ix BETWEEN 2 AND {dst.nx - 3} AND iy BETWEEN 2 AND {dst.ny - 3}")
+    assert inner.where("abs(v - 10) > 1.01").count() == 0
+
+
+def test_regrid_fills_gaps_by_layer(spark):
+    src = g.GridSpec(0.0, 0.0, 1.0, 4, 4)
+    cells = src.cells(spark).select("ix", "iy")
+    df = cells.withColumn("layer", F.lit("a")).withColumn("v", F.lit(2.0)).where("ix <> 1 OR iy <> 1")
+    df = df.unionByName(cells.withColumn("layer", F.lit("b")).withColumn("v", F.when(F.col("ix") > 0, 3.0)))
+    near = {(r.layer, r.ix, r.iy): r.v for r in g.regrid(df, src, src, ["v"], "bilinear", ["layer"], fill_na=True).collect()}
+    assert near == {(k, x, y): {"a": 2.0, "b": 3.0}[k] for k in "ab" for x in range(4) for y in range(4)}
+
+
+def test_small_unit_series_keep_scaled_anomalies(spark):
+    rows = [(0, 0, D(2000 + y, 1, 1), 2e-9 + y * 1e-10) for y in range(5)] + [(1, 0, D(2000 + y, 1, 1), 0.1) for y in range(5)]
+    df = series(spark, rows)
+    name = [c for c in df.columns if c not in ("ix", "iy", "date")][0]
+    out = climatology.own_anomalies(df, [name]).collect()
+    assert all((r[f"anomaly_scaled_{name}"] is None) == (r.ix == 1) for r in out)
+
+
 @pytest.mark.parametrize("method", ["bilinear", "cubicspline"])
 def test_resampling_keeps_a_constant_and_covers_the_target(spark, method):
     src, dst = g.GridSpec(0.0, 0.0, 1.0, 6, 6), g.GridSpec(0.0, 0.0, 0.25, 24, 24)
@@ -578,9 +617,7 @@ def test_vegetation_fusion_shuffles_composites_not_days(spark):
     assert fused.count() == 16 and all("REPARTITION_BY_NUM" in line for line in exchanges)
 
 
-def test_predictor_spec_and_bioclim_names(spark):
-    spec = districts.predictor_spec(["x", "date", "cases", "slope", "anomaly_ndvi"])
-    assert spec == {"x": None, "date": None, "cases": "SUM", "slope": "MODE", "anomaly_ndvi": "AVG"}
+def test_bioclim_names(spark):
     bands = spark.createDataFrame([(0, 0, *[float(i) for i in range(19)])], ["ix", "iy", *[f"bio_{i}" for i in range(1, 20)]])
     out = layers.bioclim_layer(bands).collect()[0]
     assert out["Annual_Mean_Temperature"] == 0.0 and out["Precipitation_of_Coldest_Quarter"] == 18.0
