@@ -144,8 +144,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
         pairs = shards.join(F.broadcast(right), "dims")
     else:  # blocks of queries are dealt a number; every shard goes to all numbers
         numbers = right.withColumn("_block", F.pmod(F.xxhash64("q_ids"), F.lit(parts)))
-        every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-        pairs = shards.withColumn("_block", every.cast("bigint")).join(numbers, ["dims", "_block"])
+        every = F.explode(F.expr(f"sequence(0L, {parts - 1}L)"))
+        pairs = shards.withColumn("_block", every).join(numbers, ["dims", "_block"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, shard = None, None
