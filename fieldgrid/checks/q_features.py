@@ -211,7 +211,7 @@ cte(
       LEFT JOIN (SELECT DISTINCT date FROM sampled) e ON e.date < m.date - b.near
     GROUP BY ALL""",
 )
-LAGGED = ("anomaly_temperature", "anomaly_scaled_relative_humidity")
+LAGGED = tuple(f"anomaly_{s}{c}" for s in ("", "scaled_") for c in a.WEATHER)
 cte(
     "lag_means",
     "SELECT r.ix, r.iy, r.date, "
@@ -332,8 +332,7 @@ DIST = ["cases", "soil_drainage", "soil_texture", "anomaly_forecast_temperature"
 def _(spark, d):
     rows = cut(masked_predictors(spark, d))  # a stored table in a real run: it is read several times
     response = events.outbreak_response(a.outbreaks(spark, d), a.grid_spec(spark, d), rows, (1, 30, 60))
-    keep = [c for c in rows.columns if not c.startswith("anomaly_") or c in (*LAGGED, "anomaly_forecast_temperature")]
-    return districts.district_features(rows.select(*keep), response)
+    return districts.district_features(rows, response)
 
 
 cte(
@@ -362,7 +361,7 @@ def _(spark, d):
 
 
 _KM = "2 * 63710088e-4 * asin(least(1, sqrt(pow(sin(radians(g.y - o.latitude) / 2), 2) + cos(radians(o.latitude)) * cos(radians(g.y)) * pow(sin(radians(g.x - o.longitude) / 2), 2))))"
-cte("near_events", f"SELECT g.ix, g.iy, o.outbreak_id, o.cases, o.start_date, {_KM} AS km FROM grid g, outbreaks o WHERE {_KM} <= 120")
+cte("near_events", f"SELECT g.ix, g.iy, o.outbreak_id, o.cases, o.start_date, {_KM} AS km FROM grid g, outbreaks o WHERE {_KM} <= 500")
 cte(
     "history",
     """SELECT g.ix, g.iy, m.date, CAST(dayofyear(m.date) AS INT) AS doy, CAST(month(m.date) AS INT) AS month, CAST(year(m.date) AS INT) AS year,
@@ -371,15 +370,13 @@ cte(
       SELECT ix, iy, date, sum(CASE WHEN yrs < 25e-2 THEN w ELSE 0 END) AS r, sum(CASE WHEN yrs >= 25e-2 THEN w ELSE 0 END) AS o
       FROM (SELECT e.ix, e.iy, m.date, (m.date - e.start_date) / 36525e-2 AS yrs,
           CASE WHEN cases IS NULL THEN 1 ELSE log10(cases + 1) END * exp(-5e-1 * ((m.date - e.start_date) / 36525e-2)) * exp(-1e-2 * km) AS w
-        FROM near_events e JOIN model_days m ON m.date > e.start_date AND (m.date - e.start_date) / 36525e-2 < 4)
+        FROM near_events e JOIN model_days m ON m.date > e.start_date AND (m.date - e.start_date) / 36525e-2 < 10)
       GROUP BY 1, 2, 3) h ON h.ix = g.ix AND h.iy = g.iy AND h.date = m.date""",
 )
 
 
 def history(spark, d):
-    return events.outbreak_history(
-        a.model_days(spark, d), a.outbreaks(spark, d), a.grid_spec(spark, d), within_km=120.0, max_years=4.0
-    )
+    return events.outbreak_history(a.model_days(spark, d), a.outbreaks(spark, d), a.grid_spec(spark, d))
 
 
 @query("D17_outbreak_history", "SELECT * FROM history", "outbreak_history_weight_recent outbreak_history_weight_old")
@@ -514,26 +511,26 @@ def _(spark, d):
     return plain.join(layers.fill_landcover(cover, ["trees", "grassland", "bare"]), ["ix", "iy"], "left")
 
 
-SUMMARY = [f"{c}_{s}" for c in ("temperature", "relative_humidity") for s in ("mean", "sd", "min", "max", "range")]
+SUMMARY = [f"{c}_{s}" for c in a.WEATHER for s in ("mean", "sd", "min", "max", "range")]
 
 
 @query(
     "D24_yearly_summary",
     "SELECT ix, iy, "
     + ", ".join(
-        f"CASE WHEN count({c}_{s}) = count(*) THEN avg({c}_{s}) END AS {c}_{s}" for c in ("temperature", "relative_humidity") for s in ("mean", "sd", "min", "max", "range")
+        f"CASE WHEN count({c}_{s}) = count(*) THEN avg({c}_{s}) END AS {c}_{s}" for c in a.WEATHER for s in ("mean", "sd", "min", "max", "range")
     )
     + " FROM (SELECT ix, iy, year(date) AS yr, "
     + ", ".join(
         f"CASE WHEN count({c}) = count(*) THEN {e} END AS {c}_{s}"
-        for c in ("temperature", "relative_humidity")
+        for c in a.WEATHER
         for s, e in (("mean", f"avg({c})"), ("sd", f"stddev_samp({c})"), ("min", f"min({c})"), ("max", f"max({c})"), ("range", f"max({c}) - min({c})"))
     )
     + " FROM daily GROUP BY 1, 2, 3) GROUP BY 1, 2",
     " ".join(SUMMARY),
 )
 def _(spark, d):
-    return climatology.combined_summary(a.daily(spark, d), ["temperature", "relative_humidity"])
+    return climatology.combined_summary(a.daily(spark, d), a.WEATHER)
 
 
 @query(
@@ -572,7 +569,13 @@ def _(spark, d):
     return events.outbreak_spread(points)
 
 
-@query("D26_model_dates")
+@query(
+    "D26_model_dates",
+    """SELECT date, orders FROM (SELECT date, row_number() OVER (PARTITION BY year(date), month(date) ORDER BY md5(strftime(date, '%Y-%m-%d') || ':212'), date) AS r
+      FROM (SELECT CAST(u.day AS DATE) AS date FROM unnest(generate_series((SELECT date_trunc('year', min(o_orderdate)) FROM orders),
+        (SELECT date_trunc('year', max(o_orderdate)) + INTERVAL 1 YEAR - INTERVAL 1 DAY FROM orders), INTERVAL 1 DAY)) AS u(day)))
+    LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS orders FROM orders GROUP BY 1) USING (date) WHERE r <= 2""",
+)
 def _(spark, d):
     """Two sampled days per month over the years of the orders, joined to what was ordered on them."""
     o = a.table(spark, d, "orders").withColumn("date", F.to_date("o_orderdate"))

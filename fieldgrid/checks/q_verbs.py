@@ -309,7 +309,7 @@ cte("unit_cells", "SELECT ix, iy, drainage FROM layers LEFT JOIN soil_key USING
 
 @query("J20_cells_within_distance", "SELECT ix, iy, outbreak_id, exp(-1e-2 * km) AS w FROM near_events", "w")
 def _(spark, d):
-    out = events.distance_weights(a.outbreaks(spark, d), a.grid_spec(spark, d), within_km=120.0)
+    out = events.distance_weights(a.outbreaks(spark, d), a.grid_spec(spark, d), within_km=500.0)
     return out.select("ix", "iy", "outbreak_id", "w")
 
 
@@ -542,18 +542,34 @@ def _(spark, d):
     return a.table(spark, d, "orders").select("o_orderdate", "o_orderkey").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(1)
 
 
-@query("O04_sample_days_per_month")
+def _sampled_sql(days: str, n: int, seed: int) -> str:
+    """The ``n`` days of each month whose seeded hash comes first."""
+    return f"""(SELECT date FROM (SELECT date, row_number() OVER (PARTITION BY year(date), month(date)
+      ORDER BY md5(strftime(date, '%Y-%m-%d') || ':{seed}'), date) AS r FROM (SELECT DISTINCT date FROM {days})) WHERE r <= {n})"""
+
+
+_SHIPPED = "(SELECT CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1)"
+
+
+@query("O04_sample_days_per_month", f"SELECT date, quantity FROM {_sampled_sql(_SHIPPED, 3, 212)} JOIN {_SHIPPED} USING (date)", "quantity")
 def _(spark, d):
     """Three of the shipped days of each month, by seeded hash, with that day's quantity."""
     li = a.table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("quantity"))
     return windows.sample_days(li, 3, 212).join(li, "date")
 
 
-@query("O05_random_tie_break")
+@query("O07_one_random_date", f"SELECT date FROM {_sampled_sql(_SHIPPED, 1, 5)}")
+def _(spark, d):
+    """One of the shipped days of each month."""
+    return windows.sample_days(a.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")), 1, 5)
+
+
+@query("O05_random_tie_break", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, md5(o_custkey || ':7'), o_custkey LIMIT 1")
 def _(spark, d):
     """One of the customers with the most orders, chosen by hash among ties."""
     n = a.table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return n.orderBy(F.desc("n"), F.xxhash64("o_custkey", F.lit(7))).limit(1)
+    draw = F.md5(F.concat_ws(":", F.col("o_custkey").cast("string"), F.lit("7")).cast("binary"))
+    return n.orderBy(F.desc("n"), draw, "o_custkey").limit(1)
 
 
 @query("O06_limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10 OFFSET 20")
@@ -840,7 +856,7 @@ def _(spark, d):
 
 @query("J20_cells_per_event", "SELECT outbreak_id, count(*) AS cells FROM near_events GROUP BY 1")
 def _(spark, d):
-    near = cells_within(a.outbreaks(spark, d), a.grid_spec(spark, d), 120.0)
+    near = cells_within(a.outbreaks(spark, d), a.grid_spec(spark, d), 500.0)
     return near.groupBy("outbreak_id").agg(F.count(F.lit(1)).alias("cells"))
 
 

@@ -122,6 +122,7 @@ def interval_lags(
 
 def sample_days(df: DataFrame, n: int, seed: int, date: str = "date") -> DataFrame:
     """``n`` distinct days of each month by seeded hash order; adding months never changes the others."""
-    w = Window.partitionBy(F.year(date), F.month(date)).orderBy(F.xxhash64(F.col(date), F.lit(seed)), F.col(date))
+    draw = F.md5(F.concat_ws(":", F.date_format(date, "yyyy-MM-dd"), F.lit(seed)).cast("binary"))
+    w = Window.partitionBy(F.year(date), F.month(date)).orderBy(draw, F.col(date))
     days = df.select(date).distinct()
     return days.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")

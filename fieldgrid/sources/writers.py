@@ -40,11 +40,27 @@ def write_parquet(
 
 
 def existing_keys(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
-    """Distinct partition keys stored under ``path``, read with the given types; ``None`` when nothing is there."""
+    """Partition keys stored under ``path``, with the given types; ``None`` when nothing is there.
+
+    A key counts as stored when every file listed under it opens and holds rows, so a damaged or half-written period
+    is built again.  Only footers are read.  Only a missing path means that nothing is stored; other errors are raised.
+    """
+    names = schema.names
     try:
-        return spark.read.schema(schema).parquet(path).distinct()
-    except AnalysisException:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if not set(names) <= set(files.columns):  # no period was ever finished
         return None
+    base = F.element_at(F.split("_path", "/"), -1).alias("_file")
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
+    listed = files.select(*typed, F.col("path").alias("_path")).select(*names, base)
+    opened = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+    opened = opened.select(*names, F.col("_metadata.file_path").alias("_path")).select(*names, base).distinct()
+    damaged = listed.join(opened, [*names, "_file"], "left_anti").select(*names).distinct()
+    return opened.select(*names).distinct().join(damaged, names, "left_anti")
 
 
 def missing_keys(

@@ -669,3 +669,26 @@ def test_rolling_origin_definition(spark, cumulative):
     assert got == want
     bounds = [(r.fold_id, r.train_to, r.assess_from, r.assess_to) for r in folds.rolling_origin_bounds(spark, 31, 10, 3, 4).orderBy("fold_id").collect()]
     assert bounds == [(i, s, s + 1, s + 3) for i, s in enumerate(range(10, 29, 5), 1)]
+
+
+def test_damaged_and_half_written_periods_are_built_again(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    df = spark.createDataFrame([(i, 2000 + i % 3) for i in range(30)], "v int, year int")
+    build = lambda k: df.withColumn("build", F.lit(k))
+    writers.materialize(build(1), path, ["year"])
+    damaged = next((tmp_path / "stored" / "year=2001").glob("*.parquet"))
+    damaged.write_bytes(b"PAR1 cut off")
+    (damaged.parent / f".{damaged.name}.crc").unlink(missing_ok=True)
+    half = tmp_path / "stored" / "year=2002" / "part-half.parquet"
+    half.write_bytes(b"PAR1 begun")
+    got = writers.materialize(build(2), path, ["year"]).groupBy("year", "build").count().collect()
+    assert {(r.year, r.build, r["count"]) for r in got} == {(2000, 1, 10), (2001, 2, 10), (2002, 2, 10)}
+
+
+def test_other_read_errors_are_raised(spark, tmp_path):
+    (tmp_path / "year=1").mkdir()
+    (tmp_path / "year=1" / "x.parquet").write_bytes(b"")
+    (tmp_path / "other=2").mkdir()
+    (tmp_path / "other=2" / "y.parquet").write_bytes(b"")
+    with pytest.raises(Exception, match="(?i)partition"):
+        writers.existing_keys(spark, str(tmp_path), spark.createDataFrame([], "year int").schema)

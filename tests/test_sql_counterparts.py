@@ -27,7 +27,8 @@ def con():
 def test_query(spark, con, name):
     rows, problem = cmp.compare(spark, con, entry_module.queries()[name], ORACLES.get(name), SF_DIR)
     assert problem is None
-    assert rows >= 0
+    if name not in ORACLES:  # no SQL: at least the query has found something to report
+        assert rows > 0
 
 
 def test_entry_has_rows(spark):
