@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import CELL
@@ -96,15 +96,33 @@ def interval_segments(dates: DataFrame, breaks: Sequence[int]) -> DataFrame:
 
 def _segment_sums(clim: DataFrame, segments: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Sums and counts of the daily climatology over each distinct segment, per cell."""
-    distinct = segments.select("first_doy", "last_doy").distinct()  # at most 6,000 pairs of days in one month
-    days = distinct.withColumn("doy", F.explode(F.sequence("first_doy", "last_doy")))
-    sums = [F.sum(c).alias(f"_s_{c}") for c in columns] + [F.count(c).alias(f"_n_{c}") for c in columns]
-    return (
-        clim.select(*keys, "doy", *columns)
-        .join(F.broadcast(days), "doy")  # bounded by the calendar: < 6,000 day pairs x 31 days, under 5 MB
-        .groupBy(*keys, "first_doy", "last_doy")
-        .agg(F.count(F.lit(1)).alias("_days"), *sums)
+    distinct = segments.select("first_doy", "last_doy").distinct()
+    rows = clim.select(*keys, "doy", F.lit(1).alias("_rows"), *columns)
+    sums = {f"_s_{c}": F.col(c) for c in columns} | {f"_n_{c}": F.col(c).isNotNull().cast("long") for c in columns}
+    found = range_sums(rows, "doy", sums | {"_days": F.col("_rows")}, distinct, "first_doy", "last_doy", keys)
+    return found.where("_days > 0")
+
+
+def range_sums(
+    rows: DataFrame, at: str, sums: Mapping[str, Column], ranges: DataFrame, first: str, last: str, keys: Sequence[str]
+) -> DataFrame:
+    """Sums of ``rows`` with ``at`` in ``[first, last]``, for every key that occurs and every row of ``ranges``.
+
+    A range is the difference of two running totals along ``at`` within one key: its ends are put among the key's rows
+    and read off in a single window.  So the cost is that of the rows plus the ranges asked for, however long these
+    are.  ``ranges`` is a calendar table and travels as one array value; NULLs count as 0.
+    """
+    keys, names = list(keys), ranges.columns
+    ids = [F.col(c) for c in names]
+    ends = F.array(
+        F.struct((F.col(first) - 1).alias("_at"), F.lit(-1).alias("_sign"), *ids), F.struct(F.col(last).alias("_at"), F.lit(1).alias("_sign"), *ids)
     )
+    calendar = ranges.select(F.explode(ends).alias("_e")).select(F.collect_set("_e")).scalar()
+    asks = rows.select(*keys).distinct().withColumn("_e", F.explode(calendar)).select(*keys, "_e.*")
+    both = rows.select(*keys, F.col(at).alias("_at"), *[v.alias(k) for k, v in sums.items()]).unionByName(asks, allowMissingColumns=True)
+    upto = Window.partitionBy(*keys).orderBy("_at", F.col("_sign").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    read = both.withColumns({k: F.coalesce(F.sum(k).over(upto), F.lit(0)) for k in sums}).where(F.col("_sign").isNotNull())
+    return read.groupBy(*keys, *names).agg(*[F.sum(F.col(k) * F.col("_sign")).alias(k) for k in sums])
 
 
 def forecast_anomalies(
@@ -124,7 +142,7 @@ def forecast_anomalies(
     The scaled anomaly divides by the mean of the daily deviations.
 
     Climatology (one row per cell and day of year) and forecast (one per cell, issue and lead) are placed by cell
-    once.  The calendar is broadcast behind a size check, and the two sides meet in a union grouped by segment
+    once, and a segment's climatology is a difference of two running totals.  The calendar is broadcast behind a size check, and the two sides meet in a union grouped by segment
     instead of a join on cell, issue and month, so nothing that has been multiplied by dates is shuffled.
     """
     keys = list(keys)
@@ -180,8 +198,7 @@ def recorded_anomalies(
     One row per cell of the climatology, date and interval.  The recorded mean is NULL when a day of the cell is
     NULL or the cell has no day in the interval.
 
-    Days are summed per cell and placed by cell; each day then meets the (date, interval) pairs of the calendar
-    that cover it inside that partition, so the fan-out feeds the aggregate without being shuffled.
+    Days are summed per cell and placed by cell; an interval is a difference of two running totals there.
     """
     keys = list(keys)
     observed = daily.groupBy(*keys, F.col("date").alias("_seen")).agg(
@@ -189,19 +206,19 @@ def recorded_anomalies(
         *[F.sum(c).alias(f"_s_{c}") for c in value_cols],
         *[F.count(c).alias(f"_n_{c}") for c in value_cols],
     )
-    calendar = with_dates(interval_table(dates.sparkSession, breaks), dates).withColumn(
-        "_seen", F.explode(F.sequence(F.date_add("date", F.col("lo")), F.date_add("date", F.col("hi") - 1)))
+    intervals = with_dates(interval_table(dates.sparkSession, breaks), dates).select(
+        "date", "hi", F.unix_date(F.date_add("date", F.col("lo"))).alias("_from"), (F.unix_date("date") + F.col("hi") - 1).alias("_to")
     )
-    seen = (
-        spread(observed, *keys)
-        .join(calendar_side(calendar.drop("lo")), "_seen")
-        .groupBy(*keys, "date", "hi")
-        .agg(
-            *[
-                F.when(F.sum(f"_n_{c}") == F.sum("_rows"), F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}"))).alias(f"_r_{c}")
-                for c in value_cols
-            ]
-        )
+    days = spread(observed, *keys).withColumn("_day", F.unix_date("_seen"))
+    measured = {n: F.col(n) for n in observed.columns if n.startswith(("_s_", "_n_", "_rows"))}
+    seen = range_sums(days, "_day", measured, intervals, "_from", "_to", keys).select(
+        *keys,
+        "date",
+        "hi",
+        *[
+            F.when(F.col(f"_n_{c}") == F.col("_rows"), F.try_divide(F.col(f"_s_{c}"), F.col(f"_n_{c}"))).alias(f"_r_{c}")
+            for c in value_cols
+        ],
     )
     sds = [f"{c}_sd" for c in value_cols]
     segments = calendar_side(interval_segments(dates, breaks))

@@ -594,7 +594,20 @@ def test_forecast_anomalies_shuffle_nothing_after_placing(spark, tmp_path):
     fc, clim = spark.read.parquet(str(tmp_path / "fc")), spark.read.parquet(str(tmp_path / "clim"))
     plan = plan_of(forecast.forecast_anomalies(fc, clim, date_frame(spark, [D(2020, 3, 20)]), (0, 30), ["v"]))
     by_cell = [line for line in plan.splitlines() if "Exchange hashpartitioning(ix" in line]
-    assert len(by_cell) == 2 and "SortMergeJoin" not in plan
+    assert len(by_cell) == 3 and "SortMergeJoin" not in plan  # forecast, climatology, and its cells alone
+
+
+def test_forecast_anomalies_of_daily_dates_do_not_repeat_the_climatology(spark):
+    clim = spark.createDataFrame([(x, 0, d, float(d), 1.0) for x in range(3) for d in range(1, 367) if d % 5], "ix int, iy int, doy int, v double, v_sd double")
+    dates = date_frame(spark, days(D(2020, 1, 1), 366))
+    segments = forecast.interval_segments(dates, (0, 30, 60))
+    got = {(r.ix, r.first_doy, r.last_doy): (r._days, r._s_v) for r in forecast._segment_sums(clim, segments, ["v"], ["ix", "iy"]).collect()}
+    spans = {(r.first_doy, r.last_doy) for r in segments.collect()}
+    want = {(x, a, b): [d for d in range(a, b + 1) if d % 5] for x in range(3) for a, b in spans}
+    assert {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in want.items() if v}
+    assert all(abs(got[k][1] - sum(v)) < 1e-6 for k, v in want.items() if v)
+    plan = plan_of(forecast._segment_sums(clim, segments, ["v"], ["ix", "iy"]))
+    assert "Join" not in plan
 
 
 def test_masking_does_not_shuffle_rows(spark):
