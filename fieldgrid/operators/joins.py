@@ -47,10 +47,16 @@ def natural_join_distinct(frames: Iterable[DataFrame]) -> DataFrame:
     """``SELECT DISTINCT * .. NATURAL JOIN .. WHERE every column IS NOT NULL``.
 
     Distinct and the null rule are pushed into each input.  The result is the same set, because a natural join
-    keeps every column of its inputs, and duplicates cannot multiply in the join; copies collapse before the
-    shuffle.
+    keeps every column of its inputs, and duplicates cannot multiply in the join.  Where all steps join on the same
+    columns, each input is placed by them once, which serves both its distinct and the join.
     """
-    return natural_join([drop_incomplete(f).distinct() for f in frames])
+    frames = [drop_incomplete(f) for f in frames]
+    on = [c for c in frames[0].columns if all(c in f.columns for f in frames)]
+    seen, same = set(frames[0].columns), bool(on)
+    for f in frames[1:]:
+        same &= seen & set(f.columns) == set(on)
+        seen |= set(f.columns)
+    return natural_join([f.repartition(*on).distinct() if same else f.distinct() for f in frames])
 
 
 def union_or_natural(frames: Sequence[DataFrame]) -> DataFrame:

@@ -705,3 +705,18 @@ def test_other_read_errors_are_raised(spark, tmp_path):
     (tmp_path / "other=2" / "y.parquet").write_bytes(b"")
     with pytest.raises(Exception, match="(?i)partition"):
         writers.existing_keys(spark, str(tmp_path), spark.createDataFrame([], "year int").schema)
+
+
+def test_distinct_natural_join_moves_each_stored_source_once(spark, tmp_path):
+    for name, column in (("a", "u"), ("b", "v")):
+        rows = [(i % 4, i % 3, float(i % 6)) for i in range(60)] + [(None, 1, 1.0)]
+        spark.createDataFrame(rows, f"ix int, iy int, {column} double").write.parquet(str(tmp_path / name))
+    frames = [spark.read.parquet(str(tmp_path / n)) for n in "ab"]
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.natural_join_distinct(frames)
+        assert plan_of(out).count("Exchange hashpartitioning") == 2
+        assert out.count() == 12
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
