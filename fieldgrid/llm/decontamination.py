@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .textkernel import SIGNS, Words, text_slices, words
 
 SHINGLE = 4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20  # of item text; an index takes some twenty times that
 
 
 @dataclass
