@@ -132,14 +132,19 @@ def fold_rows(
     inner: DataFrame | None = None,
     inner_fold: int | None = None,
     region_col: str = "region",
+    unlisted: str | None = None,
 ) -> DataFrame:
-    """Rows of one fold with their ``role``; with an inner fold, the training rows with their ``inner_role``."""
+    """Rows of one fold with their ``role``; with an inner fold, the training rows with their ``inner_role``.
+
+    Districts that the inner table does not list for the fold have the role ``unlisted``, or are left out.
+    """
     dates = outer.where(F.col("fold_id") == fold_id).select("date", "role")
     rows = data.join(calendar_side(dates), "date")
     if inner is None:
         return rows
     here = inner.where(F.col("inner_fold") == inner_fold).select(region_col, "inner_role")
-    return rows.where(F.col("role") == "train").join(here, region_col)
+    rows = rows.where(F.col("role") == "train").join(here, region_col, "inner" if unlisted is None else "left")
+    return rows if unlisted is None else rows.withColumn("inner_role", F.coalesce("inner_role", F.lit(unlisted)))
 
 
 def rolling_origin(
@@ -192,9 +197,13 @@ def rolling_origin_bounds(spark: SparkSession, n: int, initial: int, assess: int
 
 
 def leave_location_out(data: DataFrame, location: str) -> DataFrame:
-    """``location, inner_fold, inner_role``: each location is left out once (folds numbered in name order)."""
-    places = data.select(location).distinct()
-    return inner_assignments(places.withColumn("cluster", F.dense_rank().over(Window.orderBy(location))), location)
+    """``location, inner_fold, inner_role``: each location is left out once (folds numbered in name order).
+
+    One row per location, the fold that assesses it; it trains all others (``fold_rows(..., unlisted="train")``), so
+    nothing grows with the square of the locations.
+    """
+    places = row_numbers(data.select(location).distinct(), [location], "inner_fold")
+    return places.select(location, F.col("inner_fold").cast("int").alias("inner_fold"), F.lit("assess").alias("inner_role"))
 
 
 def holdout_split(data: DataFrame, cut: str, date: str = "date") -> tuple[DataFrame, DataFrame]:

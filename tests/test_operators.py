@@ -720,3 +720,12 @@ def test_distinct_natural_join_moves_each_stored_source_once(spark, tmp_path):
         assert out.count() == 12
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_left_out_location_trains_nothing_else(spark):
+    data = spark.createDataFrame([(r, D(2020, 1, d)) for r in "cab" for d in (1, 2)], "region string, date date")
+    outer = spark.createDataFrame([(1, D(2020, 1, 1), "train"), (1, D(2020, 1, 2), "assess")], "fold_id int, date date, role string")
+    inner = folds.leave_location_out(data, "region")
+    assert {(r.region, r.inner_fold) for r in inner.collect()} == {("a", 1), ("b", 2), ("c", 3)}
+    rows = folds.fold_rows(data, outer, 1, inner, 2, unlisted="train").collect()
+    assert {(r.region, r.inner_role) for r in rows} == {("a", "train"), ("b", "assess"), ("c", "train")} and len(rows) == 3
