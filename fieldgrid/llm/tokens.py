@@ -16,6 +16,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CACHE_PIECES = 600_000  # pieces kept per worker; beyond it the cache starts anew
 
+# Between one of these letters and a full stop or comma every vocabulary here ends a token.
+_LETTERS = frozenset(map(chr, [*range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0xF8, 0x100)]))
 _doubtful = re.compile(r"[ \n]\s|<\|")
 _loaded: dict[tuple[str, bool], "PieceEncoder"] = {}
 
@@ -42,25 +44,31 @@ class PieceEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces in one call, told apart by the vocabulary's end mark, which no piece contains."""
-        for k in range(0, len(pieces), 20_000):
-            part = pieces[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
+    def _learn(self, pieces: set[str]) -> None:
+        """Encode new pieces in few calls, told apart by the vocabulary's end mark, which no piece contains.
+
+        Of a word with a full stop or comma after its last letter only the word is encoded.
+        """
+        closed = [p for p in pieces if p[-1] in ".," and p[-2:-1] in _LETTERS]
+        stems = pieces.difference(closed)
+        stems.update([p[:-1] for p in closed])
+        stems.update(".,")
+        stems.difference_update(self.cache)
+        words = list(stems)
+        parts = [words[k : k + 200] for k in range(0, len(words), 200)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([self.mark.join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             begins = np.append(0, ends[:-1] + 1)
             flat = ids.tobytes()
             self.cache.update((p, flat[4 * b : 4 * e]) for p, b, e in zip(part, begins.tolist(), ends.tolist()))
+        get = self.cache.__getitem__
+        self.cache.update([(p, get(p[:-1]) + get(p[-1])) for p in closed])
 
     def _pieces(self, text: str) -> list[str]:
-        if not self.blanks_kept:
-            return text.replace("\n", " ").split(" ")
-        lines = text.split("\n")
-        out = lines[0].replace(" ", "\0 ").split("\0")
-        for line in lines[1:]:
-            out.append("\n")
-            out += line.replace(" ", "\0 ").split("\0")
-        return out
+        if self.blanks_kept:
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         split: list[list[str] | None] = []
@@ -75,7 +83,7 @@ class PieceEncoder:
                 new.update(s)
         new.difference_update(self.cache)
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self.cache.__getitem__
         return [self._whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
