@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,6 +19,10 @@ CACHE_PIECES = 600_000  # pieces kept per worker; beyond it the cache starts ane
 
 # Between one of these letters and a full stop or comma every vocabulary here ends a token.
 _LETTERS = frozenset(map(chr, [*range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0xF8, 0x100)]))
+_plain_word = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+# Byte-level vocabularies write each byte as one letter: visible Latin-1 as itself, the others from U+0100 on, in order.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 _doubtful = re.compile(r"[ \n]\s|<\|")
 _loaded: dict[tuple[str, bool], "PieceEncoder"] = {}
 
@@ -45,23 +50,30 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        """Encode new pieces in few calls, told apart by the vocabulary's end mark, which no piece contains.
+        """Encode new pieces.  Of a word with a full stop or comma after its last letter only the word is encoded.
 
-        Of a word with a full stop or comma after its last letter only the word is encoded.
+        Words of letters go to the library's model alone; other pieces go through the whole tokenizer, many in one
+        call, told apart by the vocabulary's end mark, which no piece contains.
         """
         closed = [p for p in pieces if p[-1] in ".," and p[-2:-1] in _LETTERS]
         stems = pieces.difference(closed)
         stems.update([p[:-1] for p in closed])
         stems.update(".,")
         stems.difference_update(self.cache)
-        words = list(stems)
-        parts = [words[k : k + 200] for k in range(0, len(words), 200)]
+        model, fold, cache, rest = self.tokenizer.model.tokenize, not self.blanks_kept, self.cache, []
+        for p in stems:
+            if _plain_word(p):  # one token run of the vocabulary, without the library's splitting
+                text = (p.lower() if fold else p).encode().decode("latin-1").translate(_BYTE_LETTERS)
+                cache[p] = array("I", [t.id for t in model(text)]).tobytes()
+            else:
+                rest.append(p)
+        parts = [rest[k : k + 200] for k in range(0, len(rest), 200)]
         for part, found in zip(parts, self.tokenizer.encode_batch_fast([self.mark.join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             begins = np.append(0, ends[:-1] + 1)
             flat = ids.tobytes()
-            self.cache.update((p, flat[4 * b : 4 * e]) for p, b, e in zip(part, begins.tolist(), ends.tolist()))
+            cache.update((p, flat[4 * b : 4 * e]) for p, b, e in zip(part, begins.tolist(), ends.tolist()))
         get = self.cache.__getitem__
         self.cache.update([(p, get(p[:-1]) + get(p[-1])) for p in closed])
 
