@@ -10,14 +10,16 @@ Documents with equal sets are one class.  Classes that agree in all rows of a ba
 
 1. Each bucket compares its classes with one hub, the class whose buckets hold most; the work is linear in the
    bucket, whatever its size.
-2. Where a bucket still holds more than one component, its pairs of different components are compared by sketch, in
-   blocks, and those that may be similar enough are verified.  There is no limit on partners or candidates.
+2. Where a bucket still holds more than one component, its pairs of different components are compared, in blocks, by
+   a longer sketch of one bit a coordinate, and those that may be similar enough are verified.  There is no limit on
+   partners or candidates.
 
 Every link is confirmed on the full sets.  At the threshold a pair shares no band with a probability of 2e-7.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +35,18 @@ SHINGLE = 5
 BANDS, ROWS = 26, 5
 COORDINATES = BANDS * ROWS
 PERCENT = 85
-LEAST_EQUAL = 86  # equal bins of 130; a pair at the threshold has fewer with a probability below 1e-8
+FINE = 2048  # coordinates, one bit each, by which pairs of one bucket are compared before they are verified
 BLOCK = 1024  # classes of a bucket compared at once
 
-_ROUNDS = np.random.default_rng(77).integers(1, 2**63, 2 * COORDINATES, dtype=np.uint64)
+_SEED = np.uint64(0x2545F4914F6CDD1D)
 _OTHER = np.uint64(0x8CB92BA72F3D8DD7)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
+def _rounds(n: int) -> np.ndarray:
+    return mix(_SEED + np.arange(n, dtype=np.uint64))
+
+
 def shingle_sets(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text in ascending order, and where each text's begin.
 
@@ -59,34 +65,44 @@ def shingle_sets(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(doc[new], np.arange(len(count) + 1))
 
 
-def sketches(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sets x coordinates; a set without elements keeps empty (all-ones) bins."""
+def sketches(elements: np.ndarray, first: np.ndarray, bins: int = COORDINATES) -> np.ndarray:
+    """Sets x bins; a set without elements keeps empty (all-ones) bins."""
     sets = len(first) - 1
-    out = np.full(sets * COORDINATES, np.uint64(2**64 - 1))
+    out = np.full(sets * bins, np.uint64(2**64 - 1))
     doc = np.repeat(np.arange(sets), np.diff(first))
-    for i in range(2 * COORDINATES):
-        if not len(elements):
-            break
-        h = mix(elements ^ _ROUNDS[i])
-        if i < COORDINATES:
-            bins = ((h >> np.uint64(32)) * np.uint64(COORDINATES) >> np.uint64(32)).astype(np.int64)
-        else:
-            bins = np.full(len(h), i - COORDINATES)
-        np.minimum.at(out, doc * COORDINATES + bins, (np.uint64(i) << np.uint64(32)) | (h & _LOW))
-        full = (out.reshape(sets, COORDINATES) != np.uint64(2**64 - 1)).all(axis=1)
-        going = ~full[doc]
+    i = 0
+    while i < 2 * bins and len(elements):
+        several = min(max(1, 4096 // len(elements)), 2 * bins - i)  # rounds at once where few elements are left
+        rounds = np.arange(i, i + several)[:, None]
+        h = mix(elements[None, :] ^ _rounds(2 * bins)[i : i + several, None])
+        place = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        place = np.where(rounds < bins, place, rounds - bins)
+        np.minimum.at(out, (doc * bins + place).ravel(), ((rounds.astype(np.uint64) << np.uint64(32)) | (h & _LOW)).ravel())
+        i += several
+        going = ~(out.reshape(sets, bins) != np.uint64(2**64 - 1)).all(axis=1)[doc]
         if not going.all():
             elements, doc = elements[going], doc[going]
-    return out.reshape(sets, COORDINATES)
+    return out.reshape(sets, bins)
+
+
+def fine_sketches(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sets x ``FINE / 8`` bytes: one bit of each of ``FINE`` coordinates."""
+    return np.packbits((mix(sketches(elements, first, FINE)) & np.uint64(1)).astype(np.uint8), axis=1)
 
 
-def _signatures(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For slices of texts: set sizes, 128-bit set identities, sketches (16 bits a bin) and band values."""
+def least_equal_bits(percent: int) -> int:
+    """A pair of that similarity has fewer equal bits with a probability of 2e-8 (5.5 standard deviations)."""
+    p = (1 + percent / 100) / 2
+    return math.floor(FINE * p - 5.5 * math.sqrt(FINE * p * (1 - p)))
+
+
+def _signatures(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For slices of texts: set sizes, 128-bit set identities and band values."""
     for _, _, data, offsets in text_slices(texts):
         elements, first = shingle_sets(words(data, offsets, lower=True))
         size = np.diff(first)
         sums = np.zeros((2, len(elements) + 1), np.uint64)
-        np.cumsum(mix(elements ^ _ROUNDS[0]), out=sums[0, 1:])
+        np.cumsum(mix(elements ^ _SEED), out=sums[0, 1:])
         np.cumsum(mix(elements ^ _OTHER), out=sums[1, 1:])
         identity = (sums[:, first[1:]] - sums[:, first[:-1]]).T
         s = sketches(elements, first)
@@ -96,29 +112,27 @@ def _signatures(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
             for r in range(ROWS):
                 h = mix(h * np.uint64(31) + s[:, b * ROWS + r])
             band[:, b] = h
-        yield size, identity, mix(s).astype(np.uint16), band
+        yield size, identity, band
 
 
 def signatures(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, n, node, other, sketch, bands``: ``node`` and ``other`` identify the set."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("sketch", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """``key, n, node, other, bands``: ``node`` and ``other`` identify the set."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for size, identity, sketch, band in _signatures(batch.column(1)):
+            for size, identity, band in _signatures(batch.column(1)):
                 k = len(size)
-                raw = sketch.tobytes()
-                step = 2 * COORDINATES
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * BANDS), pa.array(band.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, k), pa.array(size), pa.array(identity[:, 0].astype(np.uint64).view(np.int64)), pa.array(np.ascontiguousarray(identity[:, 1]).view(np.int64)), pa.array([raw[i * step : (i + 1) * step] for i in range(k)], pa.binary()), bands],
+                    [batch.column(0).slice(at, k), pa.array(size), pa.array(identity[:, 0].astype(np.uint64).view(np.int64)), pa.array(np.ascontiguousarray(identity[:, 1]).view(np.int64)), bands],
                     schema=schema,
                 )
                 at += k
 
     return documents.select(F.col(key).cast("long"), F.col(text)).mapInArrow(
-        task, f"{key} long, n long, node long, other long, sketch binary, bands array<long>"
+        task, f"{key} long, n long, node long, other long, bands array<long>"
     )
 
 
@@ -135,7 +149,7 @@ def full_sets(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 elements, first = shingle_sets(words(data, offsets, lower=True))
                 raw = elements.tobytes()
                 sums = np.zeros(len(elements) + 1, np.uint64)
-                np.cumsum(mix(elements ^ _ROUNDS[0]), out=sums[1:])
+                np.cumsum(mix(elements ^ _SEED), out=sums[1:])
                 identity = (sums[first[1:]] - sums[first[:-1]]).view(np.int64).tolist()
                 edges = first.tolist()
                 out += [(identity[i], raw[8 * edges[i] : 8 * edges[i + 1]]) for i in range(len(edges) - 1)]
@@ -198,13 +212,25 @@ def _candidates_by_hub(buckets: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
-def _candidates_across(buckets: DataFrame, percent: int) -> DataFrame:
+def _candidates_across(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a bucket and whose sizes and sketches allow the similarity.
 
-    ``buckets`` has ``bucket, node, root, n, sketch``.  A bucket beyond ``BLOCK`` classes is compared block by block.
+    ``buckets`` has ``bucket, node, root, n``, ``sets`` the elements of every node.  A bucket beyond ``BLOCK`` classes
+    is compared block by block.
     """
+    least = least_equal_bits(percent)
     size = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"), F.min("root").alias("_low"), F.max("root").alias("_high"))
-    open_ones = buckets.join(size.where("_low != _high"), "bucket")
+    open_ones = cut(buckets.join(size.where("_low != _high"), "bucket"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1).slice(k, 64)]
+                bits = fine_sketches(np.concatenate(own), np.cumsum([0, *map(len, own)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 64), pa.array([x.tobytes() for x in bits], pa.binary())], names=["node", "sketch"])
+
+    needed = sets.join(open_ones.select("node").distinct(), "node", "left_semi").select("node", "elements")
+    open_ones = open_ones.join(needed.mapInArrow(sketch, "node long, sketch binary"), "node")
     blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
     placed = open_ones.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     others = F.transform(
@@ -215,7 +241,7 @@ def _candidates_across(buckets: DataFrame, percent: int) -> DataFrame:
     def task(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
         left, right = frame[frame["_own"] == i], frame[frame["_own"] == j]
-        s = np.frombuffer(b"".join(right["sketch"]), np.uint16).reshape(-1, COORDINATES)
+        s = np.frombuffer(b"".join(right["sketch"]), np.uint64).reshape(-1, FINE // 64)
         n, root, node = right["n"].to_numpy(), right["root"].to_numpy(), right["node"].to_numpy()
         a, b = [], []
         for x, size_x, root_x, node_x in zip(left["sketch"], left["n"].to_numpy(), left["root"].to_numpy(), left["node"].to_numpy()):
@@ -223,7 +249,7 @@ def _candidates_across(buckets: DataFrame, percent: int) -> DataFrame:
             if i == j:
                 fit = fit[node[fit] < node_x]
             if len(fit):
-                fit = fit[(s[fit] == np.frombuffer(x, np.uint16)).sum(axis=1) >= LEAST_EQUAL]
+                fit = fit[FINE - np.bitwise_count(s[fit] ^ np.frombuffer(x, np.uint64)).sum(axis=1, dtype=np.int64) >= least]
                 a += [node_x] * len(fit)
                 b += node[fit].tolist()
         a, b = np.array(a, np.int64), np.array(b, np.int64)
@@ -242,7 +268,7 @@ def classes_and_links(documents: DataFrame, key: str = "doc_id", text: str = "te
         raise ValueError("bands are laid out for a similarity of 0.8 or more")
     rows = cut(signatures(documents, key, text))
     full = rows.where("n > 0")
-    classes = full.groupBy("node").agg(F.min(key).alias("_key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    classes = full.groupBy("node").agg(F.min(key).alias("_key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes)
     spread = classes.select("node", F.explode("bands").alias("bucket"))
     crowd = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -254,8 +280,8 @@ def classes_and_links(documents: DataFrame, key: str = "doc_id", text: str = "te
     sets = cut(full_sets(texts, text, classes.select("_key", "node").join(weight.select("node"), "node", "left_semi")))
     links = cut(similar(_candidates_by_hub(buckets), sets, percent))
     roots = components(links)
-    known = classes.select("node", "n", "sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    across = _candidates_across(buckets.select("bucket", "node").join(known, "node"), percent)
+    known = classes.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    across = _candidates_across(buckets.select("bucket", "node").join(known, "node"), sets, percent)
     more = cut(similar(across, sets, percent))
     roots = components(links.unionByName(more))
     named = classes.select("node", "_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
