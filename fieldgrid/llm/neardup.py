@@ -215,7 +215,7 @@ def _candidates_by_hub(buckets: DataFrame) -> DataFrame:
 def _candidates_across(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a bucket and whose sizes and sketches allow the similarity.
 
-    ``buckets`` has ``bucket, node, root, n``, ``sets`` the elements of every node.  A bucket beyond ``BLOCK`` classes
+    ``buckets`` has ``bucket, node, root, n, bands``, ``sets`` the elements of every node.  A bucket beyond ``BLOCK`` classes
     is compared block by block.
     """
     least = least_equal_bits(percent)
@@ -236,26 +236,29 @@ def _candidates_across(buckets: DataFrame, sets: DataFrame, percent: int) -> Dat
     others = F.transform(
         F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least("_own", o).alias("i"), F.greatest("_own", o).alias("j"))
     )
-    meeting = placed.withColumn("_meet", F.explode(others)).select("bucket", "_meet.i", "_meet.j", "_own", "node", "root", "n", "sketch")
+    meeting = placed.withColumn("_meet", F.explode(others)).select("bucket", "_meet.i", "_meet.j", "_own", "node", "root", "n", "bands", "sketch")
 
     def task(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
+        i, j, bucket = int(frame["i"].iloc[0]), int(frame["j"].iloc[0]), int(frame["bucket"].iloc[0])
         left, right = frame[frame["_own"] == i], frame[frame["_own"] == j]
         s = np.frombuffer(b"".join(right["sketch"]), np.uint64).reshape(-1, FINE // 64)
         n, root, node = right["n"].to_numpy(), right["root"].to_numpy(), right["node"].to_numpy()
+        bands = np.array(right["bands"].tolist(), np.int64).reshape(-1, BANDS)
         a, b = [], []
-        for x, size_x, root_x, node_x in zip(left["sketch"], left["n"].to_numpy(), left["root"].to_numpy(), left["node"].to_numpy()):
+        for x, bands_x, size_x, root_x, node_x in zip(left["sketch"], left["bands"], left["n"].to_numpy(), left["root"].to_numpy(), left["node"].to_numpy()):
             fit = np.flatnonzero((root != root_x) & (100 * np.minimum(n, size_x) >= percent * np.maximum(n, size_x)))
             if i == j:
                 fit = fit[node[fit] < node_x]
             if len(fit):
                 fit = fit[FINE - np.bitwise_count(s[fit] ^ np.frombuffer(x, np.uint64)).sum(axis=1, dtype=np.int64) >= least]
+                same = bands[fit] == np.asarray(bands_x)
+                fit = fit[bands[fit, same.argmax(axis=1)] == bucket]  # once, in the first band that a pair shares
                 a += [node_x] * len(fit)
                 b += node[fit].tolist()
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    return meeting.groupBy("bucket", "i", "j").applyInPandas(task, "a long, b long").distinct()
+    return meeting.groupBy("bucket", "i", "j").applyInPandas(task, "a long, b long")
 
 
 def classes_and_links(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -280,7 +283,7 @@ def classes_and_links(documents: DataFrame, key: str = "doc_id", text: str = "te
     sets = cut(full_sets(texts, text, classes.select("_key", "node").join(weight.select("node"), "node", "left_semi")))
     links = cut(similar(_candidates_by_hub(buckets), sets, percent))
     roots = components(links)
-    known = classes.select("node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = classes.select("node", "n", "bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     across = _candidates_across(buckets.select("bucket", "node").join(known, "node"), sets, percent)
     more = cut(similar(across, sets, percent))
     roots = components(links.unionByName(more))
