@@ -36,6 +36,7 @@ BANDS, ROWS = 26, 5
 COORDINATES = BANDS * ROWS
 PERCENT = 85
 FINE = 2048  # coordinates, one bit each, by which pairs of one bucket are compared before they are verified
+EDGES = 250_000  # of the component search, for each task
 BLOCK = 1024  # classes of a bucket compared at once
 
 _SEED = np.uint64(0x2545F4914F6CDD1D)
@@ -200,8 +201,9 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-        large = toward_least(now, True).where("a != b").distinct()
-        now = cut(toward_least(large, False).where("a != b").distinct())
+        parts = max(1, -(-state[0] // EDGES))  # few edges need few tasks, and leave few files behind each round
+        large = toward_least(now, True).where("a != b").coalesce(parts)
+        now = cut(toward_least(large, False).where("a != b").distinct().coalesce(parts))
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
