@@ -154,7 +154,7 @@ def write_records(documents: DataFrame, folder: str, vocabulary: str, end_id: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        coder, pack, edges = encoder(vocabulary, True), zstandard.ZstdCompressor(level=3), np.array(bounds, np.int64)
+        coder, pack, edges = encoder(vocabulary, True), zstandard.ZstdCompressor(level=1), np.array(bounds, np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH):
                 keys = batch.column(0).slice(k, BATCH).to_pylist()

@@ -15,7 +15,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_PIECES = 600_000  # pieces kept per worker; beyond it the cache starts anew
+CACHE_PIECES = 450_000  # pieces in the younger half of a worker's cache; beyond it the older half goes
 
 # Between one of these letters and a full stop or comma every vocabulary here ends a token.
 _LETTERS = frozenset(map(chr, [*range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0xF8, 0x100)]))
@@ -23,6 +23,7 @@ _plain_word = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").f
 # Byte-level vocabularies write each byte as one letter: visible Latin-1 as itself, the others from U+0100 on, in order.
 _VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_LETTERS = {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_BLANK = _BYTE_LETTERS[0x20]
 _doubtful = re.compile(r"[ \n]\s|<\|")
 _loaded: dict[tuple[str, bool], "PieceEncoder"] = {}
 
@@ -40,11 +41,8 @@ class PieceEncoder:
         self.blanks_kept = blanks_kept
         self.mark = "<|endoftext|>"
         self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.cache: dict[str, bytes] = {}
-        self.fresh()
-
-    def fresh(self) -> None:
-        self.cache = {"": b""}
+        self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -55,6 +53,9 @@ class PieceEncoder:
         Words of letters go to the library's model alone; other pieces go through the whole tokenizer, many in one
         call, told apart by the vocabulary's end mark, which no piece contains.
         """
+        known = self.older.keys() & pieces
+        self.cache.update(zip(known, map(self.older.__getitem__, known)))
+        pieces = pieces - known
         closed = [p for p in pieces if p[-1] in ".," and p[-2:-1] in _LETTERS]
         stems = pieces.difference(closed)
         stems.update([p[:-1] for p in closed])
@@ -63,7 +64,11 @@ class PieceEncoder:
         model, fold, cache, rest = self.tokenizer.model.tokenize, not self.blanks_kept, self.cache, []
         for p in stems:
             if _plain_word(p):  # one token run of the vocabulary, without the library's splitting
-                text = (p.lower() if fold else p).encode().decode("latin-1").translate(_BYTE_LETTERS)
+                text = p.lower() if fold else p
+                if not text.isascii():
+                    text = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                elif text[0] == " ":
+                    text = _BLANK + text[1:]
                 cache[p] = array("I", [t.id for t in model(text)]).tobytes()
             else:
                 rest.append(p)
@@ -88,7 +93,7 @@ class PieceEncoder:
             odd = t is not None and ("\0" in t or (_doubtful.search(t) is not None if self.blanks_kept else "<|" in t))
             split.append(None if odd else self._pieces(t or ""))
         if len(self.cache) > CACHE_PIECES:
-            self.fresh()
+            self.cache, self.older = {"": b""}, self.cache
         new: set[str] = set()
         for s in split:
             if s is not None:
