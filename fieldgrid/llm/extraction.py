@@ -64,6 +64,16 @@ _OUT_WORDS = frozenset(
     "disqus footer header masthead form search toolbar widget complementary contentinfo pagination pager".split()
 )
 _IN_WORDS = frozenset("article content post entry story main".split())
+# Of the former: regions whose articles are not the page's own; and words that say nothing before a content word, as in banner-story.
+_COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
+_REGIONS = _COMMENTS | frozenset(
+    "menu menubar nav navbar navigation topnav subnav breadcrumb breadcrumbs related recommended footer complementary contentinfo".split()
+)
+_WEAK = frozenset("banner promo promotion sponsor sponsored notice notices alert announcement header masthead search privacy overlay widget".split())
+_MODIFIERS = frozenset("no not non with without has have hide".split())  # what follows is a trait: no-sidebar, page-with-sidebar
+_REOPENED = frozenset("form fieldset dialog".split())  # of _OUT, those that may hold the article
+_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_SIGNS = "+-*~="
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
@@ -72,22 +82,49 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?|\Z", re.I) for t in _RAW}
 _WORD = re.compile(r"[^a-z0-9]+")
 
 
+def _named(tag: str, name: str, value: str) -> str:
+    """The sign that the words of one attribute give, the strongest of its parts."""
+    found = set()
+    for part in value.split():
+        words = [w for w in _WORD.split(part) if w]
+        trait = next((i for i, w in enumerate(words) if w in _MODIFIERS), None)
+        if trait is not None:
+            words = words[:trait]
+        outs = _OUT_WORDS.intersection(words if trait is not None else (*words, part))
+        if outs and words[-1] in _IN_WORDS and outs <= _WEAK:
+            outs = frozenset()
+        if not outs:
+            if not _IN_WORDS.isdisjoint(words) or "articlebody" in words:
+                found.add("*")
+        elif tag in _TEXT or (tag == "section" and name == "id" and outs.isdisjoint(_COMMENTS)) or outs <= {"header", "masthead"}:
+            found.add("=")
+        elif not outs.isdisjoint(_REGIONS) or part in ("sidebar", "side-bar"):
+            return "-"
+        else:
+            found.add("~")
+    return next((x for x in "~*=" if x in found), "")
+
+
 def _role(tag: str, text: str) -> str:
-    """``-`` for elements that are no article by tag or attributes, ``+`` for those that hold one, else nothing."""
-    if tag in _OUT:
+    """``-`` and ``~`` for elements that are no article by tag or attributes, ``+`` and ``*`` for those that hold one.
+
+    An article below ``~`` is one all the same; ``=`` is for names that also occur inside articles, as of a heading, and
+    is no sign there.
+    """
+    if tag in _OUT and tag not in _REOPENED:
         return "-"
-    role = "+" if tag in ("article", "main") else ""
+    role = "+" if tag in ("article", "main") else "~" if tag in _REOPENED else ""
     if len(text) > len(tag) + 2:
         for name, a, b, c in _ATTRIBUTE.findall(text[len(tag) + 1 :].rstrip("/>")):
             name, value = name.lower(), (a or b or c).lower()
             if name == "hidden" or (name == "class" and "hidden" in value.split()) or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                 return "-"
-            if name in ("class", "id", "role", "itemprop"):
-                words = {w for part in value.split() for w in (*_WORD.split(part), part)}
-                if tag not in ("html", "body", "article", "main") and words & _OUT_WORDS:
+            if name in ("class", "id", "role", "itemprop") and tag not in ("html", "body", "article", "main"):
+                sign = _named(tag, name, value)
+                if sign == "-":
                     return "-"
-                if words & _IN_WORDS or "articlebody" in words:
-                    role = role or ("*" if tag not in ("html", "body") else "")
+                if role != "~" and sign and (sign == "~" or role != "*"):
+                    role = sign
     return role
 
 
@@ -233,21 +270,22 @@ def written(item: Item) -> str:
 
 
 def regions(item: Item) -> dict[tuple[str, ...], str]:
-    """For each way from the root: ``in`` (an article, or what stands for one), ``out`` (template) or ``open``."""
+    """For each way from the root: ``in`` (an article), ``maybe`` (named like one), ``out`` (template), ``shut``
+    (template, but an article below is ``in``) or ``open``."""
     found: dict[tuple[str, ...], str] = {}
 
     def walk(x: Item, way: tuple[str, ...], state: str) -> None:
         for kind, inner in x.items.items():
             here = state
-            tag = kind.rstrip("+-*")
-            if kind.endswith("-") or (tag == "header" and state != "in"):
+            tag, sign = kind.rstrip(_SIGNS), kind[-1]
+            if sign == "-" or state == "out":
                 here = "out"
-            elif state == "open" and kind.endswith("+"):
+            elif sign == "~" or (tag == "header" and state != "in") or (sign == "=" and state not in ("in", "maybe")):
+                here = "shut"
+            elif sign == "+":
                 here = "in"
-            elif state == "open" and kind.endswith("*"):
+            elif state == "open" and sign == "*":
                 here = "maybe"
-            elif state == "maybe" and kind.endswith("+"):
-                here = "in"
             elif kind == "#" and state in ("open", "maybe") and inner.value is not None and inner.pages == item.pages >= ENOUGH:
                 here = "out"
             found[(*way, kind)] = here
@@ -272,7 +310,7 @@ def main_text(page: str, ways: dict[tuple[str, ...], str]) -> str:
                 if here in blocks:
                     blocks[here][-1].append(inner)
                 continue
-            tag = kind.rstrip("+-*")
+            tag = kind.rstrip(_SIGNS)
             edge = tag in _BLOCK
             for b in blocks.values():
                 if edge and b[-1]:
@@ -281,7 +319,7 @@ def main_text(page: str, ways: dict[tuple[str, ...], str]) -> str:
                     b[-1].append(" ")
             if tag == "header" and here == "in":
                 for sub in inner:  # an article's own header: its headings only
-                    if re.fullmatch("h[1-6]", sub[0].rstrip("+-*")):
+                    if re.fullmatch("h[1-6]", sub[0].rstrip(_SIGNS)):
                         walk([kind, [sub]], (*way, kind), here)
             else:
                 walk([kind, inner], (*way, kind), here)

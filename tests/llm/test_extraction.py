@@ -36,6 +36,29 @@ def test_template_regions_of_other_layouts(spark):
     assert {r.page_id: r.text for r in out.values()} == {i: f"Real {i}." for i in range(6)}
 
 
+def test_names_do_not_veto_articles(spark):
+    bodies = [
+        '<div class="layout no-sidebar"><article><p>A{n}</p></article></div>',
+        '<div class="content with-sidebar"><p>A{n}</p></div>',
+        '<section class="banner-story"><p>A{n}</p></section>',
+        '<div class="page sidebar-right"><article><p>A{n}</p></article></div><div class="sidebar"><article>No</article></div>',
+        '<form id="search"><main><p>A{n}</p></main></form><div class="related-posts"><article>No</article></div>',
+        '<article><p>A{n}</p><div id="comments"><article>No</article></div><div class="newsletter">No</div></article>',
+    ]
+    for body in bodies:
+        out = texts(spark, [PAGE.format(n=i, body=body.format(n=i)) for i in range(6)])
+        assert {r.page_id: r.text for r in out.values()} == {i: f"A{i}" for i in range(6)}, body
+
+
+def test_anchors_and_notices_inside_articles(spark):
+    body = (
+        '<article><header class="entry-header"><h1>T</h1></header><section id="discussion"><h2 id="privacy">P</h2><p class="notice">N</p></section>'
+        '<h2 id="search">S</h2><div class="share">No</div><section class="comments">No</section></article>'
+    )
+    out = texts(spark, [PAGE.format(n=i, body=body) for i in range(3)])
+    assert {r.text for r in out.values()} == {"T\n\nP\n\nN\n\nS"}
+
+
 def test_shared_text_outside_articles_is_template(spark):
     pages = [f"<html><body><h5>Same line</h5><p>Own text {i}</p></body></html>" for i in range(12)]
     assert {r.page_id: r.text for r in texts(spark, pages).values()} == {i: f"Own text {i}" for i in range(12)}
