@@ -22,6 +22,7 @@ import html
 import pickle
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,7 +35,6 @@ from .common import cut
 
 SALTS = 64  # a host's wrappers are aligned in so many groups first
 HELD = 2_000  # hosts a task keeps wrappers of before it sends them on
-DEPTH = 60  # deeper elements are read as if they stood at this depth
 ENOUGH = 4  # pages that must share a text outside an article for it to be template
 BROADCAST_BYTES = 32 << 20  # wrappers of all hosts up to this size are broadcast; beyond, pages meet them by a join
 
@@ -153,15 +153,24 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def tree(page: str) -> list:
-    """Nested ``[kind, children]``; a text is ``["#", text]``.  End tags that HTML leaves out are put in."""
+    """Nested ``[kind, children]``; a text is ``["#", text]``.  End tags that HTML leaves out are put in.
+
+    Pages nest without limit, so nothing here that reads a tree or a wrapper recurs.
+    """
     root: list = ["", []]
     open_ = [("", root)]
+    held = Counter()  # open elements of each tag
+
+    def drop(i: int) -> None:
+        held.subtract(tag for tag, _ in open_[i:])
+        del open_[i:]
 
     def close(tags, stop) -> None:
+        if not any(held[t] for t in tags):
+            return
         for i in range(len(open_) - 1, 0, -1):
             if open_[i][0] in tags:
-                del open_[i:]
-                return
+                return drop(i)
             if open_[i][0] in stop:
                 return
 
@@ -176,13 +185,11 @@ def tree(page: str) -> list:
                 close(same, stop)
             node = [kind, []]
             open_[-1][1][1].append(node)
-            if tag not in _VOID and len(open_) < DEPTH:
+            if tag not in _VOID:
                 open_.append((tag, node))
-        else:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] == kind:
-                    del open_[i:]
-                    break
+                held[tag] += 1
+        elif held[kind]:
+            drop(next(i for i in range(len(open_) - 1, 0, -1) if open_[i][0] == kind))
     return root
 
 
@@ -197,12 +204,26 @@ class Item:
         self.value: int | None = None
         self.pages = pages
 
-    def __getstate__(self):
-        return tuple(getattr(self, n) for n in self.__slots__)
 
-    def __setstate__(self, state):
-        for n, v in zip(self.__slots__, state):
-            setattr(self, n, v)
+def stored(item: Item) -> bytes:
+    """A wrapper as bytes, parents before their items."""
+    queue, rows = [item], [("", 0, item.optional, item.repeated, item.grouped, item.value, item.pages)]
+    for i, x in enumerate(queue):  # grows while it is read
+        for kind, inner in x.items.items():
+            queue.append(inner)
+            rows.append((kind, i, inner.optional, inner.repeated, inner.grouped, inner.value, inner.pages))
+    return pickle.dumps(rows)
+
+
+def restored(data: bytes) -> Item:
+    found: list[Item] = []
+    for kind, parent, optional, repeated, grouped, value, pages in pickle.loads(data):
+        x = Item(pages)
+        x.optional, x.repeated, x.grouped, x.value = optional, repeated, grouped, value
+        if found:
+            found[parent].items[kind] = x
+        found.append(x)
+    return found[0]
 
 
 def _code(text: str) -> int | None:
@@ -212,17 +233,8 @@ def _code(text: str) -> int | None:
 
 def wrapper(node: list) -> Item:
     """The wrapper of one page: repeated neighbours are merged, kinds that come back are grouped."""
-    out = Item()
-    last = None
-    for kind, inner in node[1]:
-        if kind == "#":
-            code = _code(inner)
-            if code is None:
-                continue
-            one = Item()
-            one.value = code
-        else:
-            one = wrapper([kind, inner])
+
+    def put(out: Item, kind: str, one: Item, last: str | None) -> None:
         if kind in out.items:
             if last != kind:
                 out.grouped = True
@@ -230,31 +242,52 @@ def wrapper(node: list) -> Item:
             out.items[kind].repeated = True
         else:
             out.items[kind] = one
-        last = kind
-    return out
+
+    open_: list[list] = [["", Item(), iter(node[1]), None]]  # kind, item, children to come, kind of the last one
+    while True:
+        name, out, children, last = open_[-1]
+        for kind, inner in children:
+            if kind != "#":
+                open_.append([kind, Item(), iter(inner), None])
+                break
+            code = _code(inner)
+            if code is not None:
+                one = Item()
+                one.value = code
+                put(out, kind, one, last)
+                last = open_[-1][3] = kind
+        else:
+            open_.pop()
+            if not open_:
+                return out
+            put(open_[-1][1], name, out, open_[-1][3])
+            open_[-1][3] = name
 
 
 def align(a: Item, b: Item, again: bool = False) -> None:
     """Align ``b`` to ``a`` in place; with ``again`` both come from one page."""
-    if a.value != b.value:
-        a.value = None
-    if not again:
-        a.pages += b.pages
-    a.repeated |= b.repeated
-    a.optional |= b.optional
-    a.grouped |= b.grouped
-    theirs = [k for k in b.items if k in a.items]
-    if [k for k in a.items if k in b.items] != theirs:
-        a.grouped = True  # another order: only a repeated group of optional items reads both
-    for kind, item in a.items.items():
-        if kind not in b.items:
-            item.optional = True
-    for kind, item in b.items.items():
-        if kind in a.items:
-            align(a.items[kind], item, again)
-        else:
-            item.optional = True
-            a.items[kind] = item
+    pairs = [(a, b)]
+    while pairs:
+        a, b = pairs.pop()
+        if a.value != b.value:
+            a.value = None
+        if not again:
+            a.pages += b.pages
+        a.repeated |= b.repeated
+        a.optional |= b.optional
+        a.grouped |= b.grouped
+        theirs = [k for k in b.items if k in a.items]
+        if [k for k in a.items if k in b.items] != theirs:
+            a.grouped = True  # another order: only a repeated group of optional items reads both
+        for kind, item in a.items.items():
+            if kind not in b.items:
+                item.optional = True
+        for kind, item in b.items.items():
+            if kind in a.items:
+                pairs.append((a.items[kind], item))
+            else:
+                item.optional = True
+                a.items[kind] = item
 
 
 def written(item: Item) -> str:
@@ -269,12 +302,13 @@ def written(item: Item) -> str:
     return f"({text})+" if item.grouped and text else text
 
 
-def regions(item: Item) -> dict[tuple[str, ...], str]:
-    """For each way from the root: ``in`` (an article), ``maybe`` (named like one), ``out`` (template), ``shut``
+def regions(item: Item) -> dict[str, tuple[str, dict]]:
+    """For each kind below the root, its region and in turn those below it: ``in`` (an article), ``maybe`` (named like one), ``out`` (template), ``shut``
     (template, but an article below is ``in``) or ``open``."""
-    found: dict[tuple[str, ...], str] = {}
-
-    def walk(x: Item, way: tuple[str, ...], state: str) -> None:
+    found: dict[str, tuple[str, dict]] = {}
+    open_ = [(item, found, "open")]
+    while open_:
+        x, known, state = open_.pop()
         for kind, inner in x.items.items():
             here = state
             tag, sign = kind.rstrip(_SIGNS), kind[-1]
@@ -288,14 +322,12 @@ def regions(item: Item) -> dict[tuple[str, ...], str]:
                 here = "maybe"
             elif kind == "#" and state in ("open", "maybe") and inner.value is not None and inner.pages == item.pages >= ENOUGH:
                 here = "out"
-            found[(*way, kind)] = here
-            walk(inner, (*way, kind), here)
-
-    walk(item, (), "open")
+            known[kind] = here, {}
+            open_.append((inner, known[kind][1], here))
     return found
 
 
-def main_text(page: str, ways: dict[tuple[str, ...], str]) -> str:
+def main_text(page: str, ways: dict[str, tuple[str, dict]]) -> str:
     """Texts in content slots of the host's wrapper, block by block.
 
     Content is inside articles; in a page without one, inside elements named like one; without those, in all of the
@@ -303,9 +335,11 @@ def main_text(page: str, ways: dict[tuple[str, ...], str]) -> str:
     """
     blocks: dict[str, list[list[str]]] = {"in": [[]], "maybe": [[]], "open": [[]]}
 
-    def walk(node: list, way: tuple[str, ...], state: str) -> None:
-        for kind, inner in node[1]:
-            here = ways.get((*way, kind), state)
+    open_ = [(iter(tree(page)[1]), ways, "open", False)]
+    while open_:
+        children, known, state, edge = open_[-1]
+        for kind, inner in children:
+            here, below = known.get(kind, (state, {}))
             if kind == "#":
                 if here in blocks:
                     blocks[here][-1].append(inner)
@@ -317,17 +351,15 @@ def main_text(page: str, ways: dict[tuple[str, ...], str]) -> str:
                     b.append([])
                 elif tag == "br" and b[-1]:
                     b[-1].append(" ")
-            if tag == "header" and here == "in":
-                for sub in inner:  # an article's own header: its headings only
-                    if re.fullmatch("h[1-6]", sub[0].rstrip(_SIGNS)):
-                        walk([kind, [sub]], (*way, kind), here)
-            else:
-                walk([kind, inner], (*way, kind), here)
+            if tag == "header" and here == "in":  # an article's own header: its headings only
+                inner = [x for x in inner if re.fullmatch("h[1-6]", x[0].rstrip(_SIGNS))]
+            open_.append((iter(inner), below, here, edge))
+            break
+        else:
+            open_.pop()
             for b in blocks.values():
                 if edge and b[-1]:
                     b.append([])
-
-    walk(tree(page), (), "open")
     for part in ("in", "maybe", "open"):
         texts = [" ".join(html.unescape("".join(b)).split()) for b in blocks[part]]
         if any(texts):
@@ -343,7 +375,7 @@ def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFram
     """``host, wrapper`` (a stored wrapper) for every host; pages with a null address share one."""
 
     def rows(held: dict[str, Item]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([pickle.dumps(x) for x in held.values()], pa.binary())], names=["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([stored(x) for x in held.values()], pa.binary())], names=["host", "wrapper"])
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Item] = {}
@@ -361,10 +393,10 @@ def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFram
             yield rows(held)
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [pickle.loads(x) for x in sorted(frame["wrapper"])]
+        found = [restored(x) for x in sorted(frame["wrapper"])]
         for x in found[1:]:
             align(found[0], x)
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [pickle.dumps(found[0])]})
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [stored(found[0])]})
 
     one = pages.select(_host(F.col(url)).alias("host"), page).mapInArrow(infer, "host string, wrapper binary")
     salted = one.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
@@ -392,13 +424,13 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", into: str =
         ready: dict[bytes, dict] = {}
         for batch in batches:
             out = []
-            for text, stored in zip(batch.column(place), batch.column(len(kept))):
-                stored = stored.as_py() or b""
-                if stored not in ready:
+            for text, known in zip(batch.column(place), batch.column(len(kept))):
+                known = known.as_py() or b""
+                if known not in ready:
                     if len(ready) > HELD:
                         ready.clear()
-                    ready[stored] = regions(pickle.loads(stored)) if stored else {}
-                out.append(main_text(text.as_py() or "", ready[stored]))
+                    ready[known] = regions(restored(known)) if known else {}
+                out.append(main_text(text.as_py() or "", ready[known]))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], pa.array(out, pa.string())], names=[*kept, into])
 
     schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField(into, T.StringType())])

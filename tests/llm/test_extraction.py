@@ -77,6 +77,14 @@ def test_odd_input(spark):
     assert out[8].text.count("long") == 20_000
 
 
+def test_text_after_and_roles_inside_deep_nests(spark):
+    n = 5000
+    nest = "<div>" * n + "deep<nav>Menu<ul><li>Menu</ul></nav><aside>Side</aside>" + "</div>" * n
+    body = "<div><article><p>before</p>" + nest + "<p>after</p></article></div><div>outside</div>"
+    out = texts(spark, [PAGE.format(n=i, body=body) for i in range(3)])
+    assert {r.text for r in out.values()} == {"before\n\ndeep\n\nafter"}
+
+
 def test_null_url_empty_table_and_clashing_column(spark):
     df = spark.createDataFrame([(None, None, "<article>x</article>", "old")] * 2, "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text) for r in extraction.extract(df).collect()] == [(None, "x")] * 2
