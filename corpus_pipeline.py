@@ -17,10 +17,15 @@ from fieldgrid.llm.common import prepare, shared_folder, table, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, fitted on labels outside the held-out fifth, gives less than one half."""
+    """Documents that the model, fitted on labels outside the held-out fifth, gives less than one half.
+
+    Without any labelled row there is nothing to judge by and all documents stay, as do those without words always.
+    """
     prepare(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
-    return toxicity.score(docs, model, into="_toxic").where("_toxic < 0.5").select(*docs.columns)
+    if model.rows == 0:
+        return docs
+    return toxicity.score(docs, model, into="_toxic", words_into="_words").where("_toxic < 0.5 OR _words = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

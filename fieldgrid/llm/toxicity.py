@@ -33,6 +33,7 @@ class Model:
     bias: float
     features: np.ndarray  # sorted
     weights: np.ndarray
+    rows: int = 0  # it was fitted on
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +83,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
             z[at] += g - (np.sqrt(n[at]) - root) / ALPHA * w
     w = weights(np.arange(len(known) + 1))
     used = np.flatnonzero(w[:-1])
-    return Model(float(w[-1]), known[used], w[used])
+    return Model(float(w[-1]), known[used], w[used], len(rows))
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
@@ -112,42 +113,49 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: st
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["order", "id"])
         m = fit([np.frombuffer(x, np.uint32) for x in frame["found"]], frame["label"].to_numpy(float))
-        return pd.DataFrame({"bias": [m.bias], "features": [m.features.tobytes()], "weights": [m.weights.tobytes()]})
+        return pd.DataFrame({"bias": [m.bias], "features": [m.features.tobytes()], "weights": [m.weights.tobytes()], "rows": [m.rows]})
 
     coded = rows.select(text, F.col("_label").cast("double"), "_order", F.col(key).cast("string")).mapInArrow(
         task, "found binary, label double, order long, id string"
     )
-    got = coded.withColumn("_all", F.col("label") * 0).groupBy("_all").applyInPandas(one, "bias double, features binary, weights binary").first()
+    got = coded.withColumn("_all", F.col("label") * 0).groupBy("_all").applyInPandas(one, "bias double, features binary, weights binary, rows long").first()
     if got is None:
         return Model(0.0, np.zeros(0, np.uint32), np.zeros(0))
-    return Model(got["bias"], np.frombuffer(got["features"], np.uint32), np.frombuffer(got["weights"], np.float64))
+    return Model(got["bias"], np.frombuffer(got["features"], np.uint32), np.frombuffer(got["weights"], np.float64), got["rows"])
 
 
-def score(documents: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+def score(documents: DataFrame, model: Model, text: str = "text", into: str = "score", words_into: str | None = None) -> DataFrame:
     """Add ``into``: the probability that the whole text is toxic.  A null or empty text scores by the bias alone.
 
-    An input column named ``into`` is replaced.
+    With ``words_into``, the number of words is added too.  Input columns of these names are replaced.
     """
-    kept = [c for c in documents.columns if c != into]
+    added = [into, *([words_into] if words_into else [])]
+    kept = [c for c in documents.columns if c not in added]
     place = kept.index(text)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            out = [np.zeros(0)]
+            out, n_words = [np.zeros(0)], [np.zeros(0, np.int64)]
             for _, _, data, offsets in text_slices(batch.column(place)):
                 total = np.zeros(len(offsets) - 1)
+                if len(m.features) or words_into:
+                    w = words(data, offsets, SIGNS, lower=True)
+                    n_words.append(np.diff(w.first))
                 if len(m.features):
-                    found, doc = features(words(data, offsets, SIGNS, lower=True))
+                    found, doc = features(w)
                     at = np.minimum(np.searchsorted(m.features, found), len(m.features) - 1)
                     hit = m.features[at] == found
                     found, doc = _distinct(found[hit], doc[hit])
                     total += np.bincount(doc, m.weights[np.searchsorted(m.features, found)], len(total))
                 out.append(1.0 / (1.0 + np.exp(-np.clip(total + m.bias, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], pa.array(np.concatenate(out))], names=[*kept, into])
+            extra = [pa.array(np.concatenate(n_words), pa.int64())] if words_into else []
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], pa.array(np.concatenate(out)), *extra], names=[*kept, *added])
 
     schema = T.StructType([*[documents.schema[c] for c in kept], T.StructField(into, T.DoubleType())])
+    if words_into:
+        schema = schema.add(words_into, T.LongType())
     return documents.select(*kept).mapInArrow(task, schema)
 
 

@@ -136,3 +136,20 @@ def test_pipeline(spark, tmp_path):
     final = {(r.doc_id, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     by_stage = {(r.doc_id, r.start, r.length, r.ids_crc32) for r in kept["packing"].collect()}
     assert {x[0] for x in final} == {x[0] for x in by_stage}
+
+
+def test_pipeline_without_labels_and_documents_without_words_keep_all(spark, tmp_path, odd):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    none.write.parquet(f"{tmp_path}/a/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, odd, f"{tmp_path}/a").count() == odd.count()
+    docs = [(i, "bad words") for i in range(60)] + [(100, None), (101, " "), (None, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    spark.createDataFrame([(i, 1, 1) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert {r.doc_id for r in corpus_pipeline.drop_toxic(spark, d, f"{tmp_path}/b").collect()} == {100, 101, None}
+
+
+def test_whole_pipeline_with_an_empty_labels_table(spark, tmp_path):
+    spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(20))
