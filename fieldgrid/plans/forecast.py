@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ..operators.joins import latest_at_or_before
 from ..session import calendar_side, spread
 
 WEATHER = ("temperature", "precipitation", "relative_humidity")
+BLOCKS = (1, 4, 16)  # days; each size divides the next
 
 
 def ensemble_stats(members: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -108,21 +110,35 @@ def range_sums(
 ) -> DataFrame:
     """Sums of ``rows`` with ``at`` in ``[first, last]``, for every key that occurs and every row of ``ranges``.
 
-    A range is the difference of two running totals along ``at`` within one key: its ends are put among the key's rows
-    and read off in a single window.  So the cost is that of the rows plus the ranges asked for, however long these
-    are.  ``ranges`` is a calendar table and travels as one array value; NULLs count as 0.
+    A range is cut into aligned blocks of ``BLOCKS`` values of ``at``, and adds up the totals of its blocks; so nothing
+    outside the range, be it NaN, infinite or very large, touches its sum.  Every row counts in one block of each
+    size, and the blocks asked for are put among the key's rows and read off in a single window: the cost is that of
+    the rows and of a few blocks a range.  ``ranges`` is a calendar table and travels as one array value; NULLs count
+    as 0.
     """
     keys, names = list(keys), ranges.columns
-    ids = [F.col(c) for c in names]
-    ends = F.array(
-        F.struct((F.col(first) - 1).alias("_at"), F.lit(-1).alias("_sign"), *ids), F.struct(F.col(last).alias("_at"), F.lit(1).alias("_sign"), *ids)
-    )
-    calendar = ranges.select(F.explode(ends).alias("_e")).select(F.collect_set("_e")).scalar()
-    asks = rows.select(*keys).distinct().withColumn("_e", F.explode(calendar)).select(*keys, "_e.*")
-    both = rows.select(*keys, F.col(at).alias("_at"), *[v.alias(k) for k, v in sums.items()]).unionByName(asks, allowMissingColumns=True)
-    upto = Window.partitionBy(*keys).orderBy("_at", F.col("_sign").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    read = both.withColumns({k: F.coalesce(F.sum(k).over(upto), F.lit(0)) for k in sums}).where(F.col("_sign").isNotNull())
-    return read.groupBy(*keys, *names).agg(*[F.sum(F.col(k) * F.col("_sign")).alias(k) for k in sums])
+    pieces = []
+    for size, above in zip(BLOCKS, [*BLOCKS[1:], None]):
+        start, stop = F.ceil(F.col(first) / size).cast("int"), (F.floor((F.col(last) + 1) / size) - 1).cast("int")
+        inside = F.when(start <= stop, F.sequence(start, stop))
+        if above is not None:  # those inside a larger block of the range are in there
+
+            def alone(k: Column, size: int = size, above: int = above) -> Column:
+                low = F.floor(k * size / above) * above
+                return (low < F.col(first)) | (low + above - 1 > F.col(last))
+
+            inside = F.filter(inside, lambda k: alone(k))
+        found = ranges.withColumn("_block", F.explode(inside))
+        pieces.append(found.select(F.struct(F.lit(size).alias("_size"), "_block", *names).alias("_e")))
+    calendar = reduce(DataFrame.unionAll, pieces).select(F.collect_set("_e")).scalar()
+    asks = rows.select(*keys).distinct().withColumn("_e", F.explode(calendar)).select(*keys, "_e.*").withColumn("_ask", F.lit(True))
+    sizes = F.explode(F.array(*[F.lit(n) for n in BLOCKS]))
+    placed = rows.select(*keys, F.col(at).alias("_at"), *[v.alias(k) for k, v in sums.items()]).withColumn("_size", sizes)
+    placed = placed.withColumn("_block", F.floor(F.col("_at") / F.col("_size")).cast("int")).drop("_at")
+    both = placed.unionByName(asks, allowMissingColumns=True)
+    block = Window.partitionBy(*keys, "_size", "_block")
+    read = both.withColumns({k: F.coalesce(F.sum(k).over(block), F.lit(0)) for k in sums}).where("_ask")
+    return read.groupBy(*keys, *names).agg(*[F.sum(k).alias(k) for k in sums])
 
 
 def forecast_anomalies(
@@ -142,7 +158,7 @@ def forecast_anomalies(
     The scaled anomaly divides by the mean of the daily deviations.
 
     Climatology (one row per cell and day of year) and forecast (one per cell, issue and lead) are placed by cell
-    once, and a segment's climatology is a difference of two running totals.  The calendar is broadcast behind a size check, and the two sides meet in a union grouped by segment
+    once, and a segment's climatology adds up a few blocks of days.  The calendar is broadcast behind a size check, and the two sides meet in a union grouped by segment
     instead of a join on cell, issue and month, so nothing that has been multiplied by dates is shuffled.
     """
     keys = list(keys)
@@ -198,7 +214,7 @@ def recorded_anomalies(
     One row per cell of the climatology, date and interval.  The recorded mean is NULL when a day of the cell is
     NULL or the cell has no day in the interval.
 
-    Days are summed per cell and placed by cell; an interval is a difference of two running totals there.
+    Days are summed per cell and placed by cell; an interval adds up a few blocks of days there.
     """
     keys = list(keys)
     observed = daily.groupBy(*keys, F.col("date").alias("_seen")).agg(

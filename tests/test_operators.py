@@ -610,6 +610,19 @@ def test_forecast_anomalies_of_daily_dates_do_not_repeat_the_climatology(spark):
     assert "Join" not in plan
 
 
+def test_odd_days_touch_only_the_ranges_that_cover_them(spark):
+    value = {d: 0.1 * (d + 60) for d in range(-50, 51)} | {-40: math.nan, -20: math.inf, 0: 1e17, 7: None}
+    rows = spark.createDataFrame([(0, d, v) for d, v in value.items()], "ix int, d int, v double")
+    spans = [(a, a + n) for a in range(-50, 51) for n in (0, 4, 29, 70)]
+    ranges = spark.createDataFrame(spans, "a int, b int")
+    out = forecast.range_sums(rows, "d", {"s": F.col("v"), "n": F.col("v").isNotNull().cast("long")}, ranges, "a", "b", ["ix"])
+    got = {(r.a, r.b): (r.s, r.n) for r in out.collect()}
+    assert len(got) == len(set(spans))
+    for (a, b), (s, n) in got.items():
+        inside = [value[d] for d in range(a, b + 1) if value.get(d) is not None]
+        assert n == len(inside) and s == pytest.approx(math.fsum(inside), rel=1e-12, abs=1e-12, nan_ok=True)
+
+
 def test_masking_does_not_shuffle_rows(spark):
     plan = plan_of(regions.mask_to_regions(series(spark, [(0, 0, D(2020, 1, 1), 1.0)]), shape_frame(spark), GRID))
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
