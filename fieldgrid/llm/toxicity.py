@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .textkernel import SIGNS, Words, mix, text_slices, words
 
-SAMPLE = 8_000  # labelled rows the model is fitted on, at most; taken by a hash of the id
+SAMPLE = 8_000  # labelled rows the model is fitted on, at most; taken by hashes of the id and the text
 STEMS = (4, 5, 6)  # bytes of a longer word that count as a word of their own
 MIN_ROWS = 3  # rows of the sample a feature must occur in
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 5.0, 0.0, 6
@@ -89,6 +89,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
     """``labels`` has ``key, toxic``.  Rows without a key, a label or a document are left out.
 
+    Rows that repeat a key and text count once, and the bound is on rows: a key with many texts brings no more.
+
     Without any labelled row the model is neutral: every score is one half.
     """
     chosen = (
@@ -99,7 +101,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: st
         .orderBy("_order", key)
         .limit(sample)
     )
-    rows = documents.select(key, text).join(F.broadcast(chosen), key)  # at most ``sample`` ids and labels
+    known = documents.select(F.col(key), F.col(text), F.xxhash64(text).alias("_text"))
+    least = known.select(key, "_text").join(F.broadcast(chosen), key).distinct().orderBy("_order", key, "_text").limit(sample)
+    rows = known.join(F.broadcast(least), [key, "_text"]).dropDuplicates([key, "_text"])  # at most ``sample`` rows
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,15 +112,15 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: st
                 found, doc = _distinct(*features(words(data, offsets, SIGNS, lower=True)))
                 edge = np.searchsorted(doc, np.arange(len(offsets)))
                 out += [found[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *batch.columns[1:]], names=["found", "label", "order", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *batch.columns[1:]], names=["found", "label", "order", "id", "text"])
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["order", "id"])
+        frame = frame.sort_values(["order", "id", "text"])
         m = fit([np.frombuffer(x, np.uint32) for x in frame["found"]], frame["label"].to_numpy(float))
         return pd.DataFrame({"bias": [m.bias], "features": [m.features.tobytes()], "weights": [m.weights.tobytes()], "rows": [m.rows]})
 
-    coded = rows.select(text, F.col("_label").cast("double"), "_order", F.col(key).cast("string")).mapInArrow(
-        task, "found binary, label double, order long, id string"
+    coded = rows.select(text, F.col("_label").cast("double"), "_order", F.col(key).cast("string"), "_text").mapInArrow(
+        task, "found binary, label double, order long, id string, text long"
     )
     got = coded.withColumn("_all", F.col("label") * 0).groupBy("_all").applyInPandas(one, "bias double, features binary, weights binary, rows long").first()
     if got is None:

@@ -153,3 +153,14 @@ def test_whole_pipeline_with_an_empty_labels_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(20))
+
+
+def test_toxicity_bound_holds_for_rows(spark):
+    docs, labels = labelled(60)
+    seen = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(docs, "doc_id long, text string")
+    copies = spark.createDataFrame(docs + [docs[7]] * 200, "doc_id long, text string").repartition(3)
+    a, b = toxicity.train(once, seen), toxicity.train(copies, seen)
+    assert (a.rows, a.bias) == (b.rows, b.bias) == (60, a.bias)
+    texts = spark.createDataFrame(docs + [(7, f"other text {i}") for i in range(200)], "doc_id long, text string")
+    assert toxicity.train(texts, seen, sample=50).rows == 50
