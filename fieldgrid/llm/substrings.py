@@ -58,15 +58,15 @@ def _buckets(w: Words, at: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[n
     return key, (mix(key) % np.uint64(buckets)).astype(np.int64)
 
 
-def _repeated(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _repeated(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
     """True for windows that also start earlier: in a smaller document, or earlier in the same one."""
-    order = np.lexsort((at, doc, h2, h1))
-    a, b, d, p = h1[order], h2[order], doc[order], at[order]
+    order = np.lexsort((at, tag, doc, h2, h1))
+    a, b, d, t, p = h1[order], h2[order], doc[order], tag[order], at[order]
     new = np.ones(len(order), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     out = np.zeros(len(order), bool)
-    out[order] = (d != d[head]) | (p != p[head])
+    out[order] = (d != d[head]) | (t != t[head]) | (p != p[head])
     return out
 
 
@@ -106,23 +106,26 @@ def hot_minimisers(texts: DataFrame, buckets: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
-def _pack(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes], settled: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
+def _pack(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, pieces: list[bytes], settled: tuple[np.ndarray, ...]) -> bytes:
     sizes = np.array([len(p) for p in pieces], "<u4")
     head = _HEAD.pack(len(pieces), len(settled[0]))
-    return b"".join([head, docs.astype("<i8").tobytes(), starts.astype("<u4").tobytes(), sizes.tobytes(), settled[0].astype("<i8").tobytes(), settled[1].astype("<u4").tobytes(), settled[2].astype("<u4").tobytes(), *pieces])
+    return b"".join([head, docs.astype("<i8").tobytes(), tags.astype("<i8").tobytes(), starts.astype("<u4").tobytes(), sizes.tobytes(), settled[0].astype("<i8").tobytes(), settled[1].astype("<i8").tobytes(), settled[2].astype("<u4").tobytes(), settled[3].astype("<u4").tobytes(), *pieces])
 
 
 def _unpack(blob: bytes):
     n, m = _HEAD.unpack_from(blob)
     at, out = _HEAD.size, []
-    for size, kind in ((n, "<i8"), (n, "<u4"), (n, "<u4"), (m, "<i8"), (m, "<u4"), (m, "<u4")):
+    for size, kind in ((n, "<i8"), (n, "<i8"), (n, "<u4"), (n, "<u4"), (m, "<i8"), (m, "<i8"), (m, "<u4"), (m, "<u4")):
         out.append(np.frombuffer(blob, kind, size, at).astype(np.int64))
         at += size * int(kind[-1])
     return out, np.frombuffer(blob, np.uint8, offset=at)
 
 
 def repeated_ranges(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, start, stop``: word ranges covered by windows that also start earlier.  Ranges may overlap."""
+    """``key, _tag, start, stop``: word ranges covered by windows that also start earlier.  Ranges may overlap.
+
+    ``documents`` has ``key, text, _tag``: rows equal in key and tag are one document; the key comes first in the order.
+    """
     total = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     hot = hot_minimisers(documents.select(text), buckets)
@@ -133,30 +136,31 @@ def repeated_ranges(documents: DataFrame, key: str = "doc_id", text: str = "text
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            tags = batch.column(2).to_numpy(zero_copy_only=False)
             for lo, _, data, offsets in text_slices(batch.column(1), SLICE_BYTES):
                 w = words(data, offsets)
                 at, h1 = w.sequences(WINDOW)
                 if not len(at):
                     continue
                 row = np.searchsorted(w.first, at, side="right") - 1
-                doc, place = ids[lo + row], at - w.first[row]
-                settled = _repeated(h1, _second(w, at), doc, place)
+                doc, tag, place = ids[lo + row], tags[lo + row], at - w.first[row]
+                settled = _repeated(h1, _second(w, at), doc, tag, place)
                 a, b = _runs(row[settled], at[settled])
-                done = (doc[settled][a], place[settled][a], place[settled][b] + WINDOW)
-                at, row, doc, place = at[~settled], row[~settled], doc[~settled], place[~settled]
+                done = (doc[settled][a], tag[settled][a], place[settled][a], place[settled][b] + WINDOW)
+                at, row, doc, tag, place = at[~settled], row[~settled], doc[~settled], tag[~settled], place[~settled]
                 mini, bucket = _buckets(w, at, hot, buckets)
                 a, b = _runs(row, at, mini)
                 order = np.argsort(bucket[a], kind="stable")
                 a, b = a[order], b[order]
                 low, high = w.start[at[a]], w.end[at[b] + WINDOW - 1]
                 edges = np.append(np.flatnonzero(np.diff(bucket[a], prepend=-1)), len(a))
-                none = tuple(np.zeros(0, np.int64) for _ in range(3))
+                none = tuple(np.zeros(0, np.int64) for _ in range(4))
                 raw, out = data.tobytes(), []
                 for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
                     pieces = [raw[x:y] for x, y in zip(low[i:j].tolist(), high[i:j].tolist())]
-                    out.append((int(bucket[a[i]]), pack.compress(_pack(doc[a[i:j]], place[a[i:j]], pieces, done if k == 0 else none))))
+                    out.append((int(bucket[a[i]]), pack.compress(_pack(doc[a[i:j]], tag[a[i:j]], place[a[i:j]], pieces, done if k == 0 else none))))
                 if not out:
-                    out.append((0, pack.compress(_pack(none[0], none[0], [], done))))
+                    out.append((0, pack.compress(_pack(none[0], none[0], none[0], [], done))))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,49 +168,63 @@ def repeated_ranges(documents: DataFrame, key: str = "doc_id", text: str = "text
 
         unpack, parts = zstandard.ZstdDecompressor(), []
 
-        def ranges(doc, start, stop) -> pa.RecordBatch:
+        def ranges(doc, tag, start, stop) -> pa.RecordBatch:
             known = pa.array(doc, pa.int64(), mask=doc == NULL_ID)
-            return pa.RecordBatch.from_arrays([known, pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["key", "start", "stop"])
+            return pa.RecordBatch.from_arrays([known, pa.array(tag, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["key", "tag", "start", "stop"])
 
         for batch in batches:
             for blob in batch.column(1):
-                (docs, starts, sizes, *done), data = _unpack(unpack.decompress(blob.as_py()))
+                (docs, tags, starts, sizes, *done), data = _unpack(unpack.decompress(blob.as_py()))
                 if len(done[0]):
                     yield ranges(*done)
                 if len(docs):
                     w = words(data, np.append(0, np.cumsum(sizes)))
                     at, h1 = w.sequences(WINDOW)
                     piece = np.searchsorted(w.first, at, side="right") - 1
-                    parts.append((h1, _second(w, at), docs[piece], (starts[piece] + at - w.first[piece]).astype(np.int32)))
+                    parts.append((h1, _second(w, at), docs[piece], tags[piece], (starts[piece] + at - w.first[piece]).astype(np.int32)))
         if parts:
-            h1, h2, doc, place = (np.concatenate(x) for x in zip(*parts))
+            h1, h2, doc, tag, place = (np.concatenate(x) for x in zip(*parts))
             parts.clear()
-            again = _repeated(h1, h2, doc, place)
-            doc, place = doc[again], place[again]
-            order = np.lexsort((place, doc))
-            doc, place = doc[order], place[order]
-            a, b = _runs(doc, place)
-            yield ranges(doc[a], place[a], place[b] + WINDOW)
+            again = _repeated(h1, h2, doc, tag, place)
+            doc, tag, place = doc[again], tag[again], place[again]
+            order = np.lexsort((place, tag, doc))
+            doc, tag, place = doc[order], tag[order], place[order]
+            a, b = _runs(doc, place, tag)
+            yield ranges(doc[a], tag[a], place[a], place[b] + WINDOW)
 
-    sent = documents.select(F.col(key).cast("long"), text).mapInArrow(send, "bucket int, blob binary")
-    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(settle, f"{key} long, start int, stop int")
+    sent = documents.select(F.col(key).cast("long"), text, "_tag").mapInArrow(send, "bucket int, blob binary")
+    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(settle, f"{key} long, _tag long, start int, stop int")
 
 
 def keep_first(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_words, n_removed, kept_text`` of every row: its words without those in repeated windows.
 
-    Kept words are joined by one blank.  ``key`` names a document: rows that share it are the same document, so none
-    of them removes the other's words at the same place.  Null keys are one document before all others.  A null,
-    empty or short text has no window and loses nothing.  Other columns of ``documents`` are not read.
+    Kept words are joined by one blank.  Rows equal in ``key`` and text are the same document, so none of them removes
+    the other's words at the same place; other rows of a key are documents of their own, in the order of a hash of
+    their texts.  Rows with a null key come before all others, each a document, its copies too.  A null, empty or short
+    text has no window and loses nothing.  Other columns of ``documents`` are not read.
     """
-    ranges = repeated_ranges(documents, key, text).groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("start", "stop")).alias("_cut"))
     rows = documents.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    joined = rows.join(ranges, rows[key].eqNullSafe(ranges["_key"]), "left").select(key, text, "_cut.start", "_cut.stop")
+    count = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    nulls, repeats = count.agg(F.max(F.col(key).isNull()), F.max(F.col(key).isNotNull())).first()
+    tag = F.xxhash64(text)
+    if not repeats:  # the key alone tells all others apart
+        tag = F.when(F.col(key).isNull(), tag).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("_tag", tag)
+    found = repeated_ranges(rows, key, text)
+    ranges = found.groupBy(F.col(key).alias("_key"), F.col("_tag").alias("_own")).agg(F.collect_list(F.struct("start", "stop")).alias("_cut"))
+    rows = rows.withColumn("_copy", F.lit(1).cast("long"))
+    if nulls:  # copies of one text meet, and all but one of them are copies
+        long = F.col(key).isNull() & (F.coalesce(F.octet_length(text), F.lit(0)) >= 2 * WINDOW - 1)
+        met = rows.where(long).groupBy(key, "_tag", text).agg(F.count(F.lit(1)).alias("_n"))
+        met = met.select(key, text, "_tag", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy"))
+        rows = rows.where(~long).unionByName(met)
+    joined = rows.join(ranges, rows[key].eqNullSafe(ranges["_key"]) & (rows["_tag"] == ranges["_own"]), "left").select(key, text, "_cut.start", "_cut.stop", "_copy")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, removed, kept = [], [], []
-            starts, stops = batch.column(2), batch.column(3)
+            starts, stops, copy = batch.column(2), batch.column(3), batch.column(4).to_numpy()
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 w, raw = words(data, offsets), data.tobytes()
                 for d in range(lo, hi):
@@ -217,6 +235,8 @@ def keep_first(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
                         np.add.at(edge, starts[d].values.to_numpy(), 1)
                         np.add.at(edge, stops[d].values.to_numpy(), -1)
                         keep = np.cumsum(edge[:-1]) == 0
+                    if copy[d] > 1 and last - first >= WINDOW:
+                        keep[:] = False
                     low, high = w.start[first:last][keep].tolist(), w.end[first:last][keep].tolist()
                     n_words.append(last - first)
                     removed.append(last - first - len(low))

@@ -144,6 +144,16 @@ def test_windows_odd_input(spark, odd):
     assert sorted((r.doc_id or 0, r.n_removed) for r in substrings.report(twice).collect()) == [(0, 20), (1, 21), (1, 21)]
 
 
+def test_windows_of_rows_that_share_an_id_or_have_none(spark):
+    own = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    twice = own("a", 30)
+    rows = [(None, twice + " " + own("b", 40) + " " + twice), (None, own("c", 90)), (None, own("d", 3)), (None, None), (None, "")]
+    rows += [(None, own("e", 25))] * 3 + [(4, own("f", 30) + " " + own("f", 30)), (4, own("g", 70)), (4, own("h", 2)), (4, None), (5, own("c", 90))]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    want = [(None, 100, 30), (None, 90, 0), (None, 3, 0), (None, 0, 0), (None, 0, 0), (None, 25, 0), (None, 25, 25), (None, 25, 25)]
+    assert got == Counter([*want, (4, 60, 30), (4, 70, 0), (4, 2, 0), (4, 0, 0), (5, 90, 90)])
+
+
 def expected_hits(docs, items):
     found = {}
     for item, text in items:
