@@ -29,16 +29,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component; of rows that repeat an id and text, one."""
+    """One row of each component, of least id; of rows that repeat an id and text, one.
+
+    Rows without words are linked with nothing and stay.  Ids name rows unless they are null or repeated: such rows are
+    told apart by their texts.
+    """
     prepare(spark)
-    found = neardup.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    found = neardup.judged(docs)
+    gone = found.where("NOT chosen AND doc_id IS NOT NULL").select("doc_id").distinct()
     twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
-    if not twice.isEmpty():
-        again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(again)
-    return kept.select(*docs.columns)
+    repeated, nameless = not twice.isEmpty(), not found.where("doc_id IS NULL").isEmpty()
+    named = docs.where("doc_id IS NOT NULL")
+    kept = (named.join(twice, "doc_id", "left_anti") if repeated else named).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    hashed = docs.withColumn("_text", F.xxhash64("text"))
+    if repeated:
+        mine = found.where("chosen").join(twice, "doc_id", "left_semi").select("doc_id", "_text").distinct()
+        again = hashed.join(mine, ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"])
+        kept = kept.unionByName(again.select(*docs.columns))
+    if nameless:
+        words = F.coalesce(F.col("text").rlike(r"[^\x09-\x0D\x20]"), F.lit(False))
+        mine = found.where("chosen AND doc_id IS NULL AND n > 0").select("_text").distinct()
+        one = hashed.where(F.col("doc_id").isNull() & words).join(mine, "_text", "left_semi").dropDuplicates(["_text"])
+        kept = kept.unionByName(one.select(*docs.columns)).unionByName(docs.where(F.col("doc_id").isNull() & ~words))
+    return kept
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,8 +117,8 @@ def _signatures(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 
 def signatures(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, n, node, other, bands``: ``node`` and ``other`` identify the set."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """``key, _text, n, node, other, bands``: ``node`` and ``other`` identify the set, ``_text`` the row's text."""
+    schema = pa.schema([("key", pa.int64()), ("_text", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,20 +127,21 @@ def signatures(documents: DataFrame, key: str, text: str) -> DataFrame:
                 k = len(size)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * BANDS), pa.array(band.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, k), pa.array(size), pa.array(identity[:, 0].astype(np.uint64).view(np.int64)), pa.array(np.ascontiguousarray(identity[:, 1]).view(np.int64)), bands],
+                    [batch.column(0).slice(at, k), batch.column(2).slice(at, k), pa.array(size), pa.array(identity[:, 0].astype(np.uint64).view(np.int64)), pa.array(np.ascontiguousarray(identity[:, 1]).view(np.int64)), bands],
                     schema=schema,
                 )
                 at += k
 
-    return documents.select(F.col(key).cast("long"), F.col(text)).mapInArrow(
-        task, f"{key} long, n long, node long, other long, bands array<long>"
+    return documents.select(F.col(key).cast("long"), F.col(text), F.xxhash64(text)).mapInArrow(
+        task, f"{key} long, _text long, n long, node long, other long, bands array<long>"
     )
 
 
 def full_sets(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """``node, elements`` of the wanted sets, one row each, computed from whole texts.
 
-    ``wanted`` has ``key, node``; its key names one document that has the set.
+    ``wanted`` has ``_key, _text, node``: key, which may be null, and hash of the text of a row that has the set.
+    ``documents`` has ``_key`` and the text.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,11 @@ def full_sets(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 at += len(edges) - 1
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["node", "own", "elements"])
 
-    rows = documents.join(wanted, "_key").select("node", text).mapInArrow(task, "node long, own long, elements binary")
+    known = documents.where("_key IS NOT NULL").join(wanted.where("_key IS NOT NULL").withColumnRenamed("_text", "_h"), "_key")
+    known = known.where(F.xxhash64(text) == F.col("_h")).select("node", text)
+    nameless = documents.where("_key IS NULL").select(text, F.xxhash64(text).alias("_text")).dropDuplicates(["_text"])
+    nameless = nameless.join(wanted.where("_key IS NULL").drop("_key"), "_text").select("node", text)
+    rows = known.unionByName(nameless).mapInArrow(task, "node long, own long, elements binary")
     return rows.where("node = own").dropDuplicates(["node"]).select("node", "elements")
 
 
@@ -264,16 +269,17 @@ def _candidates_across(buckets: DataFrame, sets: DataFrame, percent: int) -> Dat
 
 
 def classes_and_links(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """``key, n, node`` of every row, and ``node, component`` of every class of equal sets.
+    """``key, _text, n, node`` of every row, and ``node, component, lead`` of every class of equal sets.
 
-    ``component`` is the least key in the component.  ``percent`` is the least similarity in hundredths; bands and the
+    ``component`` is the least key in the component, ``lead`` the key and hash of the text of the row it stands for; the
+    key is null if no row of the component has one.  ``percent`` is the least similarity in hundredths; bands and the
     sketch test are laid out for 80 and more.
     """
     if percent < 80:
         raise ValueError("bands are laid out for a similarity of 0.8 or more")
     rows = cut(signatures(documents, key, text))
     full = rows.where("n > 0")
-    classes = full.groupBy("node").agg(F.min(key).alias("_key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = full.groupBy("node").agg(F.min(F.struct(F.col(key).isNull().alias("_null"), F.col(key).alias("_key"), "_text")).alias("_lead"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = cut(classes)
     spread = classes.select("node", F.explode("bands").alias("bucket"))
     crowd = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -282,28 +288,50 @@ def classes_and_links(documents: DataFrame, key: str = "doc_id", text: str = "te
     buckets = cut(shared.select("bucket", "node").join(weight, "node"))
 
     texts = documents.select(F.col(key).cast("long").alias("_key"), F.col(text))
-    sets = cut(full_sets(texts, text, classes.select("_key", "node").join(weight.select("node"), "node", "left_semi")))
+    sets = cut(full_sets(texts, text, classes.select("_lead._key", "_lead._text", "node").join(weight.select("node"), "node", "left_semi")))
     links = cut(similar(_candidates_by_hub(buckets), sets, percent))
     roots = components(links)
     known = classes.select("node", "n", "bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     across = _candidates_across(buckets.select("bucket", "node").join(known, "node"), sets, percent)
     more = cut(similar(across, sets, percent))
     roots = components(links.unionByName(more))
-    named = classes.select("node", "_key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("_key").alias("component"))
-    return rows.select(key, "n", "node"), named.join(least, "root").select("node", "component")
+    named = classes.select("node", "_lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("_lead").alias("lead"))
+    return rows.select(key, "_text", "n", "node"), named.join(least, "root").select("node", F.col("lead._key").alias("component"), "lead")
+
+
+def judged(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``key, _text, n, component, chosen`` of every row; ``_text`` is the hash of its text.
+
+    ``chosen`` holds for the rows, alike in key and text, of which one is kept for the component.  A row without
+    words is linked with nothing and always chosen.
+    """
+    rows, links = classes_and_links(documents, key, text, percent)
+    joined = rows.join(links, "node", "left")
+    first = F.col(key).eqNullSafe(F.col("lead._key")) & (F.col("_text") == F.col("lead._text"))
+    return joined.select(
+        key,
+        "_text",
+        "n",
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col(key)).alias("component"),
+        ((F.col("n") == 0) | first).alias("chosen"),
+    )
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``key, n_shingles, component_id, kept`` of every row of ``documents``.
 
     Texts are compared whole, A-Z as a-z.  A null or empty text, or one without words, is linked with nothing.  Rows
-    with one key and one set are the same document.  A row without a key has a component like any other if its set is
-    shared with a row that has a key; else its component is null; it is kept only in the latter case.
+    with one key and one set are the same document.  A row without a key has a component like any other if the
+    component has a row that has a key; else its component is null, and of such a component one row is kept.
     """
-    rows, links = classes_and_links(documents, key, text, percent)
-    joined = rows.join(links, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col(key))
-    return joined.select(key, F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.col(key).eqNullSafe(F.col("component_id"))
+    rows = judged(documents, key, text, percent)
+    keyed = F.col(key).isNotNull() | F.col("component").isNotNull() | (F.col("n") == 0)
+    plain = rows.where(keyed).select(
+        key, F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col(key).eqNullSafe(F.col("component")).alias("kept")
     )
+    count = rows.where(~keyed).groupBy("_text", "n", "chosen").agg(F.count(F.lit(1)).alias("_c"))
+    alike = count.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_c")))
+    none = F.lit(None).cast("long")
+    nameless = alike.select(none.alias(key), F.col("n").alias("n_shingles"), none.alias("component_id"), (F.col("chosen") & (F.col("_i") == 1)).alias("kept"))
+    return plain.unionByName(nameless)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldgrid.llm import search, sharding, toxicity
+from fieldgrid.llm import neardup, search, sharding, toxicity
 
 from .test_duplicates import groups
 
@@ -164,3 +164,19 @@ def test_toxicity_bound_holds_for_rows(spark):
     assert (a.rows, a.bias) == (b.rows, b.bias) == (60, a.bias)
     texts = spark.createDataFrame(docs + [(7, f"other text {i}") for i in range(200)], "doc_id long, text string")
     assert toxicity.train(texts, seen, sample=50).rows == 50
+
+
+def test_near_duplicate_stage_and_operator_with_null_and_repeated_ids(spark, tmp_path):
+    a, b, c, d = ([f"{x}{i}" for i in range(200)] for x in "abcd")
+    near = lambda w, k: " ".join([*w[:k], "new", *w[k + 1 :]])
+    rows = [(None, near(a, 5)), (None, near(a, 9)), (None, near(a, 9)), (None, None), (None, " ")]
+    rows += [(1, near(b, 5)), (None, near(b, 50)), (2, near(b, 100))]
+    rows += [(3, near(c, 5)), (3, near(c, 9)), (3, near(c, 9)), (3, near(d, 5)), (4, near(d, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = Counter((r.doc_id, (r.text or " ")[0]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert left == Counter([(None, "a"), (None, " "), (None, " "), (1, "b"), (3, "c"), (3, "d")])
+    got = neardup.near_duplicates(docs).collect()
+    assert sum(r.kept for r in got if r.doc_id is None and r.component_id is None and r.n_shingles) == 1
+    assert {r.component_id for r in got if r.doc_id in (1, 2)} == {1} and len(got) == len(rows)
+    linked = spark.createDataFrame([(1, " ".join(b)), (None, " ".join(["x"] * 3 + b[3:])), (2, " ".join(["x"] * 3 + b[3:190] + ["y"] * 10))], "doc_id long, text string")
+    assert Counter(r.component_id for r in neardup.near_duplicates(linked).collect()) == Counter([1, 1, 1])
