@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, extraction, neardup, packing, records, search, secrets, sharding, substrings, toxicity
+from . import centroids, decontamination, extraction, neardup, packing, records, search, secrets, sharding, substrings, toxicity
 from .common import table, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,56 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 @query
 def op1_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.report(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd(rounds: int = 3) -> str:
+    """Rounds of assignment and floored means as chained steps."""
+    steps = [
+        """v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS cluster, e FROM v
+    QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) <= 16
+)"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""a{n} AS MATERIALIZED (
+    SELECT r, vec_id, any_value(e) AS e, arg_min(cluster, d * 64 + cluster) AS cluster, min(d) AS distance FROM (
+        SELECT v.r, v.vec_id, v.e, c.cluster, CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+        FROM v, c{n} c)
+    GROUP BY r, vec_id
+)"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""c{n + 1} AS MATERIALIZED (
+    SELECT c.cluster, coalesce(m.e, c.e) AS e FROM c{n} c LEFT JOIN (
+        SELECT cluster, list(x ORDER BY i) AS e FROM (
+            SELECT cluster, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x
+            FROM (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{n}) GROUP BY cluster, i)
+        GROUP BY cluster) m USING (cluster)
+)"""
+            )
+    return (
+        "WITH "
+        + ",
+".join(steps)
+        + f"""
+SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, a.distance,
+    CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+    CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (cluster)"""
+    )
+
+
+ORACLES["op11_centroids"] = _lloyd()
