@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontamination, extraction, neardup, packing, records, search, secrets, sharding, substrings, toxicity
+from . import centroids, decontamination, extraction, neardup, negatives, packing, records, search, secrets, sharding, substrings, toxicity
 from .common import table, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,17 +121,41 @@ c0 AS MATERIALIZED (
         GROUP BY cluster) m USING (cluster)
 )"""
             )
-    return (
-        "WITH "
-        + ",
-".join(steps)
-        + f"""
+    return f"""WITH {", ".join(steps)}
 SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, a.distance,
     CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
     CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
     sha256(array_to_string(c.e, ',')) AS centroid_sha256
 FROM a{rounds} a JOIN c{rounds} c USING (cluster)"""
-    )
 
 
 ORACLES["op11_centroids"] = _lloyd()
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_hard_negatives"] = """
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+a AS (SELECT row_number() OVER () AS anchor, * FROM (SELECT DISTINCT vec_id, label, e FROM v WHERE vec_id % 100 = 0)),
+s AS MATERIALIZED (
+    SELECT a.anchor, a.vec_id AS anchor_id, v.r, v.vec_id, a.label = v.label AS same,
+        CAST(list_dot_product(CAST(a.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+    FROM a JOIN v ON a.vec_id <> v.vec_id AND len(a.e) = len(v.e)
+),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, r) <= 5),
+n AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id, n.r) AS rank,
+        n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
