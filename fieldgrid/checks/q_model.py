@@ -31,24 +31,59 @@ def _(spark, d):
     return table.join(counts, "fold_id", "left").fillna(0, ["n_assess"])
 
 
-@query("M02_kmeans_centroids")
+cte("dist", "SELECT n_name AS region, x, CAST(c_nationkey AS DOUBLE) AS y, c_nationkey % 4 + 1 AS cluster FROM (SELECT c_nationkey, avg(c_acctbal) / 1000 AS x FROM customer GROUP BY 1) JOIN nation ON n_nationkey = c_nationkey")
+cte("centres", "SELECT cluster, avg(x) AS cx, avg(y) AS cy FROM dist GROUP BY 1")
+
+
+
+@query("M02_kmeans_centroids", "SELECT region, 4 AS clusters, 0 AS better_moves FROM dist")
+def _(spark, d):
+    """Of every district, how many single moves into another cluster would lower the sum of squares."""
+    dist = a.districts(spark, d)
+    clustered, _ = folds.kmeans(dist, 4, 10001)
+    points = dist.join(clustered, "region")
+    stats = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    packed = stats.select(F.collect_list(F.struct(F.col("cluster").alias("other"), "n", "cx", "cy"))).scalar()
+    pairs = points.withColumn("clusters", F.size(packed)).select("*", F.inline(packed))
+    d2 = F.pow(F.col("x") - F.col("cx"), 2) + F.pow(F.col("y") - F.col("cy"), 2)
+    own = F.col("cluster") == F.col("other")
+    out = F.max(F.when(own, F.when(F.col("n") > 1, F.col("n") / (F.col("n") - 1) * d2).otherwise(0)))
+    least = F.min(F.when(~own, F.col("n") / (F.col("n") + 1) * d2))
+    costs = pairs.groupBy("region", "clusters").agg(out.alias("out"), least.alias("least"))
+    return costs.select("region", "clusters", (F.col("least") < F.col("out") - 1e-6).cast("int").alias("better_moves"))
+
+
+def _in_turn(k: int = 4) -> str:
+    """Clusters one after another, each with its nearest free districts; then those left over, one after another."""
+    near = "pow(d.x - c.cx, 2) + pow(d.y - c.cy, 2)"
+    steps = [f"p AS MATERIALIZED (SELECT d.region, c.cluster, {near} AS d2, (SELECT count(*) FROM dist) // {k} AS size FROM (SELECT region, x, y FROM dist) d, centres c)", "t0 AS (SELECT '' AS region, 0 AS cluster WHERE false)"]
+    for n in range(1, k + 1):
+        steps.append(
+            f"t{n} AS MATERIALIZED (SELECT * FROM t{n - 1} UNION ALL SELECT region, cluster FROM (SELECT region, cluster, size, row_number() OVER (ORDER BY d2, region) AS place FROM p WHERE cluster = {n} AND region NOT IN (SELECT region FROM t{n - 1})) WHERE place <= size)"
+        )
+    steps.append(f"l0 AS (SELECT * FROM t0), rest AS MATERIALIZED (SELECT region, row_number() OVER (ORDER BY region) AS place FROM dist WHERE region NOT IN (SELECT region FROM t{k}))")
+    for n in range(1, k):
+        steps.append(
+            f"l{n} AS MATERIALIZED (SELECT * FROM l{n - 1} UNION ALL SELECT region, cluster FROM (SELECT p.region, p.cluster, row_number() OVER (ORDER BY d2, p.cluster) AS o FROM p JOIN rest USING (region) WHERE rest.place = {n} AND p.cluster NOT IN (SELECT cluster FROM l{n - 1})) WHERE o = 1)"
+        )
+    return f"SELECT * FROM (WITH {', '.join(steps)} SELECT region, CAST(cluster AS INT) AS cluster FROM t{k} UNION ALL SELECT region, CAST(cluster AS INT) FROM l{k - 1})"
+
+
+@query("M03_balanced_clusters", _in_turn())
 def _(spark, d):
-    """Districts with the k-means cluster centre nearest to them."""
     dist = a.districts(spark, d)
-    centres = folds.kmeans_centres(dist, 4, 10001)
-    options = F.array(
-        *[
-            F.struct((F.pow(F.col("x") - cx, 2) + F.pow(F.col("y") - cy, 2)).alias("d2"), F.lit(i + 1).alias("cluster"))
-            for i, (cx, cy) in enumerate(centres)
-        ]
-    )
-    return dist.select("region", F.array_min(options)["cluster"].alias("cluster"))
+    centres = dist.join(given_clusters(spark, d), "region").groupBy("cluster").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    return folds.balanced_clusters(dist, [(r["cx"], r["cy"]) for r in centres.orderBy("cluster").collect()])
 
 
-@query("M03_balanced_clusters")
+@query(
+    "M01_fold_labels",
+    f"""SELECT CAST(i + 1 AS INT) AS fold_id, CAST((SELECT min(date) FROM region_rows) AS VARCHAR) || ' ' || CAST(t AS VARCHAR) AS train_range, CAST(t + 1 AS VARCHAR) || ' ' || CAST(t + {HORIZON} AS VARCHAR) AS assess_range
+    FROM (SELECT i, DATE '{START}' + CAST(i * {STEP} AS INT) AS t FROM (SELECT unnest(range(100)) AS i)) WHERE t <= DATE '{END}'""",
+)
 def _(spark, d):
-    dist = a.districts(spark, d)
-    return folds.balanced_clusters(dist, folds.kmeans_centres(dist, 4, 10001))
+    table = folds.outer_folds(spark, START, END, HORIZON, STEP)
+    return folds.fold_labels(table, a.region_rows(spark, d)).select("fold_id", "train_range", "assess_range")
 
 
 def given_clusters(spark, d):
@@ -122,29 +157,6 @@ def _(spark, d):
     return df.select("region", "date", F.lit(",".join(used)).alias("used"), sum((F.col(c) for c in used), F.lit(0.0)).alias("total"))
 
 
-SETTINGS = [
-    {"trees": 2, "tree_depth": 2, "learn_rate": 0.3, "mtry": 2, "loss_reduction": 0.0},
-    {"trees": 3, "tree_depth": 2, "learn_rate": 0.1, "mtry": 3, "loss_reduction": 1e-4},
-]
-
-
-@query("M08_M12_final_fit")
-def _(spark, d):
-    """Boosted trees fitted before a cut date, scored after it."""
-    train, rest = folds.holdout_split(features(spark, d), "2000-01-01")
-    used = modelling.feature_columns(train)
-    return modelling.final_fit(train, rest, used, SETTINGS[0]).select("region", "date", "outbreak", "pred_1", "pred_class")
-
-
-@query("M09_tuning_grid")
-def _(spark, d):
-    """Two settings on one outer and two inner folds, metrics in long form."""
-    rows = features(spark, d)
-    outer = folds.outer_assignments(rows, "1998-01-01", END, HORIZON, STEP)
-    inner = folds.inner_assignments(given_clusters(spark, d))
-    return modelling.tune_grid(rows, outer, inner, [(1, 1), (1, 2)], SETTINGS, modelling.feature_columns(rows))
-
-
 _AUC = """SELECT p.fold, avg(CASE WHEN p.pred_1 > n.pred_1 THEN 1 WHEN p.pred_1 = n.pred_1 THEN 5e-1 ELSE 0 END) AS roc_auc
   FROM (SELECT * FROM scored WHERE outbreak = 1) p JOIN (SELECT * FROM scored WHERE outbreak = 0) n USING (fold) GROUP BY 1"""
 _PR = """SELECT fold, sum((rec - coalesce(prev_rec, 0)) * (prec + coalesce(prev_prec, 1)) / 2) AS pr_auc FROM (
@@ -187,10 +199,6 @@ def _(spark, d):
     return curve.select(F.when(is_end, "end").otherwise("score").alias("kind"), F.when(is_end, 0.0).otherwise(F.col("threshold")).alias("threshold"), "specificity", "sensitivity")
 
 
-cte("dist", "SELECT n_name AS region, x, CAST(c_nationkey AS DOUBLE) AS y, c_nationkey % 4 + 1 AS cluster FROM (SELECT c_nationkey, avg(c_acctbal) / 1000 AS x FROM customer GROUP BY 1) JOIN nation ON n_nationkey = c_nationkey")
-cte("centres", "SELECT cluster, avg(x) AS cx, avg(y) AS cy FROM dist GROUP BY 1")
-
-
 def distances(spark, d):
     """Districts with their squared distance to the centre of each given cluster (k rows per district)."""
     dist = a.districts(spark, d).join(given_clusters(spark, d), "region")

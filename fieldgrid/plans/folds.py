@@ -8,13 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranks import row_numbers
-from ..session import calendar_side
+from ..operators.ranks import row_numbers, running_totals
+from ..session import calendar_side, cut
 
 
 def outer_folds(spark: SparkSession, start_date: str, end_date: str, horizon: int = 90, step: int = 90) -> DataFrame:
@@ -54,11 +52,116 @@ def outer_assignments(
     return train.unionByName(assess)
 
 
-def kmeans_centres(districts: DataFrame, k: int, seed: int, x: str = "x", y: str = "y") -> list[tuple[float, float]]:
+def fold_labels(folds: DataFrame, data: DataFrame, date: str = "date") -> DataFrame:
+    """Add ``train_range`` and ``assess_range`` to outer folds: first and last day, as text."""
+    first = data.agg(F.min(date)).first()[0]
+    return folds.withColumns(
+        {
+            "train_range": F.concat_ws(" ", F.lit(first).cast("date").cast("string"), F.col("train_end").cast("string")),
+            "assess_range": F.concat_ws(" ", F.col("assess_start").cast("string"), F.col("assess_end").cast("string")),
+        }
+    )
+
+
+_PARTS = 1_000_000  # coordinates are counted in parts of one by this, so sums of clusters are integers
+_KEPT_MOVES = 200  # moves that are kept beside the stored clusters before these are written anew
+
+
+def _squared(x: Column, y: Column, cx: float, cy: float) -> Column:
+    return F.pow(x - F.lit(cx), 2) + F.pow(y - F.lit(cy), 2)
+
+
+def kmeans(
+    districts: DataFrame, k: int, seed: int, region_col: str = "region", x: str = "x", y: str = "y"
+) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """``region, cluster`` and the cluster centres of district centroids, such that no single move improves them.
+
+    The start is ``k`` different points by seeded hash.  Rounds of nearest centre and mean bring it near; then districts
+    move one by one: a move out of a cluster of ``a`` into one of ``b`` changes the sum of squares by
+    ``b / (b + 1) * to - a / (a - 1) * from``.  In each pass every pair of clusters offers its best move, and those that
+    touch no cluster twice are made together, so their changes add up.  The sum falls with every move, so this ends.
+
+    Coordinates are rounded to millionths and added up as integers, and equal moves go by name: the result does not
+    depend on partitions.  Fewer than ``k`` different points make as many clusters.
+    """
+    part = lambda c: F.round(F.col(c) * _PARTS).cast("long")
+    points = cut(districts.select(region_col, part(x).alias("_x"), part(y).alias("_y")))
+    order = F.min(F.md5(F.concat(F.lit(f"{seed}:"), F.col(region_col).cast("string"))))
+    start = points.groupBy("_x", "_y").agg(order.alias("_o")).orderBy("_o", "_x", "_y").limit(k).collect()
+    centres = [(float(r["_x"]), float(r["_y"])) for r in start]
+
+    def nearest(at: list[tuple[float, float]]) -> Column:
+        options = F.array(*[F.struct(_squared(F.col("_x"), F.col("_y"), *c).alias("d"), F.lit(n).alias("n")) for n, c in enumerate(at)])
+        return F.array_min(options)["n"]
+
+    def sums(clustered: DataFrame) -> dict[int, list[int]]:
+        rows = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("sx"), F.sum("_y").alias("sy")).collect()
+        return {r["cluster"]: [r["n"], r["sx"], r["sy"]] for r in rows}
+
+    if not centres:
+        return points.select(region_col, F.lit(0).alias("cluster")), []
+    held: dict[int, list[int]] = {}
+    for _ in range(50):
+        now = sums(points.withColumn("cluster", nearest(centres)))
+        if now == held:
+            break
+        held = now
+        centres = [(held[n][1] / held[n][0], held[n][2] / held[n][0]) if n in held else c for n, c in enumerate(centres)]
+    clustered = cut(points.withColumn("cluster", nearest(centres)))
+    held = sums(clustered)
+    moved: dict = {}
+    while True:
+        state = clustered
+        if moved:
+            new = F.create_map(*[F.lit(v) for pair in moved.items() for v in pair])
+            state = clustered.withColumn("cluster", F.coalesce(F.try_element_at(new, F.col(region_col)), F.col("cluster")))
+            if len(moved) > _KEPT_MOVES:
+                state = clustered = cut(state)
+                moved = {}
+        offers = []
+        for n, (count, sx, sy) in held.items():
+            d = _squared(F.col("_x"), F.col("_y"), sx / count, sy / count)
+            own = F.lit(count / (count - 1)) * d if count > 1 else F.lit(None).cast("double")  # the last one stays
+            offers.append(F.struct(F.lit(n).alias("n"), (F.lit(count / (count + 1)) * d).alias("into"), own.alias("out")))
+        here = state.withColumn("_o", F.array(*offers))
+        here = here.withColumn("_out", F.filter("_o", lambda o: o["n"] == F.col("cluster"))[0]["out"])
+        moves = here.select("*", F.inline("_o")).where("n <> cluster AND _out IS NOT NULL").withColumn("change", F.col("into") - F.col("_out"))
+        moves = moves.where(F.col("change") < -1e-9 * F.col("_out"))
+        best = moves.groupBy("cluster", "n").agg(F.min(F.struct("change", region_col, "_x", "_y")).alias("m")).collect()  # k * (k - 1) rows
+        busy: set[int] = set()
+        for r in sorted(best, key=lambda r: (r["m"]["change"], r["m"][region_col])):
+            a, b = r["cluster"], r["n"]
+            if a in busy or b in busy:
+                continue
+            busy |= {a, b}
+            moved[r["m"][region_col]] = b
+            for c, sign in ((a, -1), (b, 1)):
+                held[c] = [held[c][0] + sign, held[c][1] + sign * r["m"]["_x"], held[c][2] + sign * r["m"]["_y"]]
+        if not busy:
+            break
+    centres = [(sx / n / _PARTS, sy / n / _PARTS) for _, (n, sx, sy) in sorted(held.items())]
+    number = {old: new for new, old in enumerate(sorted(held), start=1)}
+    numbered = F.create_map(*[F.lit(v) for pair in number.items() for v in pair])
+    return state.select(region_col, F.element_at(numbered, F.col("cluster")).alias("cluster")), centres
+
+
+def kmeans_centres(districts: DataFrame, k: int, seed: int, x: str = "x", y: str = "y", region_col: str = "region") -> list[tuple[float, float]]:
     """Cluster centres of the district centroids (k points: fold metadata)."""
-    points = VectorAssembler(inputCols=[x, y], outputCol="features").transform(districts)
-    model = KMeans(k=k, seed=seed, featuresCol="features").fit(points)
-    return [(float(c[0]), float(c[1])) for c in model.clusterCenters()]
+    return kmeans(districts, k, seed, region_col, x, y)[1]
+
+
+def _smallest(ranks: DataFrame, column: Column, place: int, n: int) -> int:
+    """The ``place``-th smallest of different ranks 1..n, by counts of blocks and then inside one block."""
+    if place == 0:
+        return 0
+    width = max(1, n // 4096)
+    blocks = ranks.groupBy(F.floor((column - 1) / width).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    for r in sorted(blocks):
+        if r["n"] >= place:
+            inside = ranks.where(F.floor((column - 1) / width) == r["b"]).select(column.alias("r")).collect()
+            return sorted(x["r"] for x in inside)[place - 1]
+        place -= r["n"]
+    raise ValueError("fewer ranks than the place asked for")
 
 
 def balanced_clusters(
@@ -73,24 +176,33 @@ def balanced_clusters(
     Pass 1 visits clusters 1..k in order; each takes its floor(n/k) nearest free districts.  Pass 2 gives the fewer
     than k left over districts, in name order, to the nearest cluster that still has room.  Ties go to the lower
     name or cluster number.
+
+    All districts are ranked by their distance to every centre once.  A cluster's share ends at some rank, so what is
+    left for the next one is a filter on the ranks, and pass 1 is k bounds instead of k tables.
     """
     k = len(centres)
-    free = districts.select(region_col, x, y)
-    size = free.count() // k
-    taken = None
-    for number, (cx, cy) in enumerate(centres, start=1):
-        distance = F.pow(F.col(x) - F.lit(cx), 2) + F.pow(F.col(y) - F.lit(cy), 2)
-        ranked = row_numbers(free.withColumn("_d2", distance), ["_d2", region_col], "_rank").drop("_d2")
-        mine = ranked.where(F.col("_rank") <= size).select(region_col, F.lit(number).alias("cluster"))
-        taken = mine if taken is None else taken.unionByName(mine)
-        free = ranked.where(F.col("_rank") > size).drop("_rank")
+    options = F.array(
+        *[F.struct(F.lit(n).alias("cluster"), _squared(F.col(x), F.col(y), *c).alias("_d2")) for n, c in enumerate(centres, start=1)]
+    )
+    pairs = districts.select(region_col, F.col(x).alias("_x"), F.col(y).alias("_y"), F.inline(options)).withColumn("_one", F.lit(1))
+    ranked = running_totals(pairs, ["_d2", region_col], {"_rank": "_one"}, ["cluster"])
+    by_cluster = F.transform(F.sort_array(F.collect_list(F.struct("cluster", "_rank"))), lambda s: s["_rank"])
+    ranks = cut(ranked.groupBy(region_col).agg(by_cluster.alias("_ranks"), F.max("_x").alias("_x"), F.max("_y").alias("_y")))
+    n = ranks.count()
+    free, number = F.lit(True), F.lit(None).cast("int")
+    for j in range(k):
+        rank = F.col("_ranks")[j]
+        last = _smallest(ranks.where(free), rank, n // k, n)
+        number = F.coalesce(number, F.when(rank <= last, F.lit(j + 1)))
+        free = free & (rank > last)
+    taken = ranks.where(~free).select(region_col, number.alias("cluster"))
     # Every cluster now holds floor(n/k) districts, so each can take one of the (< k) left over ones.
     room = set(range(1, k + 1))
     placed = []
-    for row in sorted(free.collect(), key=lambda r: r[region_col]):
-        nearest = min(room, key=lambda c: ((row[x] - centres[c - 1][0]) ** 2 + (row[y] - centres[c - 1][1]) ** 2, c))
-        room.discard(nearest)
-        placed.append((row[region_col], nearest))
+    for row in sorted(ranks.where(free).collect(), key=lambda r: r[region_col]):
+        best = min(room, key=lambda c: ((row["_x"] - centres[c - 1][0]) ** 2 + (row["_y"] - centres[c - 1][1]) ** 2, c))
+        room.discard(best)
+        placed.append((row[region_col], best))
     if placed:
         kind = districts.schema[region_col].dataType.simpleString()
         extra = districts.sparkSession.createDataFrame(placed, f"{region_col} {kind}, cluster int")
@@ -120,7 +232,7 @@ def fold_assignments(
     seed: int = 10001,
 ) -> tuple[DataFrame, DataFrame]:
     """The two fold tables: by date (outer) and by district (inner)."""
-    centres = kmeans_centres(districts, n_spatial_folds, seed)
+    centres = kmeans_centres(districts, n_spatial_folds, seed, region_col=region_col)
     clusters = balanced_clusters(districts, centres, region_col)
     return outer_assignments(data, start_date, end_date, horizon, step), inner_assignments(clusters, region_col)
 

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..operators.ranks import running_totals
-from ..session import cut
-from .folds import fold_rows
+from .boosting import BINS, MODELS, Model, Setting, assess_all, fit, predict
 
 METRICS = ("roc_auc", "pr_auc", "recall", "precision", "f_meas", "bal_accuracy")
 PARAMETERS = ("trees", "tree_depth", "learn_rate", "mtry", "loss_reduction")
@@ -50,29 +44,12 @@ def parameter_grid(size: int, n_features: int, seed: int = 1) -> list[dict[str,
     return out
 
 
-def boosted_trees(features: Sequence[str], params: Mapping[str, float], label: str = "outbreak", min_n: int = 12, seed: int = 1) -> Pipeline:
-    """Assembler and gradient-boosted trees; ``mtry`` is the number of features tried per split."""
-    share = min(1.0, params.get("mtry", len(features)) / max(len(features), 1))
-    model = GBTClassifier(
-        labelCol=label,
-        featuresCol="features",
-        maxIter=int(params.get("trees", 20)),
-        maxDepth=int(params.get("tree_depth", 5)),
-        stepSize=float(params.get("learn_rate", 0.1)),
-        featureSubsetStrategy="all" if share >= 1.0 else str(share),
-        minInfoGain=float(params.get("loss_reduction", 0.0)),
-        minInstancesPerNode=min_n,
-        seed=seed,
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), model])
-
-
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Probability of class 1 as ``pred_1`` and the class as ``pred_class``."""
-    scored = model.transform(df)
-    return scored.withColumns(
-        {"pred_1": F.element_at(vector_to_array("probability"), 2), "pred_class": F.col("prediction").cast("int")}
-    ).drop("features", "rawPrediction", "probability", "prediction")
+def setting_of(params: Mapping[str, float], n_features: int, min_n: float = 12.0) -> Setting:
+    """Parameters as a setting of :mod:`fieldgrid.plans.boosting`; those not given take its defaults."""
+    given = {p: params[p] for p in PARAMETERS if p in params}
+    whole = {p: int(given[p]) for p in ("trees", "tree_depth", "mtry") if p in given}
+    whole["mtry"] = min(whole.get("mtry", n_features), n_features)
+    return Setting(**{**{p: float(v) for p, v in given.items()}, **whole, "min_n": min_n})
 
 
 def _score_steps(scored: DataFrame, truth: str, score: str, group: Sequence[str]) -> DataFrame:
@@ -151,33 +128,34 @@ def tune_grid(
     data: DataFrame,
     outer: DataFrame,
     inner: DataFrame,
-    folds: Iterable[tuple[int, int]],
     params: Sequence[Mapping[str, float]],
     features: Sequence[str],
+    folds: Sequence[tuple[int, int]] | None = None,
     label: str = "outbreak",
     region_col: str = "region",
+    min_n: float = 12.0,
+    bins: int = BINS,
     seed: int = 1,
+    models_at_once: int = MODELS,
 ) -> DataFrame:
-    """Fit every setting on every (outer fold, inner fold) and collect the metrics in one long table.
+    """Every setting on every (outer fold, inner fold): metrics in one long table.
 
-    The loop runs over folds and settings; every fit and every scoring is a distributed job on the fold's rows.
+    All models grow in shared passes over the data (:func:`fieldgrid.plans.boosting.assess_all`), are scored in one job
+    and ranked in one.  Without ``folds``, all pairs of an outer and an inner fold; a pair without rows has no metrics.
     """
-    ids = ["outer_fold", "inner_fold", *[p for p in PARAMETERS if p in params[0]]]
-    results = []
-    for fold_id, inner_fold in folds:
-        rows = fold_rows(data, outer, fold_id, inner, inner_fold, region_col).persist()
-        train, assess = rows.where(F.col("inner_role") == "train"), rows.where(F.col("inner_role") == "assess")
-        scored = []
-        for setting in params:
-            model = boosted_trees(features, setting, label, seed=seed).fit(train)
-            values = {"outer_fold": F.lit(fold_id), "inner_fold": F.lit(inner_fold)}
-            values |= {p: F.lit(float(setting[p])) for p in ids[2:]}
-            scored.append(predict(model, assess).select(label, "pred_1").withColumns(values))
-        # All settings of a fold are scored in one job and ranked in one job.
-        all_scored = cut(reduce(DataFrame.unionByName, scored))
-        rows.unpersist()
-        results.append(metrics_long(classification_metrics(all_scored, ids, label), ids))
-    return reduce(DataFrame.unionByName, results)
+    if folds is None:
+        numbers = [sorted(r[0] for r in df.select(c).distinct().collect()) for df, c in ((outer, "fold_id"), (inner, "inner_fold"))]
+        folds = [(a, b) for a in numbers[0] for b in numbers[1]]
+    models = [Model(setting_of(p, len(features), min_n), a, b) for a, b in folds for p in params]
+    scored, _ = assess_all(data, features, models, outer, inner, label, region_col, bins=bins, seed=seed, models_at_once=models_at_once)
+    used = [p for p in PARAMETERS if p in params[0]]
+    ids = ["outer_fold", "inner_fold", *used]
+    table = data.sparkSession.createDataFrame(
+        [(m, *folds[m // len(params)], *[float(params[m % len(params)][p]) for p in used]) for m in range(len(models))],
+        "model long, outer_fold int, inner_fold int, " + ", ".join(f"{p} double" for p in used),
+    )
+    found = classification_metrics(scored, ["model"], "truth")
+    return metrics_long(found.join(F.broadcast(table), "model").drop("model"), ids)
 
 
 def select_best(metrics: DataFrame, params: Sequence[str], metric: str = "roc_auc", seed: int = 0) -> DataFrame:
@@ -191,6 +169,8 @@ def select_best(metrics: DataFrame, params: Sequence[str], metric: str = "roc_au
     return summary.orderBy(F.col("estimate").desc_nulls_last(), F.xxhash64(*params, F.lit(seed)), *params).limit(1)
 
 
-def final_fit(train: DataFrame, holdout: DataFrame, features: Sequence[str], params: Mapping[str, float], label: str = "outbreak") -> DataFrame:
-    """Fit the chosen setting on the training rows and score the holdout rows."""
-    return predict(boosted_trees(features, params, label).fit(train), holdout)
+def final_fit(
+    train: DataFrame, holdout: DataFrame, features: Sequence[str], params: Mapping[str, float], label: str = "outbreak", min_n: float = 12.0, bins: int = BINS, seed: int = 1
+) -> DataFrame:
+    """Fit the chosen setting on the training rows and score the holdout rows: ``pred_1`` and ``pred_class`` beside them."""
+    return predict(fit(train, features, setting_of(params, len(features), min_n), label, bins, seed), holdout)

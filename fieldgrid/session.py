@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,3 +88,22 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     by their present size, which says nothing about the rows they are about to produce.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+class Stored:
+    """Parquet tables of one iterative job in the shared folder; each is dropped when its successor is there.
+
+    A table is read with the schema it was written from, so an empty one is a table, too.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folder = spark, f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame, name: str, append: bool = False) -> DataFrame:
+        df.write.mode("append" if append else "errorifexists").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
