@@ -144,17 +144,11 @@ cte(
 )
 
 
-def _validated(spark, d, wide):
-    daily, dates = a.daily(spark, d), a.model_days(spark, d)
-    clim = climatology.climatology(daily, a.WEATHER)
-    fc = forecast.normalize_forecast(a.forecast_members(spark, d))
-    anom = forecast.forecast_anomalies(fc, clim, dates, a.BREAKS)
-    return forecast.validate_forecast(anom, daily, clim, dates, a.BREAKS, wide=wide)
-
-
 @query("D08_validate_forecast", "SELECT * FROM validated", " ".join(VALID))
 def _(spark, d):
-    return _validated(spark, d, wide=False)
+    daily = a.daily(spark, d)
+    fc = forecast.normalize_forecast(a.forecast_members(spark, d))
+    return forecast.forecast_and_recorded(fc, daily, climatology.climatology(daily, a.WEATHER), a.model_days(spark, d), a.BREAKS)
 
 
 @query(
@@ -165,7 +159,12 @@ def _(spark, d):
     " ".join(f"{v}_{e - 1}" for e in a.BREAKS[1:] for v in VALID),
 )
 def _(spark, d):
-    return _validated(spark, d, wide=True)
+    """Of anomalies that are there already, one row per cell and date."""
+    daily, dates = a.daily(spark, d), a.model_days(spark, d)
+    clim = climatology.climatology(daily, a.WEATHER)
+    fc = forecast.normalize_forecast(a.forecast_members(spark, d))
+    anom = forecast.forecast_anomalies(fc, clim, dates, a.BREAKS)
+    return forecast.validate_forecast(anom, daily, clim, dates, a.BREAKS, wide=True)
 
 
 LAGS = ("temperature", "relative_humidity")

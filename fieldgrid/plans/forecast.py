@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import CELL
@@ -14,10 +14,10 @@ from ..functions.columns import ratio
 from ..functions.dates import interval_table, whole_months, with_date_parts
 from ..operators.grid import with_dates
 from ..operators.joins import latest_at_or_before
-from ..session import calendar_side, spread
+from ..session import calendar_side
+from .cells import Calendar, interval_means, packed, range_sums
 
 WEATHER = ("temperature", "precipitation", "relative_humidity")
-BLOCKS = (1, 4, 16)  # days; each size divides the next
 
 
 def ensemble_stats(members: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -45,17 +45,19 @@ def normalize_forecast(members: DataFrame, keys: Sequence[str] = CELL) -> DataFr
         aggregates += [
             F.avg(here).alias(f"_m_{v}"),
             F.stddev_samp(here).alias(f"_s_{v}"),
-            F.max(F.when(F.col("variable") == v, F.col("units"))).alias(f"_u_{v}"),
+            # Flags, not the unit itself: a text among the aggregates would have every row sorted.
+            F.max(F.when(F.col("variable") == v, (F.col("units") == "C").cast("int"))).alias(f"_c_{v}"),
+            F.min(F.when(F.col("variable") == v, (F.col("units") == "").cast("int"))).alias(f"_e_{v}"),
         ]
     stats = members.groupBy(*keys, "base_date", "forecast_end_date").agg(*aggregates)
 
     def mean_of(v: str):
         m = F.col(f"_m_{v}")
-        return F.when(F.col(f"_u_{v}") == "C", m - F.lit(KELVIN_OFFSET)).otherwise(rate_to_mm_per_day(m))
+        return F.when(F.col(f"_c_{v}") == 1, m - F.lit(KELVIN_OFFSET)).otherwise(rate_to_mm_per_day(m))
 
     def sd_of(v: str):
         sd = F.col(f"_s_{v}")
-        return F.when(F.col(f"_u_{v}") == "", rate_to_mm_per_day(sd)).otherwise(sd)
+        return F.when(F.col(f"_e_{v}") == 1, rate_to_mm_per_day(sd)).otherwise(sd)
 
     t, d = mean_of("temperature"), mean_of("dewpoint")
     last_day = F.date_sub("forecast_end_date", 1)
@@ -99,46 +101,65 @@ def interval_segments(dates: DataFrame, breaks: Sequence[int]) -> DataFrame:
 def _segment_sums(clim: DataFrame, segments: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Sums and counts of the daily climatology over each distinct segment, per cell."""
     distinct = segments.select("first_doy", "last_doy").distinct()
-    rows = clim.select(*keys, "doy", F.lit(1).alias("_rows"), *columns)
     sums = {f"_s_{c}": F.col(c) for c in columns} | {f"_n_{c}": F.col(c).isNotNull().cast("long") for c in columns}
-    found = range_sums(rows, "doy", sums | {"_days": F.col("_rows")}, distinct, "first_doy", "last_doy", keys)
-    return found.where("_days > 0")
+    return range_sums(clim, "doy", sums | {"_days": F.lit(1)}, distinct, "first_doy", "last_doy", keys).where("_days > 0")
 
 
-def range_sums(
-    rows: DataFrame, at: str, sums: Mapping[str, Column], ranges: DataFrame, first: str, last: str, keys: Sequence[str]
-) -> DataFrame:
-    """Sums of ``rows`` with ``at`` in ``[first, last]``, for every key that occurs and every row of ``ranges``.
+def _climate_part(clim: DataFrame, value_cols: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Of the climatology (one row a cell and day of year) what intervals need."""
+    both = [*value_cols, *[f"{c}_sd" for c in value_cols]]
+    known = clim.where(F.col("doy").between(1, 366))
+    return known, {"at": F.col("doy").cast("int"), **{c: F.col(c).cast("double") for c in both}}
 
-    A range is cut into aligned blocks of ``BLOCKS`` values of ``at``, and adds up the totals of its blocks; so nothing
-    outside the range, be it NaN, infinite or very large, touches its sum.  Every row counts in one block of each
-    size, and the blocks asked for are put among the key's rows and read off in a single window: the cost is that of
-    the rows and of a few blocks a range.  ``ranges`` is a calendar table and travels as one array value; NULLs count
-    as 0.
-    """
-    keys, names = list(keys), ranges.columns
-    pieces = []
-    for size, above in zip(BLOCKS, [*BLOCKS[1:], None]):
-        start, stop = F.ceil(F.col(first) / size).cast("int"), (F.floor((F.col(last) + 1) / size) - 1).cast("int")
-        inside = F.when(start <= stop, F.sequence(start, stop))
-        if above is not None:  # those inside a larger block of the range are in there
-
-            def alone(k: Column, size: int = size, above: int = above) -> Column:
-                low = F.floor(k * size / above) * above
-                return (low < F.col(first)) | (low + above - 1 > F.col(last))
-
-            inside = F.filter(inside, lambda k: alone(k))
-        found = ranges.withColumn("_block", F.explode(inside))
-        pieces.append(found.select(F.struct(F.lit(size).alias("_size"), "_block", *names).alias("_e")))
-    calendar = reduce(DataFrame.unionAll, pieces).select(F.collect_set("_e")).scalar()
-    asks = rows.select(*keys).distinct().withColumn("_e", F.explode(calendar)).select(*keys, "_e.*").withColumn("_ask", F.lit(True))
-    sizes = F.explode(F.array(*[F.lit(n) for n in BLOCKS]))
-    placed = rows.select(*keys, F.col(at).alias("_at"), *[v.alias(k) for k, v in sums.items()]).withColumn("_size", sizes)
-    placed = placed.withColumn("_block", F.floor(F.col("_at") / F.col("_size")).cast("int")).drop("_at")
-    both = placed.unionByName(asks, allowMissingColumns=True)
-    block = Window.partitionBy(*keys, "_size", "_block")
-    read = both.withColumns({k: F.coalesce(F.sum(k).over(block), F.lit(0)) for k in sums}).where("_ask")
-    return read.groupBy(*keys, *names).agg(*[F.sum(k).alias(k) for k in sums])
+
+def _lead_part(forecast: DataFrame, value_cols: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Of the forecast (one row a cell, issue and month ahead)."""
+    dates = {"base": F.unix_date("base_date"), "year": F.col("lead_year").cast("int"), "month": F.col("lead_month").cast("int")}
+    known = forecast.where(F.col("base_date").isNotNull() & F.col("lead_year").isNotNull() & F.col("lead_month").isNotNull())
+    return known, {**dates, **{c: F.col(c).cast("double") for c in value_cols}}
+
+
+def _seen_part(daily: DataFrame, value_cols: Sequence[str], keys: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Days of a cell, added up to one entry each."""
+    measures = [F.count(F.lit(1)).cast("double").alias("rows")]
+    measures += [F.sum(F.col(c).cast("double")).alias(f"s_{c}") for c in value_cols] + [F.count(c).cast("double").alias(f"n_{c}") for c in value_cols]
+    days = daily.where(F.col("date").isNotNull()).groupBy(*keys, "date").agg(*measures)
+    return days, {"at": F.unix_date("date"), "rows": F.col("rows"), **{f"{k}_{c}": F.col(f"{k}_{c}") for c in value_cols for k in "sn"}}
+
+
+def _recorded_days(calendar: Calendar, breaks: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First day and length of each group of the calendar."""
+    low = dict(zip(breaks[1:], breaks[:-1]))
+    size = np.array([h - low[h] for h in calendar.hi.tolist()], np.int64)
+    return calendar.date + calendar.hi - size, size
+
+
+def _forecast_columns(means: DataFrame, value_cols: Sequence[str]) -> dict[str, Column]:
+    built = {}
+    for c in value_cols:
+        diff = F.col(f"_p_{c}") - F.col(f"_h_{c}")
+        built[f"anomaly_forecast_{c}"] = diff
+        built[f"anomaly_forecast_scaled_{c}"] = ratio(diff, F.col(f"_d_{c}"), F.col(f"_h_{c}"))
+    return built
+
+
+def _recorded_columns(value_cols: Sequence[str]) -> dict[str, Column]:
+    built = {}
+    for c in value_cols:
+        diff = F.col(f"_r_{c}") - F.col(f"_h_{c}")
+        built[f"anomaly_recorded_{c}"] = diff
+        built[f"anomaly_recorded_scaled_{c}"] = ratio(diff, F.col(f"_d_{c}"), F.col(f"_h_{c}"))
+    return built
+
+
+def _compared_columns(value_cols: Sequence[str]) -> dict[str, Column]:
+    built = {}
+    for c in value_cols:
+        for scaled in ("", "scaled_"):
+            name = f"anomaly_{c}" + ("_scaled" if scaled else "")
+            f, r = F.col(f"anomaly_forecast_{scaled}{c}"), F.col(f"anomaly_recorded_{scaled}{c}")
+            built |= {f"{name}_forecast": f, f"{name}_recorded": r, f"{name}_difference": f - r}
+    return built
 
 
 def forecast_anomalies(
@@ -152,52 +173,20 @@ def forecast_anomalies(
     """Forecast minus climatology over each interval after each date, raw and scaled.
 
     Means run over the days of the interval: the climatology of the day, and the forecast (latest issue not after
-    the date) of the day's month.  Daily rows are never built.  An interval is one or two month segments, a
-    segment's climatology depends on two days of year only, and is summed once per cell for all dates that share
-    it; the forecast is constant inside a segment, so its daily mean is a mean weighted by the segment's days.
-    The scaled anomaly divides by the mean of the daily deviations.
-
-    Climatology (one row per cell and day of year) and forecast (one per cell, issue and lead) are placed by cell
-    once, and a segment's climatology adds up a few blocks of days.  The calendar is broadcast behind a size check, and the two sides meet in a union grouped by segment
-    instead of a join on cell, issue and month, so nothing that has been multiplied by dates is shuffled.
+    the date) of the day's month.  Daily rows are never built.  An interval is one or two month segments; the forecast
+    is constant inside a segment, so its daily mean is a mean weighted by the segment's days.  The scaled anomaly
+    divides by the mean of the daily deviations.
+
+    Climatology and forecast meet once, as one row a cell (:mod:`fieldgrid.plans.cells`); the calendar of dates,
+    intervals and months travels to the tasks, and what comes out is not shuffled again.
     """
     keys = list(keys)
-    sds = [f"{c}_sd" for c in value_cols]
     issues = latest_at_or_before(dates, forecast.select("base_date"))
-    segments = calendar_side(interval_segments(dates, breaks).join(issues, "date"))
-    part = [*keys, "date", "hi", "year", "month"]
-    sums = _segment_sums(spread(clim, *keys), segments, [*value_cols, *sds], keys)
-    normal = sums.join(segments, ["first_doy", "last_doy"]).drop("first_doy", "last_doy", "lo", "base_date")
-    lead = spread(forecast, *keys).select(
-        *keys,
-        "base_date",
-        F.col("lead_month").alias("month"),
-        F.col("lead_year").alias("year"),
-        *[F.col(c).alias(f"_f_{c}") for c in value_cols],
-    )
-    lead = lead.join(segments, ["base_date", "month", "year"]).select(*part, *[f"_f_{c}" for c in value_cols])
-    measured = [c for c in [*normal.columns, *lead.columns] if c.startswith("_")]
-    joined = (
-        normal.unionByName(lead, allowMissingColumns=True)
-        .groupBy(*part)
-        .agg(*[F.max(c).alias(c) for c in measured])  # at most one row per side
-        .where(F.col("_days").isNotNull())
-    )
-    agg = []
-    for c in value_cols:
-        known = F.when(F.col(f"_f_{c}").isNotNull(), F.col("_days"))
-        agg += [
-            F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}")).alias(f"_h_{c}"),
-            F.try_divide(F.sum(f"_s_{c}_sd"), F.sum(f"_n_{c}_sd")).alias(f"_d_{c}"),
-            F.try_divide(F.sum(F.col(f"_f_{c}") * F.col("_days")), F.sum(known)).alias(f"_p_{c}"),
-        ]
-    out = joined.groupBy(*keys, "date", "hi").agg(*agg)
-    built = {}
-    for c in value_cols:
-        diff = F.col(f"_p_{c}") - F.col(f"_h_{c}")
-        built[f"anomaly_forecast_{c}"] = diff
-        built[f"anomaly_forecast_scaled_{c}"] = ratio(diff, F.col(f"_d_{c}"), F.col(f"_h_{c}"))
-    out = with_date_parts(out.withColumns(built).withColumnRenamed("hi", "forecast_interval"))
+    calendar = Calendar.of(interval_segments(dates, breaks).join(issues, "date"))
+    rows = packed(keys, _clim=_climate_part(clim, value_cols), _lead=_lead_part(forecast, value_cols))
+    means = interval_means(rows, keys, calendar, value_cols, True, None)
+    built = _forecast_columns(means, value_cols)
+    out = with_date_parts(means.select(*keys, "date", F.col("hi").alias("forecast_interval"), *[v.alias(k) for k, v in built.items()]))
     return out.select(*keys, "date", "doy", "month", "year", "forecast_interval", *built)
 
 
@@ -213,52 +202,35 @@ def recorded_anomalies(
 
     One row per cell of the climatology, date and interval.  The recorded mean is NULL when a day of the cell is
     NULL or the cell has no day in the interval.
+    """
+    keys = list(keys)
+    calendar = Calendar.of(interval_segments(dates, breaks))
+    rows = packed(keys, _clim=_climate_part(clim, value_cols), _seen=_seen_part(daily, value_cols, keys))
+    means = interval_means(rows, keys, calendar, value_cols, False, _recorded_days(calendar, breaks))
+    return means.select(*keys, "date", F.col("hi").alias("forecast_interval"), *[v.alias(k) for k, v in _recorded_columns(value_cols).items()])
+
 
-    Days are summed per cell and placed by cell; an interval adds up a few blocks of days there.
+def forecast_and_recorded(
+    forecast: DataFrame,
+    daily: DataFrame,
+    clim: DataFrame,
+    dates: DataFrame,
+    breaks: Sequence[int] = (0, 30, 60, 90, 120, 150),
+    value_cols: Sequence[str] = WEATHER,
+    keys: Sequence[str] = CELL,
+) -> DataFrame:
+    """Forecast anomaly, recorded anomaly and their difference, one row per cell, date and interval.
+
+    The same as :func:`validate_forecast` of :func:`forecast_anomalies`, in one pass: calendar and climatology are added
+    up once for both sides, which meet in the cell's row instead of a join.
     """
     keys = list(keys)
-    observed = daily.groupBy(*keys, F.col("date").alias("_seen")).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.sum(c).alias(f"_s_{c}") for c in value_cols],
-        *[F.count(c).alias(f"_n_{c}") for c in value_cols],
-    )
-    intervals = with_dates(interval_table(dates.sparkSession, breaks), dates).select(
-        "date", "hi", F.unix_date(F.date_add("date", F.col("lo"))).alias("_from"), (F.unix_date("date") + F.col("hi") - 1).alias("_to")
-    )
-    days = spread(observed, *keys).withColumn("_day", F.unix_date("_seen"))
-    measured = {n: F.col(n) for n in observed.columns if n.startswith(("_s_", "_n_", "_rows"))}
-    seen = range_sums(days, "_day", measured, intervals, "_from", "_to", keys).select(
-        *keys,
-        "date",
-        "hi",
-        *[
-            F.when(F.col(f"_n_{c}") == F.col("_rows"), F.try_divide(F.col(f"_s_{c}"), F.col(f"_n_{c}"))).alias(f"_r_{c}")
-            for c in value_cols
-        ],
-    )
-    sds = [f"{c}_sd" for c in value_cols]
-    segments = calendar_side(interval_segments(dates, breaks))
-    group = [*keys, "date", "hi"]
-    normal = (
-        _segment_sums(spread(clim, *keys), segments, [*value_cols, *sds], keys)
-        .join(segments, ["first_doy", "last_doy"])
-        .groupBy(*group)
-        .agg(*[F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}")).alias(f"_h_{c}") for c in [*value_cols, *sds]])
-    )
-    measured = [c for c in [*normal.columns, *seen.columns] if c.startswith("_")]
-    both = (
-        normal.withColumn("_known", F.lit(True))
-        .unionByName(seen, allowMissingColumns=True)
-        .groupBy(*group)
-        .agg(*[F.max(c).alias(c) for c in measured], F.max("_known").alias("_known"))
-        .where("_known")
-    )
-    built = {}
-    for c in value_cols:
-        diff = F.col(f"_r_{c}") - F.col(f"_h_{c}")
-        built[f"anomaly_recorded_{c}"] = diff
-        built[f"anomaly_recorded_scaled_{c}"] = ratio(diff, F.col(f"_h_{c}_sd"), F.col(f"_h_{c}"))
-    return both.select(*keys, "date", F.col("hi").alias("forecast_interval"), *[v.alias(k) for k, v in built.items()])
+    issues = latest_at_or_before(dates, forecast.select("base_date"))
+    calendar = Calendar.of(interval_segments(dates, breaks).join(issues, "date"))
+    rows = packed(keys, _clim=_climate_part(clim, value_cols), _lead=_lead_part(forecast, value_cols), _seen=_seen_part(daily, value_cols, keys))
+    means = interval_means(rows, keys, calendar, value_cols, True, _recorded_days(calendar, breaks))
+    both = means.withColumns(_forecast_columns(means, value_cols) | _recorded_columns(value_cols))
+    return both.select(*keys, "date", F.col("hi").alias("forecast_interval"), *[v.alias(k) for k, v in _compared_columns(value_cols).items()])
 
 
 def validate_forecast(
@@ -280,14 +252,7 @@ def validate_forecast(
     wanted = forecast_anom.join(calendar_side(dates.select("date").distinct()), "date", "left_semi")
     recorded = recorded_anomalies(daily, clim, dates, breaks, value_cols, keys)
     joined = wanted.join(recorded, [*keys, "date", "forecast_interval"], "left")
-    built = {}
-    for c in value_cols:
-        for scaled in ("", "scaled_"):
-            name = f"anomaly_{c}" + ("_scaled" if scaled else "")
-            f, r = F.col(f"anomaly_forecast_{scaled}{c}"), F.col(f"anomaly_recorded_{scaled}{c}")
-            built[f"{name}_forecast"] = f
-            built[f"{name}_recorded"] = r
-            built[f"{name}_difference"] = f - r
+    built = _compared_columns(value_cols)
     long = joined.select(*keys, "date", "forecast_interval", *[v.alias(k) for k, v in built.items()])
     if not wide:
         return long

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -594,7 +595,7 @@ def test_forecast_anomalies_shuffle_nothing_after_placing(spark, tmp_path):
     fc, clim = spark.read.parquet(str(tmp_path / "fc")), spark.read.parquet(str(tmp_path / "clim"))
     plan = plan_of(forecast.forecast_anomalies(fc, clim, date_frame(spark, [D(2020, 3, 20)]), (0, 30), ["v"]))
     by_cell = [line for line in plan.splitlines() if "Exchange hashpartitioning(ix" in line]
-    assert len(by_cell) == 3 and "SortMergeJoin" not in plan  # forecast, climatology, and its cells alone
+    assert len(by_cell) == 1 and "Join" not in plan and "Window" not in plan  # forecast and climatology meet once
 
 
 def test_forecast_anomalies_of_daily_dates_do_not_repeat_the_climatology(spark):
@@ -610,6 +611,33 @@ def test_forecast_anomalies_of_daily_dates_do_not_repeat_the_climatology(spark):
     assert "Join" not in plan
 
 
+def test_forecast_and_recorded_in_one_pass_equal_the_join(spark):
+    rng = random.Random(4)
+    cells = [(x, y) for x in range(3) for y in range(2)]
+    value = lambda: rng.choice([rng.uniform(-5, 5)] * 8 + [None, math.nan, 1e17])
+    daily = spark.createDataFrame([(x, y, d, value()) for x, y in cells for d in days(D(2019, 11, 1), 400) if rng.random() < 0.97] * 1, "ix int, iy int, date date, v double")
+    clim = spark.createDataFrame([(x, y, d, value(), rng.choice([None, 0.0, 1.0, 2.0])) for x, y in cells[:5] for d in range(1, 367) if rng.random() < 0.9], "ix int, iy int, doy int, v double, v_sd double")
+    months = [(D(2019 + m // 12, m % 12 + 1, 1), (m + n) % 12 + 1, 2019 + (m + n) // 12) for m in range(10, 22) for n in range(6)]
+    fc = spark.createDataFrame([(x, y, b, m, yr, value()) for x, y in cells[1:] for b, m, yr in months], "ix int, iy int, base_date date, lead_month int, lead_year int, v double")
+    dates = date_frame(spark, days(D(2020, 1, 3), 9, 31))
+    args = (clim, dates, (0, 30, 60, 150), ["v"])
+    joined = forecast.validate_forecast(forecast.forecast_anomalies(fc, *args), daily, *args, wide=False)
+    once = forecast.forecast_and_recorded(fc, daily, *args)
+    assert once.columns == joined.columns
+    show = lambda df: sorted(tuple(repr(round(v, 6) if isinstance(v, float) else v) for v in r) for r in df.collect())
+    assert show(once) == show(joined) and once.count() == 5 * 9 * 3
+
+
+def test_strides_sum_exactly_the_days_of_a_range():
+    from fieldgrid.plans.cells import stride_sums
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(-50, 50, (101, 4)).astype(float)
+    start = np.repeat(np.arange(101), 5)
+    length = np.minimum(np.tile([0, 1, 7, 31, 101], 101), 101 - start)
+    assert (stride_sums(x, start, length) == [x[a : a + n].sum(0) for a, n in zip(start, length)]).all()
+
+
 def test_odd_days_touch_only_the_ranges_that_cover_them(spark):
     value = {d: 0.1 * (d + 60) for d in range(-50, 51)} | {-40: math.nan, -20: math.inf, 0: 1e17, 7: None}
     rows = spark.createDataFrame([(0, d, v) for d, v in value.items()], "ix int, d int, v double")
