@@ -194,11 +194,11 @@ def find_items(
     blocks = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     kept = [c for c in documents.columns if c != into]
-    documents = documents.select(*kept)
+    documents = source = documents.select(*kept)
     for b in range(blocks):
         rows = benchmark.where(block == b).orderBy("item_id", "text").collect()  # one block: bounded text
         groups, names = block_windows([r["item_id"] for r in rows], pa.array([r["text"] for r in rows], pa.string()), window)
-        index = block_index(groups, names, shingle_counts(documents, text, groups))
+        index = block_index(groups, names, shingle_counts(source, text, groups))  # of the table itself, with no probe below
         documents = _probe(documents, text, index, into, kept, last=b == blocks - 1)
     return documents
 

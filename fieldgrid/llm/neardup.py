@@ -140,14 +140,15 @@ def signatures(documents: DataFrame, key: str, text: str) -> DataFrame:
 def full_sets(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """``node, elements`` of the wanted sets, one row each, computed from whole texts.
 
-    ``wanted`` has ``_key, _text, node``: key, which may be null, and hash of the text of a row that has the set.
+    ``wanted`` has ``_key, _text, node, half``: key, which may be null, and hash of the text of a row that has the set,
+    and the first half of the set's identity.
     ``documents`` has ``_key`` and the text.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, at = [], 0
-            for _, _, data, offsets in text_slices(batch.column(1)):
+            for _, _, data, offsets in text_slices(batch.column(2)):
                 elements, first = shingle_sets(words(data, offsets, lower=True))
                 raw = elements.tobytes()
                 sums = np.zeros(len(elements) + 1, np.uint64)
@@ -156,14 +157,14 @@ def full_sets(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 edges = first.tolist()
                 out += [(identity[i], raw[8 * edges[i] : 8 * edges[i + 1]]) for i in range(len(edges) - 1)]
                 at += len(edges) - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["node", "own", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["node", "half", "own", "elements"])
 
     known = documents.where("_key IS NOT NULL").join(wanted.where("_key IS NOT NULL").withColumnRenamed("_text", "_h"), "_key")
-    known = known.where(F.xxhash64(text) == F.col("_h")).select("node", text)
+    known = known.where(F.xxhash64(text) == F.col("_h")).select("node", "half", text)
     nameless = documents.where("_key IS NULL").select(text, F.xxhash64(text).alias("_text")).dropDuplicates(["_text"])
-    nameless = nameless.join(wanted.where("_key IS NULL").drop("_key"), "_text").select("node", text)
-    rows = known.unionByName(nameless).mapInArrow(task, "node long, own long, elements binary")
-    return rows.where("node = own").dropDuplicates(["node"]).select("node", "elements")
+    nameless = nameless.join(wanted.where("_key IS NULL").drop("_key"), "_text").select("node", "half", text)
+    rows = known.unionByName(nameless).mapInArrow(task, "node long, half long, own long, elements binary")
+    return rows.where("half = own").dropDuplicates(["node"]).select("node", "elements")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,6 +269,18 @@ def _candidates_across(buckets: DataFrame, sets: DataFrame, percent: int) -> Dat
     return meeting.groupBy("bucket", "i", "j").applyInPandas(task, "a long, b long")
 
 
+def equal_sets(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each set, by both halves of its identity: ``node, other, half, n, bands`` and the row it stands for."""
+    lead = F.min(F.struct(F.col(key).isNull().alias("_null"), F.col(key).alias("_key"), "_text")).alias("_lead")
+    return rows.where("n > 0").groupBy("node", "other").agg(lead, *[F.first(c).alias(c) for c in ("half", "n", "bands")])
+
+
+def told_apart(rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """Rows whose ``node`` names several sets get one that depends on both halves; ``half`` stays what it was."""
+    marked = rows.join(twice.withColumn("_twice", F.lit(True)), "node", "left")
+    return marked.withColumn("node", F.when(F.col("_twice"), F.xxhash64("node", "other")).otherwise(F.col("node"))).drop("_twice")
+
+
 def classes_and_links(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``key, _text, n, node`` of every row, and ``node, component, lead`` of every class of equal sets.
 
@@ -277,10 +290,13 @@ def classes_and_links(documents: DataFrame, key: str = "doc_id", text: str = "te
     """
     if percent < 80:
         raise ValueError("bands are laid out for a similarity of 0.8 or more")
-    rows = cut(signatures(documents, key, text))
-    full = rows.where("n > 0")
-    classes = full.groupBy("node").agg(F.min(F.struct(F.col(key).isNull().alias("_null"), F.col(key).alias("_key"), "_text")).alias("_lead"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = cut(classes)
+    rows = cut(signatures(documents, key, text).withColumn("half", F.col("node")))
+    while True:
+        classes = cut(equal_sets(rows, key))
+        twice = classes.groupBy("node").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("node")
+        if twice.isEmpty():
+            break
+        rows = cut(told_apart(rows, twice))
     spread = classes.select("node", F.explode("bands").alias("bucket"))
     crowd = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     shared = spread.join(crowd, "bucket")
@@ -288,7 +304,7 @@ def classes_and_links(documents: DataFrame, key: str = "doc_id", text: str = "te
     buckets = cut(shared.select("bucket", "node").join(weight, "node"))
 
     texts = documents.select(F.col(key).cast("long").alias("_key"), F.col(text))
-    sets = cut(full_sets(texts, text, classes.select("_lead._key", "_lead._text", "node").join(weight.select("node"), "node", "left_semi")))
+    sets = cut(full_sets(texts, text, classes.select("_lead._key", "_lead._text", "node", "half").join(weight.select("node"), "node", "left_semi")))
     links = cut(similar(_candidates_by_hub(buckets), sets, percent))
     roots = components(links)
     known = classes.select("node", "n", "bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

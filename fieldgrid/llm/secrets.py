@@ -76,6 +76,11 @@ def labelled_samples(documents: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(F.explode(both).alias("s")).select("s.token", "s.random")
 
 
+def _neighbours(items: Column, join) -> Column:
+    """``join`` of every element and the next; the last has none.  One walk, whatever the length."""
+    return F.zip_with(F.slice(items, 1, F.size(items) - 1), F.slice(items, 2, F.size(items) - 1), join)
+
+
 def train(samples: DataFrame) -> dict[str, int]:
     """Log-likelihood ratio of each character pair in thousandths of a nat, from all samples.
 
@@ -87,7 +92,7 @@ def train(samples: DataFrame) -> dict[str, int]:
         samples.where(F.length("token") >= 2)
         .groupBy("token", "random")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("random", "n", F.explode(F.expr("transform(sequence(1, length(token) - 1), i -> substring(token, i, 2))")).alias("pair"))
+        .select("random", "n", F.explode(_neighbours(F.split("token", ""), lambda a, b: F.concat(a, b))).alias("pair"))
         .groupBy("random", "pair")
         .agg(F.sum("n").alias("n"))
     )
@@ -120,9 +125,14 @@ def model_spans(text: Column, ratios: Mapping[str, int], least: int = 12_000) ->
     table = F.split(F.lit(listed), ",").cast("array<int>")
 
     def score(token: Column) -> Column:
-        place = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, 1))
-        add = lambda acc, i: acc + F.element_at(table, (place(i) - 1) * len(ALPHABET) + place(i + 1))
-        return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0), add)
+        places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+        start = F.struct(F.lit(0).alias("last"), F.lit(0).alias("sum"))
+
+        def step(acc, x):
+            pair = F.when(acc["last"] > 0, F.element_at(table, (acc["last"] - 1) * len(ALPHABET) + x)).otherwise(0)
+            return F.struct(x.alias("last"), (acc["sum"] + pair).alias("sum"))
+
+        return F.aggregate(places, start, step, lambda acc: acc["sum"])
 
     return _found(text, CANDIDATE, 3, lambda hit: score(hit) >= least)
 

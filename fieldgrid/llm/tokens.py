@@ -15,7 +15,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_PIECES = 450_000  # pieces in the younger half of a worker's cache; beyond it the older half goes
+CACHE_PIECES = 300_000  # pieces in the younger half of a worker's cache, some 45 MB; beyond it the older half goes
 
 # Between one of these letters and a full stop or comma every vocabulary here ends a token.
 _LETTERS = frozenset(map(chr, [*range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0xF8, 0x100)]))

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,16 +92,10 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: st
 
     Without any labelled row the model is neutral: every score is one half.
     """
-    chosen = (
-        labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull())
-        .groupBy(key)
-        .agg(F.max("toxic").alias("_label"))
-        .withColumn("_order", F.xxhash64(F.lit(5), F.col(key)))
-        .orderBy("_order", key)
-        .limit(sample)
-    )
+    labelled = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(key).agg(F.max("toxic").alias("_label"))
     known = documents.select(F.col(key), F.col(text), F.xxhash64(text).alias("_text"))
-    least = known.select(key, "_text").join(F.broadcast(chosen), key).distinct().orderBy("_order", key, "_text").limit(sample)
+    met = known.select(key, "_text").where(F.col(key).isNotNull()).distinct().join(labelled, key)  # labels without a document take no room
+    least = met.withColumn("_order", F.xxhash64(F.lit(5), F.col(key))).orderBy("_order", key, "_text").limit(sample)
     rows = known.join(F.broadcast(least), [key, "_text"]).dropDuplicates([key, "_text"])  # at most ``sample`` rows
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +107,17 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: st
                 out += [found[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *batch.columns[1:]], names=["found", "label", "order", "id", "text"])
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["order", "id", "text"])
-        m = fit([np.frombuffer(x, np.uint32) for x in frame["found"]], frame["label"].to_numpy(float))
-        return pd.DataFrame({"bias": [m.bias], "features": [m.features.tobytes()], "weights": [m.weights.tobytes()], "rows": [m.rows]})
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("order", "ascending"), ("id", "ascending"), ("text", "ascending")])
+        found = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("found")]  # views, no copies
+        m = fit(found, table.column("label").to_numpy())
+        binary = lambda x: pa.array([x.tobytes()], pa.binary())
+        return pa.table({"bias": [m.bias], "features": binary(m.features), "weights": binary(m.weights), "rows": [m.rows]})
 
     coded = rows.select(text, F.col("_label").cast("double"), "_order", F.col(key).cast("string"), "_text").mapInArrow(
         task, "found binary, label double, order long, id string, text long"
     )
-    got = coded.withColumn("_all", F.col("label") * 0).groupBy("_all").applyInPandas(one, "bias double, features binary, weights binary, rows long").first()
+    got = coded.withColumn("_all", F.col("label") * 0).groupBy("_all").applyInArrow(one, "bias double, features binary, weights binary, rows long").first()
     if got is None:
         return Model(0.0, np.zeros(0, np.uint32), np.zeros(0))
     return Model(got["bias"], np.frombuffer(got["features"], np.uint32), np.frombuffer(got["weights"], np.float64), got["rows"])

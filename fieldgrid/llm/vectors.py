@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
-from .common import shared_folder
+from ..session import Stored
 
 EXACT = 2**53  # integers up to here are exact in doubles, and so are sums that stay below
 
@@ -54,20 +52,4 @@ def unpack_integers(width: int, data: bytes, dims: int) -> np.ndarray:
     return np.frombuffer(data, f"<i{width}").reshape(-1, dims) if dims else np.zeros((0, 0), np.int64)
 
 
-class Stored:
-    """Parquet tables in the shared folder; a table is dropped when its successor is there."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def put(self, df: DataFrame, name: str, append: bool = False) -> DataFrame:
-        df.write.mode("append" if append else "errorifexists").parquet(f"{self.folder}/{name}")
-        return self.get(name, df)
-
-    def get(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(f"{self.folder}/{name}")
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+__all__ = ["EXACT", "Stored", "finite_vectors", "pack_integers", "quantised", "unpack_integers"]
