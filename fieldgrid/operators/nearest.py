@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
-from ..functions.geo import KM_PER_DEGREE, haversine_km
+from ..functions.geo import KM_PER_DEGREE, ellipsoid_m, haversine_km
 from ..session import cut
 from .grid import GridSpec
 
@@ -112,14 +112,23 @@ def fill_nearest(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
 
 
 def cells_within(
-    points: DataFrame, grid: GridSpec, within_km: float, lon: str = "longitude", lat: str = "latitude", name: str = "km"
+    points: DataFrame,
+    grid: GridSpec,
+    within_km: float,
+    lon: str = "longitude",
+    lat: str = "latitude",
+    name: str = "km",
+    ellipsoid: bool = False,
 ) -> DataFrame:
     """Every grid cell whose centre lies within ``within_km`` of each point, with the distance.
 
     The cells around a point follow from arithmetic on the grid: rows within reach, then for each row the
-    half-width of the circle.  No join is needed and work is proportional to the result.
+    half-width of the circle, also across the 180th meridian.  No join is needed and work is proportional to the
+    result.  Distances are on the mean sphere or, with ``ellipsoid``, along its geodesics (on the sphere where those are
+    not defined, near antipodes).
     """
-    reach = F.lit(within_km / KM_PER_DEGREE)
+    # Sphere and ellipsoid differ by less than a hundredth; nothing is further than half a turn.
+    reach = F.lit(min(within_km / KM_PER_DEGREE * (1.01 if ellipsoid else 1.0), 180.0))
     pad = 1
 
     def row_of(value):
@@ -142,13 +151,15 @@ def cells_within(
     across = F.cos(F.radians(cy)) * F.cos(F.radians(F.col(lat)))
     left = F.greatest(F.lit(0.0), F.pow(half_angle, 2) - F.pow(dlat, 2)) / F.greatest(across, F.lit(1e-12))
     width = F.degrees(F.asin(F.least(F.lit(1.0), F.sqrt(left)))) * 2
-    spans = rows.withColumn("_w", width).withColumns(
-        {
-            "_c0": F.greatest(col_of(F.greatest(F.col(lon) - F.col("_w"), F.lit(-1e6))) - pad, F.lit(0)),
-            "_c1": F.least(col_of(F.col(lon) + F.col("_w")) + pad, F.lit(grid.nx - 1)),
-        }
-    )
-    cells = spans.where(F.col("_c0") <= F.col("_c1")).withColumn("ix", F.explode(F.sequence("_c0", "_c1")))
-    cells = cells.drop("_w", "_c0", "_c1")
-    distance = haversine_km(F.col(lon), F.col(lat), grid.x(F.col("ix")), grid.y(F.col("iy")))
+
+    def columns_at(turn: float):
+        """Columns in reach of the point a turn to the east."""
+        first = F.greatest(col_of(F.greatest(F.col(lon) + turn - F.col("_w"), F.lit(-1e6))) - pad, F.lit(0))
+        last = F.least(col_of(F.col(lon) + turn + F.col("_w")) + pad, F.lit(grid.nx - 1))
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    reached = F.array_distinct(F.concat(*[columns_at(turn) for turn in (0.0, -360.0, 360.0)]))
+    cells = rows.withColumn("_w", width).withColumn("ix", F.explode(reached)).drop("_w")
+    ends = F.col(lon), F.col(lat), grid.x(F.col("ix")), grid.y(F.col("iy"))
+    distance = F.coalesce(ellipsoid_m(*ends) / 1000, haversine_km(*ends)) if ellipsoid else haversine_km(*ends)
     return cells.withColumn(name, distance).where(F.col(name) <= F.lit(float(within_km)))

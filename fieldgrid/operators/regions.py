@@ -101,12 +101,60 @@ def match_points(
     return placed.join(tiled, rule, "inner").drop("_tx", "_ty", "_rx", "_ry", "_bbox", "_edges")
 
 
-def cell_regions(
-    regions: DataFrame, grid: GridSpec, region: str = "region", boundary: bool = True, tile: float = 1.0
-) -> DataFrame:
-    """``ix, iy, region`` for the cells of a grid: the polygon test runs once per cell, not per row or date."""
-    cells = grid.cells(regions.sparkSession)
-    return match_points(cells, regions, "x", "y", region, boundary, tile).select("ix", "iy", region)
+def _edge_rows(regions: DataFrame, grid: GridSpec, region: str) -> DataFrame:
+    """``region, e, iy, _y``: every edge with the grid rows whose centre line it reaches; at most two rows too many."""
+    edges = regions.select(region, F.explode("edges").alias("e"))
+    near = lambda y: (y - F.lit(grid.ymin)) / F.lit(grid.res) - 0.5
+    low = F.greatest(F.floor(near(F.least("e.y1", "e.y2"))), F.lit(0))
+    high = F.least(F.ceil(near(F.greatest("e.y1", "e.y2"))), F.lit(grid.ny - 1))
+    rows = edges.withColumns({"_lo": low.cast("int"), "_hi": high.cast("int")}).where("_lo <= _hi")
+    return rows.select(region, "e", F.explode(F.sequence("_lo", "_hi")).alias("iy")).withColumn("_y", grid.y(F.col("iy")))
+
+
+def cell_runs(regions: DataFrame, grid: GridSpec, region: str = "region") -> DataFrame:
+    """``region, iy, first, last``: runs of cells of a row whose centres lie inside, by scanline.
+
+    Each edge crosses the centre lines of some rows; sorted, the crossings of a row pair up to runs.  So the work is
+    that of edges and the rows they span, and no cell is tested against an edge.  Centres on the outline are decided by
+    the crossing rule, see :func:`outline_cells`.
+    """
+    e = F.col("e")
+    at = e["x1"] + (F.col("_y") - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))
+    crossing = _edge_rows(regions, grid, region).where((e["y1"] > F.col("_y")) != (e["y2"] > F.col("_y"))).withColumn("_at", at)
+    # Columns whose centre is west of the crossing: a first guess, made exact by comparing the centres around it.
+    guess = (F.floor((F.col("_at") - F.lit(grid.xmin)) / F.lit(grid.res) - 0.5) - 1).cast("long")
+    west = F.col("_g") + sum((grid.x(F.col("_g") + k) < F.col("_at")).cast("long") for k in range(3))
+    crossing = crossing.withColumn("_g", guess).select(region, "iy", F.greatest(F.least(west, F.lit(grid.nx)), F.lit(0)).cast("int").alias("_c"))
+    sorted_ = crossing.groupBy(region, "iy").agg(F.sort_array(F.collect_list("_c"), asc=False).alias("_c"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.size("_c") - 1, F.lit(2)),
+        lambda k: F.struct(F.coalesce(F.get("_c", k + 1), F.lit(0)).alias("first"), (F.get("_c", k) - 1).alias("last")),
+    )
+    return sorted_.select(region, "iy", F.inline(pairs)).where("first <= last")
+
+
+def outline_cells(regions: DataFrame, grid: GridSpec, region: str = "region") -> DataFrame:
+    """``region, ix, iy`` of the cells whose centre lies on an edge."""
+    e = F.col("e")
+    rows = _edge_rows(regions, grid, region).where((F.col("_y") >= F.least("e.y1", "e.y2")) & (F.col("_y") <= F.greatest("e.y1", "e.y2")))
+    flat = e["y1"] == e["y2"]
+    at = e["x1"] + (F.col("_y") - e["y1"]) * (e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0))
+    column = lambda x: F.floor((x - F.lit(grid.xmin)) / F.lit(grid.res) - 0.5)
+    low = F.when(flat, column(F.least("e.x1", "e.x2"))).otherwise(column(at) - 1)
+    high = F.when(flat, column(F.greatest("e.x1", "e.x2")) + 1).otherwise(column(at) + 2)
+    spans = rows.withColumns({"_lo": F.greatest(low, F.lit(0)).cast("int"), "_hi": F.least(high, F.lit(grid.nx - 1)).cast("int")}).where("_lo <= _hi")
+    cells = spans.withColumn("ix", F.explode(F.sequence("_lo", "_hi")))
+    return cells.where(geo.on_edge(e, grid.x(F.col("ix")), F.col("_y"))).select(region, "ix", "iy").distinct()
+
+
+def cell_regions(regions: DataFrame, grid: GridSpec, region: str = "region", boundary: bool = True) -> DataFrame:
+    """``ix, iy, region`` for the cells of a grid whose centre lies in a region, by scanline; the test runs once per
+    edge and row, not per cell, row of data or date.  ``boundary`` counts centres on the outline as inside."""
+    runs = cell_runs(regions, grid, region)
+    inside = runs.select(region, F.explode(F.sequence("first", "last")).alias("ix"), "iy")
+    outline = outline_cells(regions, grid, region)
+    found = inside.unionByName(outline).distinct() if boundary else inside.join(outline, [region, "ix", "iy"], "left_anti")
+    return found.select("ix", "iy", region)
 
 
 def mask_to_regions(
@@ -122,8 +170,7 @@ def mask_to_regions(
 
 def rasterize(regions: DataFrame, grid: GridSpec, region: str = "region") -> DataFrame:
     """Cells whose centre is covered by any region."""
-    cells = grid.cells(regions.sparkSession)
-    return match_points(cells, regions, "x", "y", region).select("ix", "iy", "x", "y").distinct()
+    return grid.with_centres(cell_regions(regions, grid, region).select("ix", "iy").distinct())
 
 
 def region_shapes(regions: DataFrame, region: str = "region") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import aggregate_named
+from .ranks import ordered_ranges
 
 
 def interval_ends(
@@ -39,6 +40,41 @@ def interval_gaps(df: DataFrame, start: str = "start_date", end: str = "end_date
     ).withColumns({"has_gap": F.col("overlap") < -1, "has_overlap": F.col("overlap") > 0})
 
 
+def covered_until(
+    df: DataFrame,
+    start: str = "start_date",
+    end: str = "end_date",
+    within: Sequence[str] = (),
+    tie: Sequence[str] = (),
+    ranges: int | None = None,
+) -> DataFrame:
+    """Gaps to and overlaps with any earlier interval, not only the one before: a sweep along the starts.
+
+    Adds ``covered_until``, the latest end of all intervals of the group that start earlier (or at the same day and come
+    first by end, then by ``tie``), ``gap_days`` between it and the start, ``overlap_days`` that are covered already, ``has_gap`` and
+    ``has_overlap``.  The first interval of a group has NULLs and is neither.  Intervals are placed in ranges and the
+    maximum is carried from range to range, so one long group, or no groups at all, is no single task.
+    """
+    place = ordered_ranges(df, [*within, start, end, *tie], ranges)
+    inside = Window.partitionBy("_range", *within).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = place.groupBy("_range", *within).agg(F.max(end).alias("_most"))
+    carried = carried.select("_range", *within, F.max("_most").over(earlier).alias("_before"))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("_range", *within)]
+    rule = same[0]
+    for s in same[1:]:
+        rule = rule & s
+    joined = place.withColumn("_inside", F.max(end).over(inside)).alias("p").join(carried.alias("c"), rule).select("p.*", "c._before")
+    until = F.greatest("_inside", "_before")
+    out = joined.withColumn("covered_until", until).drop("_inside", "_before", "_range", "_row")
+    gap = F.date_diff(F.col(start), F.col("covered_until")) - 1
+    shared = F.date_diff(F.least(F.col(end), F.col("covered_until")), F.col(start)) + 1
+    known = lambda days: F.when(days > 0, days).when(days.isNotNull(), 0)
+    return out.withColumns({"gap_days": known(gap), "overlap_days": known(F.when(F.col("covered_until").isNotNull(), shared))}).withColumns(
+        {"has_gap": F.coalesce(F.col("gap_days") > 0, F.lit(False)), "has_overlap": F.coalesce(F.col("overlap_days") > 0, F.lit(False))}
+    )
+
+
 def keep_latest(df: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
     """Rows holding the largest ``by`` of their key; ties are all kept.  Aggregate plus join, so a hot key splits."""
     newest = df.groupBy(*keys).agg(F.max(by).alias("_newest"))

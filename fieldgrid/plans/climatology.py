@@ -32,6 +32,49 @@ def climatology(
     return out
 
 
+def yearly_moments(daily: DataFrame, value_cols: Sequence[str], keys: Sequence[str] = CELL, date: str = "date") -> DataFrame:
+    """State of a climatology: ``n_v, mean_v, m2_v`` (sum of squared deviations) per cell, day of year and year.
+
+    A year's state depends on that year's rows only, so it is written once (by year, say) and a new year adds its own.
+    """
+    rows = with_date_parts(daily, date, ["doy", "year"])
+    parts = []
+    for c in value_cols:
+        parts += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"mean_{c}"), (F.var_pop(c) * F.count(c)).alias(f"m2_{c}")]
+    return rows.groupBy(*keys, "doy", "year").agg(*parts)
+
+
+def climatology_from_moments(
+    moments: DataFrame, value_cols: Sequence[str], keys: Sequence[str] = CELL, require_sd: bool = False
+) -> DataFrame:
+    """The climatology of all years in ``moments``, the same as :func:`climatology` of their days.
+
+    Years are merged one after another in order, each by its distance from the mean so far, so a large common offset
+    costs no digits and the result does not depend on partitions.  A group holds one entry a year.
+    """
+    state = lambda c: F.struct(F.col("year").alias("year"), *[F.col(f"{k}_{c}").alias(k) for k in ("n", "mean", "m2")])
+    years = moments.groupBy(*keys, "doy").agg(*[F.sort_array(F.collect_list(state(c))).alias(f"_{c}") for c in value_cols])
+
+    def merge(a, b):
+        n = a["n"] + b["n"]
+        off = b["mean"] - a["mean"]
+        both = F.struct(
+            n.alias("n"),
+            (a["mean"] + off * b["n"] / n).alias("mean"),
+            (a["m2"] + b["m2"] + off * off * a["n"] * b["n"] / n).alias("m2"),
+        )
+        return F.when(b["n"] == 0, a).when(a["n"] == 0, F.struct(b["n"].alias("n"), b["mean"].alias("mean"), b["m2"].alias("m2"))).otherwise(both)
+
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    merged = years.select(*keys, "doy", *[F.aggregate(f"_{c}", start, merge).alias(c) for c in value_cols])
+    out = []
+    for c in value_cols:
+        n, m = F.col(f"{c}.n"), F.col(f"{c}.m2")
+        out += [F.when(n > 0, F.col(f"{c}.mean")).alias(c), F.when(n > 1, F.sqrt(m / (n - 1))).alias(f"{c}_sd")]
+    result = merged.select(*keys, "doy", *out)
+    return result.where(all_present([f"{c}_sd" for c in value_cols])) if require_sd else result
+
+
 def _anomaly_columns(value_cols: Sequence[str], clim: Mapping[str, str], sd: Mapping[str, str]) -> dict:
     out = {}
     for c in value_cols:

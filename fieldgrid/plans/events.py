@@ -92,9 +92,11 @@ def outbreak_flag(outbreaks: DataFrame, regions: DataFrame, dates: DataFrame, lo
     return starts.join(calendar_side(days), "start_date").select("date", region).distinct().withColumn(f"outbreak_{hi}", F.lit(True))
 
 
-def distance_weights(outbreaks: DataFrame, grid: GridSpec, within_km: float = 500.0, beta_dist: float = 0.01) -> DataFrame:
-    """Sparse cell x outbreak weights ``exp(-beta_dist * km)`` up to ``within_km``."""
-    near = cells_within(outbreaks, grid, within_km)
+def distance_weights(
+    outbreaks: DataFrame, grid: GridSpec, within_km: float = 500.0, beta_dist: float = 0.01, ellipsoid: bool = False
+) -> DataFrame:
+    """Sparse cell x outbreak weights ``exp(-beta_dist * km)`` up to ``within_km``, on the sphere or the ellipsoid."""
+    near = cells_within(outbreaks, grid, within_km, ellipsoid=ellipsoid)
     return near.withColumn("w", F.exp(F.lit(-beta_dist) * F.col("km"))).drop("km")
 
 
