@@ -35,7 +35,13 @@ def ordered_ranges(df: DataFrame, order: Sequence[str | Column], ranges: int | N
 
 
 def row_numbers(df: DataFrame, order: Sequence[str | Column], name: str, ranges: int | None = None) -> DataFrame:
-    """Row number 1..n over the total order given by ``order``."""
+    """Row number 1..n over the total order given by ``order``.
+
+    Where ``order`` names columns, only these are placed in ranges and stored, one row for each value that occurs; rows
+    then look their number up, and those that share a value are numbered among themselves.
+    """
+    if all(isinstance(c, str) for c in order):
+        return _looked_up_numbers(df, list(order), name, ranges)
     placed = ordered_ranges(df, order, ranges)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = (
@@ -50,6 +56,19 @@ def row_numbers(df: DataFrame, order: Sequence[str | Column], name: str, ranges:
     )
 
 
+def _looked_up_numbers(df: DataFrame, order: list[str], name: str, ranges: int | None) -> DataFrame:
+    values = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
+    starts = running_totals(values, order, {"_upto": "_n"}, ranges=ranges)
+    starts = starts.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], (F.col("_upto") - F.col("_n")).alias("_before"))
+    rule = F.lit(True)
+    for i, c in enumerate(order):
+        rule = rule & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    found = df.join(starts, rule, "left").drop(*[f"_o{i}" for i in range(len(order))])
+    shared = not values.where("_n > 1").isEmpty()
+    place = F.row_number().over(Window.partitionBy(*order).orderBy(F.lit(0))) if shared else F.lit(1)
+    return found.withColumn(name, (F.col("_before") + place).cast("long")).drop("_before")
+
+
 def batch_numbers(df: DataFrame, order: Sequence[str | Column], size: int, name: str = "batch") -> DataFrame:
     """Consecutive batches of ``size`` rows, numbered from 1."""
     return row_numbers(df, order, "_rn").withColumn(

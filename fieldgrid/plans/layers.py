@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import quoted, recode, row_sum
 from ..functions.columns import split_complete
 from ..functions.dates import with_date_parts
-from ..operators.grid import GridSpec, dominant_band, regrid, resample_mode, resample_near
+from ..operators.grid import GridSpec, crop, dominant_band, regrid, resample_mode, resample_near
 
 # Texture classes folded to seven groups; every other known class becomes 0.
 TEXTURE_GROUPS = {5: "1", 7: "2", 8: "3", 9: "4", 10: "5", 11: "6", 12: "7"}
@@ -97,6 +97,26 @@ def fill_landcover(df: DataFrame, bands: Sequence[str] = LANDCOVER, gap: str = "
     return complete.unionByName(fixed)
 
 
+def ingest_weather(
+    raw: DataFrame,
+    src: GridSpec,
+    dst: GridSpec,
+    extent: tuple[float, float, float, float],
+    columns: Sequence[str] = ("relative_humidity", "temperature", "precipitation"),
+    method: str = "bilinear",
+    fill_na: bool = False,
+) -> DataFrame:
+    """Daily values of cells of ``src`` brought to ``dst``, cut to ``extent`` (xmin, xmax, ymin, ymax), with date parts.
+
+    Source cells outside the extent have no say in the cells inside.  All variables of a day are resampled together;
+    each renormalises over the cells that have it.
+    """
+    inside = lambda df, grid: crop(grid.with_centres(df), *extent, strict=False).drop("x", "y")
+    rows = inside(raw.select("ix", "iy", "date", *columns), src)
+    placed = regrid(rows, src, dst, columns, method, ["date"], fill_na)
+    return with_date_parts(inside(placed, dst)).select("ix", "iy", "date", "doy", "month", "year", *columns)
+
+
 def clean_weather(raw: DataFrame) -> DataFrame:
     """Station download to daily rows: lower-case names, distinct, renamed coordinates, typed date parts."""
     out = raw.toDF(*[c.lower() for c in raw.columns]).distinct()
