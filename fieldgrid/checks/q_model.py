@@ -133,6 +133,22 @@ def _(spark, d):
     return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])
 
 
+@query(
+    "M05_rolling_origin_totals",
+    """WITH o AS (SELECT quantity, row_number() OVER (ORDER BY date, region) AS r, count(*) OVER () AS n FROM region_rows),
+    f AS (SELECT i, 500 + i * 300 AS stop FROM (SELECT unnest(range(1000)) AS i) WHERE 500 + i * 300 + 400 <= (SELECT count(*) FROM region_rows))
+    SELECT CAST(f.i + 1 AS INT) AS fold_id, sum(CASE WHEN o.r <= f.stop THEN o.quantity END) AS train_quantity, CAST(sum(CASE WHEN o.r <= f.stop THEN 1 ELSE 0 END) AS BIGINT) AS train_rows,
+      sum(CASE WHEN o.r > f.stop THEN o.quantity END) AS assess_quantity, CAST(sum(CASE WHEN o.r > f.stop THEN 1 ELSE 0 END) AS BIGINT) AS assess_rows
+    FROM f JOIN o ON o.r <= f.stop + 400 GROUP BY f.i""",
+    "train_quantity assess_quantity",
+)
+def _(spark, d):
+    """Folds over ordered rows, 400 assessed rows every 300: totals of what each trains on and assesses."""
+    bounds = folds.rolling_origin_rows(a.region_rows(spark, d), ["date", "region"], 500, 400, 299)
+    out = folds.fold_totals(bounds, quantity=F.sum("quantity"), rows=F.count(F.lit(1)))
+    return out.select("fold_id", "train_quantity", "train_rows", "assess_quantity", "assess_rows")
+
+
 @query("M05_leave_location_out", "SELECT region, CAST(row_number() OVER (ORDER BY region) AS INT) AS inner_fold, 'assess' AS inner_role FROM (SELECT DISTINCT region FROM region_rows)")
 def _(spark, d):
     return folds.leave_location_out(a.region_rows(spark, d), "region")

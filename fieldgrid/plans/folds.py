@@ -308,6 +308,37 @@ def rolling_origin_bounds(spark: SparkSession, n: int, initial: int, assess: int
     )
 
 
+def rolling_origin_rows(data: DataFrame, order: Sequence[str], initial: int, assess: int, skip: int) -> DataFrame:
+    """Every row with the folds it belongs to, as bounds: ``trains_from``, ``assess_from``, ``assess_to``.
+
+    Fold i trains on the first ``initial + (i - 1) * (skip + 1)`` rows in ``order`` and assesses the next ``assess``.  A row
+    trains fold ``trains_from`` and all later ones, and assesses the folds from ``assess_from`` to ``assess_to``; bounds are
+    NULL where there is no such fold.  No row is copied, however many folds there are.
+    """
+    numbered = row_numbers(data, order, "_r")
+    n = numbered.count()
+    stride, last = skip + 1, max(0, (n - initial - assess) // (skip + 1) + 1)
+    r = F.col("_r")
+    trains = F.greatest(F.ceil((r - initial) / stride) + 1, F.lit(1))
+    low = F.greatest(F.ceil((r - initial - assess) / stride) + 1, F.lit(1))
+    high = F.least(F.ceil((r - initial) / stride), F.lit(last))
+    bounds = {"trains_from": F.when(trains <= last, trains), "assess_from": F.when(low <= high, low), "assess_to": F.when(low <= high, high)}
+    return numbered.withColumns({k: v.cast("int") for k, v in bounds.items()}).drop("_r")
+
+
+def fold_totals(bounds: DataFrame, **sums: Column) -> DataFrame:
+    """``fold_id`` with ``train_<name>`` and ``assess_<name>``, sums over the rows of each fold of :func:`rolling_origin_rows`.
+
+    Training rows are added up by the fold they enter at; the running total over folds, a table of folds, does the rest.
+    """
+    entered = bounds.where("trains_from IS NOT NULL").groupBy(F.col("trains_from").alias("fold_id")).agg(*[c.alias(f"_t_{n}") for n, c in sums.items()])
+    assessed = bounds.where("assess_from IS NOT NULL").withColumn("fold_id", F.explode(F.sequence("assess_from", "assess_to")))
+    assessed = assessed.groupBy("fold_id").agg(*[c.alias(f"assess_{n}") for n, c in sums.items()])
+    both = assessed.join(entered, "fold_id", "full")
+    upto = Window.orderBy("fold_id").rowsBetween(Window.unboundedPreceding, 0)  # one row a fold
+    return both.select("fold_id", *[F.sum(f"_t_{n}").over(upto).alias(f"train_{n}") for n in sums], *[f"assess_{n}" for n in sums])
+
+
 def leave_location_out(data: DataFrame, location: str) -> DataFrame:
     """``location, inner_fold, inner_role``: each location is left out once (folds numbered in name order).
 

@@ -199,3 +199,17 @@ def test_fold_labels(spark):
     data = spark.createDataFrame([(D(2004, 12, 31),), (D(2006, 1, 1),)], "date date")
     got = folds.fold_labels(folds.outer_folds(spark, "2005-04-07", "2005-08-01"), data).collect()
     assert [(r.train_range, r.assess_range) for r in got] == [("2004-12-31 2005-04-07", "2005-04-08 2005-07-06"), ("2004-12-31 2005-07-06", "2005-07-07 2005-10-04")]
+
+
+def test_rolling_origin_bounds_of_rows(spark):
+    data = spark.createDataFrame([(i, i % 3) for i in range(57)], "o int, z int").repartition(4)
+    got = {r.o: r for r in folds.rolling_origin_rows(data, ["o"], 10, 7, 4).collect()}
+    stops = [10 + 5 * i for i in range(20) if 10 + 5 * i + 7 <= 57]
+    for o, r in got.items():
+        trains = [f for f, s in enumerate(stops, 1) if o + 1 <= s]
+        assesses = [f for f, s in enumerate(stops, 1) if s < o + 1 <= s + 7]
+        assert r.trains_from == (trains[0] if trains else None)
+        assert (list(range(r.assess_from, r.assess_to + 1)) if r.assess_from else []) == assesses
+    assert len(got) == 57
+    none = folds.rolling_origin_rows(data.limit(5), ["o"], 10, 7, 4).collect()
+    assert len(none) == 5 and {(r.trains_from, r.assess_from) for r in none} == {(None, None)}
