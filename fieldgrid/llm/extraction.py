@@ -75,10 +75,13 @@ _REOPENED = frozenset("form fieldset dialog".split())  # of _OUT, those that may
 _TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _SIGNS = "+-*~="
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+_MARK = re.compile(r"<(?=[!?A-Za-z]|/[A-Za-z])")
+_DECLARED = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"</?[A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?|\Z", re.I) for t in _RAW}
+_ONE_COMMENT = re.compile(r"(?:.*[^a-z])?(?:comment|reply)(?:[-_]?[0-9]+)?")
 _WORD = re.compile(r"[^a-z0-9]+")
 
 
@@ -119,6 +122,8 @@ def _role(tag: str, text: str) -> str:
             name, value = name.lower(), (a or b or c).lower()
             if name == "hidden" or (name == "class" and "hidden" in value.split()) or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                 return "-"
+            if tag == "article" and name in ("class", "id", "itemprop") and any(map(_ONE_COMMENT.fullmatch, value.split())):
+                return "-"
             if name in ("class", "id", "role", "itemprop") and tag not in ("html", "body", "article", "main"):
                 sign = _named(tag, name, value)
                 if sign == "-":
@@ -129,18 +134,28 @@ def _role(tag: str, text: str) -> str:
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """``("start", kind, tag)``, ``("end", tag, "")`` and ``("text", raw text, "")``; raw elements give nothing."""
+    """``("start", kind, tag)``, ``("end", tag, "")`` and ``("text", raw text, "")``; raw elements give nothing.
+
+    Reads forward only.  A tag that the page ends in is dropped with what follows its name; one with a quote that never
+    closes ends at the next ``>``.
+    """
     at = 0
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        m = _MARK.search(page, at)
         if m is None:
             yield "text", page[at:], ""
             return
         if m.start() > at:
             yield "text", page[at : m.start()], ""
-        at, text = m.end(), m.group()
-        if text.startswith("<!") or text.startswith("<?"):
+        if page[m.end()] in "!?":
+            at = _DECLARED.match(page, m.start()).end()
             continue
+        end = _TAG.match(page, m.start()).end()
+        if end < len(page) and page[end] != ">":
+            end = page.find(">", end)
+        if not 0 <= end < len(page):
+            return
+        at, text = end + 1, page[m.start() : end + 1]
         tag = _NAME.match(text).group(1).lower()
         if text.startswith("</"):
             yield "end", tag, ""
@@ -304,7 +319,7 @@ def written(item: Item) -> str:
 
 def regions(item: Item) -> dict[str, tuple[str, dict]]:
     """For each kind below the root, its region and in turn those below it: ``in`` (an article), ``maybe`` (named like one), ``out`` (template), ``shut``
-    (template, but an article below is ``in``) or ``open``."""
+    (template, but an article below is ``in``), ``same`` (text that all pages share) or ``open``."""
     found: dict[str, tuple[str, dict]] = {}
     open_ = [(item, found, "open")]
     while open_:
@@ -321,19 +336,34 @@ def regions(item: Item) -> dict[str, tuple[str, dict]]:
             elif state == "open" and sign == "*":
                 here = "maybe"
             elif kind == "#" and state in ("open", "maybe") and inner.value is not None and inner.pages == item.pages >= ENOUGH:
-                here = "out"
+                here = "same"
             known[kind] = here, {}
             open_.append((inner, known[kind][1], here))
     return found
 
 
+def headings(nodes: list) -> list:
+    """The headings among some nodes and below them, in page order."""
+    found, open_ = [], [iter(nodes)]
+    while open_:
+        node = next(open_[-1], None)
+        if node is None:
+            open_.pop()
+        elif re.fullmatch("h[1-6]", node[0].rstrip(_SIGNS)):
+            found.append(node)
+        elif node[0] != "#":
+            open_.append(iter(node[1]))
+    return found
+
+
 def main_text(page: str, ways: dict[str, tuple[str, dict]]) -> str:
     """Texts in content slots of the host's wrapper, block by block.
 
     Content is inside articles; in a page without one, inside elements named like one; without those, in all of the
-    page that is no template.
+    page that is no template.  Text that all pages of the host share counts as template only where something else is
+    left: copies of one page share all of theirs.
     """
-    blocks: dict[str, list[list[str]]] = {"in": [[]], "maybe": [[]], "open": [[]]}
+    blocks: dict[str, list[list[str]]] = {"in": [[]], "maybe": [[]], "open": [[]], "same": [[]]}
 
     open_ = [(iter(tree(page)[1]), ways, "open", False)]
     while open_:
@@ -352,7 +382,7 @@ def main_text(page: str, ways: dict[str, tuple[str, dict]]) -> str:
                 elif tag == "br" and b[-1]:
                     b[-1].append(" ")
             if tag == "header" and here == "in":  # an article's own header: its headings only
-                inner = [x for x in inner if re.fullmatch("h[1-6]", x[0].rstrip(_SIGNS))]
+                inner = headings(inner)
             open_.append((iter(inner), below, here, edge))
             break
         else:
@@ -360,7 +390,7 @@ def main_text(page: str, ways: dict[str, tuple[str, dict]]) -> str:
             for b in blocks.values():
                 if edge and b[-1]:
                     b.append([])
-    for part in ("in", "maybe", "open"):
+    for part in ("in", "maybe", "open", "same"):
         texts = [" ".join(html.unescape("".join(b)).split()) for b in blocks[part]]
         if any(texts):
             return "\n\n".join(t for t in texts if t)

@@ -73,7 +73,7 @@ def test_odd_input(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     pages = [None, "", "plain text", "<article><p>cut off", "<!-- only", "<p", deep, "<article></article>", "<article>" + "<p>long</p>" * 20_000]
     out = texts(spark, pages)
-    assert [out[i].text for i in range(8)] == ["", "", "plain text", "cut off", "", "<p", "deep", ""]
+    assert [out[i].text for i in range(8)] == ["", "", "plain text", "cut off", "", "", "deep", ""]  # a tag that the page ends in is no text
     assert out[8].text.count("long") == 20_000
 
 
@@ -111,3 +111,38 @@ def test_hosts(spark):
     rows = ["http://User@A.example.org:80/x", "https://b.example.org", "//c.example.org/y", None]
     df = spark.createDataFrame([(r,) for r in rows], "url string").select(extraction._host(F.col("url")).alias("h"))
     assert [r.h for r in df.collect()] == ["a.example.org", "b.example.org", "c.example.org", ""]
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<body><div><p>A short text without an article element.</p></div></body>"
+    for n in (1, 3, 4, 9):
+        out = texts(spark, [page] * 2 * n)
+        assert {r.text for r in out.values()} == {"A short text without an article element."}
+
+
+def test_shared_text_is_template_beside_other_text(spark):
+    out = texts(spark, [f"<body><div>Site name</div><section>Story {i}</section></body>" for i in range(10)])
+    assert [out[i].text for i in range(10)] == [f"Story {i}" for i in range(10)]
+
+
+def test_unclosed_tags_neither_leak_nor_cost(spark):
+    import time
+
+    assert list(extraction.tokens('<p>Body <a href="x')) == [("start", "p", "p"), ("text", "Body ", "")]
+    kinds = [t[:2] for t in extraction.tokens('<p class="a>One</p><p>Two</p>')]
+    assert ("text", "Two") in kinds and not any("class" in x for w, x in kinds if w == "text")
+    for piece in ("<a ", "<a href='", '<a b="', "<!--", "</", "<", "< a"):
+        page = "<p>Start</p>" + piece * (5_000_000 // len(piece))
+        began = time.perf_counter()
+        assert next(t for t in extraction.tokens(page) if t[0] == "text")[1] == "Start"
+        sum(1 for _ in extraction.tokens(page))
+        assert time.perf_counter() - began < 8, piece
+
+
+def test_comments_as_articles_and_deep_titles(spark):
+    body = '<div class="content"><p>Real {n}</p></div><div class="discussion"><article class="comment"><p>Nice</p></article></div>'
+    out = texts(spark, [PAGE.format(n=i, body=body.format(n=i)) for i in range(6)])
+    assert {r.page_id: r.text for r in out.values()} == {i: f"Real {i}" for i in range(6)}
+    body = '<article class="post comments-open"><header><div><h1>Title {n}</h1>by me</div></header><p>Text</p><section class="responses"><article id="comment-12">No</article></section></article>'
+    out = texts(spark, [PAGE.format(n=i, body=body.format(n=i)) for i in range(6)])
+    assert {r.page_id: r.text for r in out.values()} == {i: f"Title {i}\n\nText" for i in range(6)}
