@@ -144,6 +144,15 @@ cte(
 )
 
 
+def validated_wide(spark, d):
+    """Of anomalies that are there already, one row per cell and date."""
+    daily, dates = a.daily(spark, d), a.model_days(spark, d)
+    clim = climatology.climatology(daily, a.WEATHER)
+    fc = forecast.normalize_forecast(a.forecast_members(spark, d))
+    anom = forecast.forecast_anomalies(fc, clim, dates, a.BREAKS)
+    return forecast.validate_forecast(anom, daily, clim, dates, a.BREAKS, wide=True)
+
+
 @query("D08_validate_forecast", "SELECT * FROM validated", " ".join(VALID))
 def _(spark, d):
     daily = a.daily(spark, d)
@@ -159,12 +168,7 @@ def _(spark, d):
     " ".join(f"{v}_{e - 1}" for e in a.BREAKS[1:] for v in VALID),
 )
 def _(spark, d):
-    """Of anomalies that are there already, one row per cell and date."""
-    daily, dates = a.daily(spark, d), a.model_days(spark, d)
-    clim = climatology.climatology(daily, a.WEATHER)
-    fc = forecast.normalize_forecast(a.forecast_members(spark, d))
-    anom = forecast.forecast_anomalies(fc, clim, dates, a.BREAKS)
-    return forecast.validate_forecast(anom, daily, clim, dates, a.BREAKS, wide=True)
+    return validated_wide(spark, d)
 
 
 LAGS = ("temperature", "relative_humidity")
