@@ -20,9 +20,18 @@ from .cells import Calendar, interval_means, packed, range_sums
 WEATHER = ("temperature", "precipitation", "relative_humidity")
 
 
+def _by_issue(members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Members placed by cell and issue date, the only shuffle of the statistics grouped below that.
+
+    A group has few members, so adding them up before the shuffle would move a wide state for nearly every member.
+    Leads and variables of an issue travel side by side instead, which compresses well.
+    """
+    return members.repartition(*keys, "base_date")
+
+
 def ensemble_stats(members: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     """Mean and sample deviation over the ensemble members of each cell, issue date, lead and variable."""
-    rows = members
+    rows = _by_issue(members, keys)
     if "lead_months" not in rows.columns:
         rows = rows.withColumn("lead_months", whole_months(F.col("base_date"), F.col("forecast_end_date")))
     group = [*keys, "base_date", "lead_months", "forecast_end_date", "variable", "units"]
@@ -36,7 +45,7 @@ def normalize_forecast(members: DataFrame, keys: Sequence[str] = CELL) -> DataFr
     precipitation rate.  The lead month is the month of the day before ``forecast_end_date``.
 
     Ensemble statistics and the spread to one column per variable are the same aggregate, conditional on the
-    variable: members are combined before the only shuffle and no pivot pass follows.
+    variable: there is one shuffle and no pivot pass follows.
     """
     names = ("temperature", "dewpoint", "precipitation")
     aggregates = []
@@ -49,7 +58,8 @@ def normalize_forecast(members: DataFrame, keys: Sequence[str] = CELL) -> DataFr
             F.max(F.when(F.col("variable") == v, (F.col("units") == "C").cast("int"))).alias(f"_c_{v}"),
             F.min(F.when(F.col("variable") == v, (F.col("units") == "").cast("int"))).alias(f"_e_{v}"),
         ]
-    stats = members.groupBy(*keys, "base_date", "forecast_end_date").agg(*aggregates)
+    used = members.select(*keys, "base_date", "forecast_end_date", "variable", "units", "value")
+    stats = _by_issue(used, keys).groupBy(*keys, "base_date", "forecast_end_date").agg(*aggregates)
 
     def mean_of(v: str):
         m = F.col(f"_m_{v}")
@@ -251,16 +261,37 @@ def validate_forecast(
     keys = list(keys)
     wanted = forecast_anom.join(calendar_side(dates.select("date").distinct()), "date", "left_semi")
     recorded = recorded_anomalies(daily, clim, dates, breaks, value_cols, keys)
+    if wide:
+        return _validated_wide(wanted, recorded, breaks, value_cols, keys)
     joined = wanted.join(recorded, [*keys, "date", "forecast_interval"], "left")
     built = _compared_columns(value_cols)
-    long = joined.select(*keys, "date", "forecast_interval", *[v.alias(k) for k, v in built.items()])
-    if not wide:
-        return long
-    cells = []
+    return joined.select(*keys, "date", "forecast_interval", *[v.alias(k) for k, v in built.items()])
+
+
+def _validated_wide(wanted: DataFrame, recorded: DataFrame, breaks: Sequence[int], value_cols: Sequence[str], keys: list[str]) -> DataFrame:
+    """Both sides to one row per cell and date first: they meet where these rows are, and only their own columns travel.
+
+    The recorded side has one row per cell, date and interval, so the largest difference is that of the largest forecast.
+    """
+
+    def spread_out(rows: DataFrame, side: str) -> DataFrame:
+        cells = []
+        for end in breaks[1:]:
+            here = F.col("forecast_interval") == end
+            cells.append(F.max(here).alias(f"_{side}_{end}"))  # an interval without a forecast shows nothing recorded
+            for scaled in ("", "scaled_"):
+                cells += [F.max(F.when(here, F.col(f"anomaly_{side}_{scaled}{c}"))).alias(f"_{side}_{scaled}{c}_{end}") for c in value_cols]
+        return rows.groupBy(*keys, "date").agg(*cells)
+
+    joined = spread_out(wanted, "forecast").join(spread_out(recorded, "recorded"), [*keys, "date"], "left")
+    built = []
     for end in breaks[1:]:
-        here = F.col("forecast_interval") == end
-        cells += [F.max(F.when(here, F.col(k))).alias(f"{k}_{end - 1}") for k in built]
-    return long.groupBy(*keys, "date").agg(*cells)
+        for c in value_cols:
+            for scaled in ("", "scaled_"):
+                name = f"anomaly_{c}" + ("_scaled" if scaled else "")
+                f, r = F.col(f"_forecast_{scaled}{c}_{end}"), F.when(F.col(f"_forecast_{end}"), F.col(f"_recorded_{scaled}{c}_{end}"))
+                built += [f.alias(f"{name}_forecast_{end - 1}"), r.alias(f"{name}_recorded_{end - 1}"), (f - r).alias(f"{name}_difference_{end - 1}")]
+    return joined.select(*keys, "date", *built)
 
 
 def map_view(wide: DataFrame, variable: str, kind: str, period: int, date, domain: Sequence[float]) -> DataFrame:

@@ -29,3 +29,46 @@ def test_map_view_is_one_layer_of_the_wide_table(spark, orders_dir):
     limited = {(r.ix, r.iy): r[name] if r[name] is None else max(-6.4, min(6.4, r[name])) for r in wide.collect()}
     assert view.columns == ["ix", "iy", name] and limited
     assert {(r.ix, r.iy): r[name] for r in view.collect()} == limited
+
+
+def members(spark, n=40):
+    rows = [(i % 3, i % 2, D(2020, 1 + i % 2, 1), k, D(2020, 2 + i % 2 + k, 1), v, u, float(i * k)) for i in range(n) for k in (0, 1) for v, u in (("temperature", "C"), ("dewpoint", "C"), ("precipitation", ""))]
+    return spark.createDataFrame(rows, "ix int, iy int, base_date date, lead_months int, forecast_end_date date, variable string, units string, value double")
+
+
+@pytest.mark.parametrize("name", ["ensemble_stats", "normalize_forecast"])
+def test_members_are_placed_once_and_without_a_state_each(spark, name):
+    from fieldgrid.plans import forecast
+
+    stats = getattr(forecast, name)(members(spark))
+    if name == "ensemble_stats":
+        stats = stats.groupBy("ix", "iy", "base_date", "lead_months").pivot("variable", ["temperature", "dewpoint"]).agg({"mean": "first"})
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange") > plan.rindex("HashAggregate")
+
+
+def test_wide_validation_shows_what_its_long_form_has(spark):
+    """Repeated forecasts, intervals without a forecast or a record, odd numbers and null keys."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from fieldgrid.plans import forecast
+
+    values = [1.0, -2.5, None, math.nan, 7.25]
+    start = [D(2020, 1, 1) + dt.timedelta(days=i) for i in range(90)]
+    daily = spark.createDataFrame([(0, y, d, float(d.day + y)) for y in (0, 1) for d in start[:45]], "ix int, iy int, date date, v double")
+    clim = spark.createDataFrame([(0, y, d, 3.0 + d % 4, 1.5) for y in (0, 1) for d in range(1, 120)], "ix int, iy int, doy int, v double, v_sd double")
+    dates = spark.createDataFrame([(D(2020, 1, 5),), (D(2020, 1, 20),)], "date date")
+    keys = [(0, 0, D(2020, 1, 5), 30), (0, 0, D(2020, 1, 5), 30), (0, 1, D(2020, 1, 5), 60), (0, 1, D(2020, 1, 20), 30), (5, 5, D(2020, 1, 20), 60), (None, 0, D(2020, 1, 5), 30)]
+    rows = [(*k, values[i % 5], values[(i + 1) % 5]) for i, k in enumerate(keys)]
+    anom = spark.createDataFrame(rows, "ix int, iy int, date date, forecast_interval int, anomaly_forecast_v double, anomaly_forecast_scaled_v double")
+    args = (anom, daily, clim, dates, (0, 30, 60), ["v"])
+    long = forecast.validate_forecast(*args, wide=False)
+    names = [c for c in long.columns if c.startswith("anomaly")]
+    pick = [F.max(F.when(F.col("forecast_interval") == e, F.col(c))).alias(f"{c}_{e - 1}") for e in (30, 60) for c in names]
+    want, got = long.groupBy("ix", "iy", "date").agg(*pick), forecast.validate_forecast(*args)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "forecast_interval#" not in plan[: plan.index("Join")]  # the sides meet as one row a cell and date
