@@ -10,12 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 HELD = 50_000  # groups whose states a task keeps before it sends them on
+ROWS = 1 << 18  # rows that a task puts in groups at a time
+MERGED = 16  # states of a group that are kept before they are merged
 
 
 def _with_keys(found: pa.Table, keys: Sequence[str], values: Sequence[pa.Scalar]) -> pa.Table:
@@ -72,25 +76,46 @@ def group_states(df: DataFrame, keys: Sequence[str], aggregate: Mergeable) -> Da
     names = [f.name for f in schema]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[list, pa.Table]] = {}
+        held: dict[tuple, list[pa.Table]] = {}
+        types = {f.name: f.type for f in to_arrow_schema(schema)}
+
+        def merged(states: list[pa.Table]) -> pa.Table:
+            return states[0] if len(states) == 1 else aggregate.merge(pa.concat_tables(states))
 
         def send() -> Iterator[pa.RecordBatch]:
-            for values, state in held.values():
-                yield from _with_keys(state, keys, values).select(names).combine_chunks().to_batches()
+            if held:
+                states = [merged(s) for s in held.values()]
+                rows = np.repeat(np.arange(len(states)), [s.num_rows for s in states])
+                columns = {k: pa.array([name[i] for name in held], types[k]).take(pa.array(rows)) for i, k in enumerate(keys)}
+                table = pa.concat_tables([s.drop_columns([c for c in s.column_names if c in keys]) for s in states])
+                found = pa.table({**columns, **{c: table.column(c) for c in table.column_names}}).select(names)
+                yield from found.combine_chunks().to_batches()
             held.clear()
 
+        def take_in(batches: list[pa.RecordBatch]) -> None:
+            rows = pa.Table.from_batches(batches)
+            groups = rows.append_column("_row", pa.array(np.arange(rows.num_rows))).group_by(keys).aggregate([("_row", "list")])
+            lists = groups.column("_row_list").combine_chunks()
+            rows = rows.combine_chunks().take(lists.values)  # each group's rows side by side, in their order
+            edges = lists.offsets.to_numpy().tolist()
+            columns = [groups.column(k).to_pylist() for k in keys]
+            for g, (begin, end) in enumerate(zip(edges[:-1], edges[1:])):
+                states = held.setdefault(tuple(c[g] for c in columns), [])
+                states.append(aggregate.partial(rows.slice(begin, end - begin)))
+                if len(states) >= MERGED:
+                    states[:] = [merged(states)]
+
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            rows = pa.Table.from_batches([batch]).append_column("_row", pa.array(range(batch.num_rows)))
-            groups = rows.group_by(keys).aggregate([("_row", "list")])
-            for g in range(groups.num_rows):
-                values = [groups.column(k)[g] for k in keys]
-                mine = aggregate.partial(rows.take(groups.column("_row_list")[g].values).drop_columns(["_row"]))
-                name = tuple(v.as_py() for v in values)
-                if name in held:
-                    mine = aggregate.merge(pa.concat_tables([held[name][1], mine]))
-                held[name] = values, mine
-            if len(held) > HELD:
-                yield from send()
+            if batch.num_rows:
+                waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= ROWS:
+                take_in(waiting)
+                waiting = []
+                if len(held) > HELD:
+                    yield from send()
+        if waiting:
+            take_in(waiting)
         yield from send()
 
     return df.mapInArrow(task, schema)

@@ -112,11 +112,12 @@ def key_coverage(sources: dict[str, DataFrame], keys: Sequence[str]) -> DataFram
     """How many keys survive joining the sources one after the other: ``(step, source, surviving)``.
 
     One pass: every source contributes a bit per key, and step ``i`` survives when the lowest ``i`` bits are set.
+    Rows that repeat a key set the same bit, so nothing is made distinct before.
     """
     names = list(sources)
     tagged = reduce(
         DataFrame.unionByName,
-        [sources[n].select(*keys).distinct().withColumn("_bit", F.lit(1 << i).cast("long")) for i, n in enumerate(names)],
+        [sources[n].select(*keys).withColumn("_bit", F.lit(1 << i).cast("long")) for i, n in enumerate(names)],
     )
     masks = tagged.groupBy(*keys).agg(F.bit_or("_bit").alias("_mask")).groupBy("_mask").agg(F.count(F.lit(1)).alias("_n"))
     checks = F.array(
