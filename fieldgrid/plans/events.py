@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import global_range, total
 from ..functions.dates import interval_table, with_date_parts
 from ..operators.grid import GridSpec, with_dates
-from ..operators.nearest import cells_within
+from ..operators.nearest import KM_PER_DEGREE, cells_within
 from ..operators.ranks import row_numbers
 from ..operators.regions import match_points
 from ..operators.windows import with_group_stats
@@ -100,6 +100,20 @@ def distance_weights(
     return near.withColumn("w", F.exp(F.lit(-beta_dist) * F.col("km"))).drop("km")
 
 
+def _told_apart(dates: DataFrame, ages: Sequence[int]) -> DataFrame:
+    """``_event_day, _day``: for each day before the last date, the last day that reaches the same ages at the same dates.
+
+    A calendar, whatever the number of events.
+    """
+    asked = F.unix_date("date")
+    marks = dates.select(F.explode(F.array(*[asked - a for a in ages])).alias("_event_day")).distinct().withColumn("_mark", F.col("_event_day"))
+    first, last = F.unix_date(F.min("date")) - max(ages), F.unix_date(F.max("date"))
+    span = dates.agg(F.sequence(first, last).alias("_days")).select(F.explode("_days").alias("_event_day"))
+    later = Window.orderBy("_event_day").rowsBetween(0, Window.unboundedFollowing)
+    days = span.join(marks, "_event_day", "left").select("_event_day", F.min("_mark").over(later).alias("_day"))
+    return days.where(F.col("_day").isNotNull())
+
+
 def outbreak_history(
     dates: DataFrame,
     outbreaks: DataFrame,
@@ -116,11 +130,13 @@ def outbreak_history(
     An event weighs ``(log10(cases + 1) or 1) * exp(-beta_time * years) * exp(-beta_dist * km)`` and counts while
     ``0 < age`` and ``years < max_years``.  Only events strictly before the date are used.
 
-    Events at one place and day are merged first; each then touches the cells in reach once, for all dates.  The
-    time decay factorises, so per cell and day one impulse is enough.  An impulse starts to count the day after,
-    turns old, and expires; recent and old pressure are differences of the running totals of these three moments.
-    The totals add the same terms in the same order, so a window without events gives exactly 0.  Work is linear in
-    impulses plus cell-days asked for: no date x event pairs and no sliding frames.
+    The time decay factorises, and days that no asked date tells apart (as it starts to count, turns old, or expires)
+    are one: events at one place and such a day are merged first; each then touches the cells in reach once, for all
+    dates.  Events are placed by day and tile of about the reach, so that what they add to a cell is added up before it
+    moves.  An impulse starts to count the day after, turns old, and expires; recent and old pressure are differences of
+    the running totals of these three moments.  The totals add the same terms in the same order, so a window without
+    events gives exactly 0.  Work is linear in impulses plus cell-days asked for: no date x event pairs and no sliding
+    frames.
     """
     decay = F.lit(beta_time / DAYS_PER_YEAR)
     oldest = math.ceil(max_years * DAYS_PER_YEAR) - 1  # last age in days that counts
@@ -130,21 +146,25 @@ def outbreak_history(
     weight = F.when(F.col("cases").isNull(), F.lit(1.0)).otherwise(F.log10(F.col("cases") + F.lit(1.0)))
     day = F.unix_date("start_date")
     in_reach = outbreaks.where((day < last_day) & (day >= first_day - F.lit(oldest)))
-    merged = in_reach.groupBy("longitude", "latitude", "start_date").agg(F.sum(weight).alias("_cw"))
-    merged = spread(merged, "longitude", "latitude", "start_date")  # each event becomes thousands of cells
-    near = distance_weights(merged, grid, within_km, beta_dist).select(
-        "ix", "iy", day.alias("_day"), (F.col("_cw") * F.col("w")).alias("_w")
-    )
+    ages = (1, split + 1, oldest + 1)
+    grown = weight * F.exp(decay * (day - F.lit(_ANCHOR)))
+    known = in_reach.select("longitude", "latitude", day.alias("_event_day"), grown.alias("_cw")).join(calendar_side(_told_apart(dates, ages)), "_event_day")
+    merged = known.groupBy("longitude", "latitude", "_day").agg(F.sum("_cw").alias("_cw"))
+    size = F.lit(max(within_km / KM_PER_DEGREE, grid.res))
+    tiles = {"_tx": F.floor(F.col("longitude") / size), "_ty": F.floor(F.col("latitude") / size)}
+    placed = spread(merged.withColumns(tiles), "_tx", "_ty", "_day")  # each event becomes thousands of cells
+    near = distance_weights(placed, grid, within_km, beta_dist)
+    near = near.groupBy("_tx", "_ty", "_day", "ix", "iy").agg(F.sum(F.col("_cw") * F.col("w")).alias("_w"))
     # Placed by cell once: daily impulses, their moments and the running totals all stay there.
-    impulses = spread(near, "ix", "iy").groupBy("ix", "iy", "_day").agg(F.sum("_w").alias("_w"))
-    scaled = F.col("_w") * F.exp(decay * (F.col("_day") - F.lit(_ANCHOR)))
+    impulses = spread(near.drop("_tx", "_ty"), "ix", "iy").groupBy("ix", "iy", "_day").agg(F.sum("_w").alias("_w"))
+    scaled = F.col("_w")
     none = F.lit(None).cast("double")
     moments = F.array(
         *[
             F.struct(
                 (F.col("_day") + age).alias("_day"), *[(scaled if i == k else none).alias(f"_m{i}") for i in range(3)]
             )
-            for k, age in enumerate((1, split + 1, oldest + 1))
+            for k, age in enumerate(ages)
         ]
     )
     impulses = impulses.select("ix", "iy", F.inline(moments)).where(F.col("_day") <= last_day)

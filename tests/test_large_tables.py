@@ -72,3 +72,74 @@ def test_wide_validation_shows_what_its_long_form_has(spark):
     assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "forecast_interval#" not in plan[: plan.index("Join")]  # the sides meet as one row a cell and date
+
+
+def test_partial_is_called_once_a_group_for_many_batches(spark):
+    from pyspark.sql import functions as F
+
+    from fieldgrid.checks.q_groups import slope
+    from fieldgrid.operators import groups
+
+    whole, calls = slope(), spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        calls.add(1)
+        return whole.partial(rows)
+
+    few = groups.Mergeable(whole.state, whole.out, counted, whole.merge, whole.finish)
+    df = spark.range(40_000, numPartitions=1).select((F.col("id") % 100).alias("k"), F.col("id").cast("int").alias("day"), F.col("id").cast("double").alias("v"))
+    assert {(r.n, round(r.slope, 9)) for r in groups.aggregate_groups(df, ["k"], few).collect()} == {(400, 1.0)}
+    assert calls.value == 100
+
+
+def test_weather_is_placed_by_cell_on_all_partitions(spark, orders_dir):
+    from fieldgrid.checks import adapters
+
+    plan = adapters.daily(spark, orders_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan and plan.index("Exchange") > plan.rindex("HashAggregate")
+
+
+def test_key_coverage_groups_keys_once(spark):
+    from fieldgrid.operators import joins
+
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k int")
+    out = joins.key_coverage({"a": keys(1, 2, 2, None, 3), "b": keys(2, 3, 3, None), "c": keys(3)}, ["k"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("HashAggregate(keys=[k#") == 2
+    assert sorted((r.step, r.surviving) for r in out.collect()) == [(1, 4), (2, 3), (3, 1)]
+
+
+def test_blocks_of_listings_are_cut_from_arrays(spark):
+    from fieldgrid.sources import readers
+
+    one = "Band 1\nX = 0\nDescription = a  b \r\n  Metadata:\n A = 1=2\nA = 9\nB =\nDescription = c\n B =  x  y"
+    rows = [("f", one), ("g", one), ("g", one), (None, "Description=z\nA=7"), ("h", None), ("i", "A = 1")]
+    df = spark.createDataFrame(rows, "file string, text string").repartition(3)
+    out = readers.parse_key_value_blocks(df, "text", ["A", "B"], ["file"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = sorted(map(tuple, out.collect()), key=repr)
+    want = [("f", 1, "1=2", ""), ("f", 2, None, "x y"), ("g", 1, None, None), ("g", 2, "1=2", ""), ("g", 3, None, None), ("g", 4, None, "x y"), (None, 1, "7", None)]
+    assert got == sorted(want, key=repr)
+
+
+def test_history_merges_days_that_no_date_tells_apart(spark):
+    from fieldgrid.plans import events
+
+    dates = [D(2020, 1, 15), D(2020, 2, 15), D(2020, 2, 20)]
+    frame = spark.createDataFrame([(x,) for x in dates] + [(dates[0],)], "date date")
+    ages = (1, 10, 40)
+    number = lambda x: (x - D(1970, 1, 1)).days
+    got = {r._event_day: r._day for r in events._told_apart(frame, ages).collect()}
+    assert set(got) == set(range(number(dates[0]) - 40, number(dates[-1])))
+    reached = lambda e: [e + a <= number(x) for x in dates for a in ages]
+    assert all(e <= m and reached(e) == reached(m) for e, m in got.items()) and len(set(got.values())) <= 9
+    assert events._told_apart(frame.where("false"), ages).count() == 0
+
+
+def test_district_days_are_stored_once(spark, orders_dir, monkeypatch):
+    from fieldgrid.checks import q_boosting
+
+    frame = spark.createDataFrame([("r", D(1999, 1, 1), 2.0, 1)], "region string, date date, quantity double, outbreak int")
+    monkeypatch.setattr(q_boosting.a, "region_rows", lambda spark, d: frame)
+    plan = q_boosting.rows(spark, orders_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" in plan and "LocalTableScan" not in plan and "Project" not in plan
