@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,21 +87,30 @@ def parse_key_value_blocks(
 
     ``text`` is the whole metadata listing of one file, so lines keep their order inside the row and blocks are
     built per file.  Band and metadata headings, lines without ``=`` and everything before the first block are
-    skipped.
+    skipped.  Lines stay in arrays, a row per file: only what the blocks are made of is moved, once.
     """
-    lines = df.select(*keys, F.posexplode(F.split(text, r"\r?\n")).alias("_pos", "_line"))
-    lines = lines.where(F.contains("_line", F.lit("=")) & ~F.rlike("_line", F.lit("^Band|BAND|Metadata|METADATA")))
     squish = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    cut_at = F.instr("_line", "=")
-    pairs = lines.select(
-        *keys,
-        "_pos",
-        squish(F.substring("_line", F.lit(1), cut_at - 1)).alias("_name"),
-        squish(F.expr("substring(_line, instr(_line, '=') + 1)")).alias("_value"),
+
+    def pair(line, pos):
+        at = F.instr(line, "=")
+        return F.struct(
+            pos.alias("pos"),
+            squish(F.substring(line, F.lit(1), at - 1)).alias("name"),
+            squish(F.substring(line, at + 1, F.length(line))).alias("value"),
+        )
+
+    numbered = F.transform(F.split(text, r"\r?\n"), lambda line, pos: F.struct(pos.alias("pos"), line.alias("line")))
+    lines = F.filter(numbered, lambda x: F.contains(x["line"], F.lit("=")) & ~F.rlike(x["line"], F.lit("^Band|BAND|Metadata|METADATA")))
+    pairs = F.filter(F.transform(lines, lambda x: pair(x["line"], x["pos"])), lambda p: p["name"].isin([opener, *names]))
+    files = df.select(*keys, pairs.alias("_pairs")).repartition(*keys).groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("_pairs"))).alias("_pairs"))
+    at = F.filter(F.transform("_pairs", lambda p, i: F.when(p["name"] == opener, i + 1)), lambda i: i.isNotNull())
+    opened = files.withColumn("_at", F.concat(at, F.array(F.size("_pairs") + 1)))
+    parts = F.transform(
+        F.slice("_at", F.lit(1), F.size("_at") - 1), lambda i, n: F.slice("_pairs", i, F.element_at("_at", (n + 2).cast("int")) - i)
     )
-    w = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = pairs.withColumn("band", F.sum((F.col("_name") == opener).cast("int")).over(w))
-    return blocks.where(F.col("band") > 0).groupBy(*keys, "band").pivot("_name", list(names)).agg(F.first("_value"))
+    blocks = opened.select(*keys, F.posexplode(parts).alias("_n", "_block"))
+    first_of = lambda name: F.get(F.filter("_block", lambda p: p["name"] == name), F.lit(0))["value"]
+    return blocks.select(*keys, (F.col("_n") + 1).cast("long").alias("band"), *[first_of(n).alias(n) for n in names])
 
 
 def grib_fields(meta: DataFrame) -> DataFrame:
