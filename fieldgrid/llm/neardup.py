@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .common import cut
 from .textkernel import Words, _span_hash, mix, text_slices, words
 
@@ -38,6 +39,7 @@ PERCENT = 85
 FINE = 2048  # coordinates, one bit each, by which pairs of one bucket are compared before they are verified
 EDGES = 250_000  # of the component search, for each task
 BLOCK = 1024  # classes of a bucket compared at once
+WANTED = 2_000_000  # rows of four numbers that go to every task instead of all texts to them
 
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 _OTHER = np.uint64(0x8CB92BA72F3D8DD7)
@@ -142,7 +144,8 @@ def full_sets(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
     ``wanted`` has ``_key, _text, node, half``: key, which may be null, and hash of the text of a row that has the set,
     and the first half of the set's identity.
-    ``documents`` has ``_key`` and the text.
+    ``documents`` has ``_key`` and the text.  Up to ``WANTED`` wanted rows are broadcast, so texts stay where they are;
+    more are joined by shuffle.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +162,7 @@ def full_sets(documents: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 at += len(edges) - 1
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["node", "half", "own", "elements"])
 
+    wanted = broadcast_if_small(wanted, WANTED)
     known = documents.where("_key IS NOT NULL").join(wanted.where("_key IS NOT NULL").withColumnRenamed("_text", "_h"), "_key")
     known = known.where(F.xxhash64(text) == F.col("_h")).select("node", "half", text)
     nameless = documents.where("_key IS NULL").select(text, F.xxhash64(text).alias("_text")).dropDuplicates(["_text"])

@@ -197,3 +197,21 @@ def test_benchmark_odd_input(spark, odd):
     assert Counter(r.doc_id for r in rows) == Counter(d.doc_id for d in odd.collect())
     assert {r.n_items for r in rows if r.doc_id == 10} == {1} and decontamination.report(odd.limit(0), bench).count() == 0
     assert all(r.n_hit == 0 for r in decontamination.report(odd, bench.limit(0)).collect())
+
+
+def test_texts_stay_where_they_are_while_few_are_wanted(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i % 40 if i % 9 else None, " ".join(f"w{(i % 50 + j) % 60}" for j in range(30))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "_key long, text string").repartition(3)
+    wanted = docs.select("_key", F.xxhash64("text").alias("_text"), F.xxhash64("text").alias("node"), F.lit(0).cast("long").alias("half"))
+    whole = neardup.full_sets(docs, "text", wanted)
+    assert "BroadcastHashJoin" in whole._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(neardup, "WANTED", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        apart = neardup.full_sets(docs, "text", wanted)
+        assert "SortMergeJoin" in apart._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, apart.collect())) == sorted(map(repr, whole.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
