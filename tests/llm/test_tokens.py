@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from fieldgrid.llm import packing, records
+from fieldgrid.llm import packing, records, tokens
 from fieldgrid.llm.common import shared_folder, vocabulary
 from fieldgrid.llm.tokens import PieceEncoder
 
@@ -33,6 +33,33 @@ def test_pieces_give_the_ids_of_whole_texts(name, kept, documents):
     assert [x + end for x in coder.encode(texts)] == direct(name, texts, 9)
 
 
+@pytest.mark.parametrize(("name", "kept"), [(WORD, False), (BYTE, True)])
+def test_words_reach_the_library_once_whatever_signs_and_blanks_are_beside_them(name, kept, monkeypatch):
+    words = [f"{a}{b}" for a in ("ver", "Stra", "mé", "KO") for b in ("den", "ßen", "tal", "ÜR")]
+    beside = ["{}!!", "({})", "{}.\n\n", "  {}", "{}12", "\t{}'s", '"{}"', "{};"]
+    texts = [" ".join(b.format(w) for w in words) for b in beside] * 3
+    want = direct(name, texts, 9)
+    coder, end = PieceEncoder(vocabulary(name), kept), np.array([9], "<u4").tobytes()
+    calls = Counter()
+    encoded, limit = coder._encoded, len(words) * 2 + 60
+    monkeypatch.setattr(coder, "_whole", lambda text: pytest.fail("a plain text was encoded whole"))
+    monkeypatch.setattr(coder, "_encoded", lambda pieces: calls.update(n=len(pieces)) or encoded(pieces))
+    assert [x + end for x in coder.encode(texts)] == want
+    assert calls["n"] <= limit  # words with and without a blank, and signs
+
+
+@pytest.mark.parametrize(("name", "kept"), [(WORD, False), (BYTE, True)])
+def test_small_cache_and_slices_give_the_same_ids(name, kept, monkeypatch):
+    r = random.Random(11)
+    signs = ["one", "Tŵo", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\u00a0", "\u3000", "\x1c", "\x85", ".", "'", "'ll", "7", "\u0301", "h\u0331", "\u0338", "=", "中", "×", "\0", "<|endoftext|>"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(0, 12))) for _ in range(6000)] + ["x\t ", "x\t\n", "x\n\t", None]
+    monkeypatch.setattr(tokens, "SLICE", 500)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 4000)
+    coder, end = PieceEncoder(vocabulary(name), kept), np.array([9], "<u4").tobytes()
+    assert [x + end for x in coder.encode(texts)] == direct(name, texts, 9)
+    assert coder.pieces.nbytes < 20_000
+
+
 def check_pieces(rows, ids, limit=2048):
     sequences, pieces = defaultdict(list), defaultdict(list)
     for r in rows:
