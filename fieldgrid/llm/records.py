@@ -27,7 +27,7 @@ from .tokens import encoder
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<qIB")  # document id, number of ids, flags
 _NULL_ID, _WIDE, _PACKED = 1, 2, 4
-BATCH = 256
+BATCH = 1024
 
 
 def masked(data: bytes) -> int:
@@ -158,7 +158,7 @@ def write_records(documents: DataFrame, folder: str, vocabulary: str, end_id: in
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH):
                 keys = batch.column(0).slice(k, BATCH).to_pylist()
-                ids = [x + end for x in coder.encode(batch.column(1).slice(k, BATCH).to_pylist())]
+                ids = [x + end for x in coder.encode(batch.column(1).slice(k, BATCH))]
                 shard = [0 if d is None else int(np.searchsorted(edges, d, side="left")) for d in keys]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard, pa.int32()), pa.array(keys, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([payload_of(d, x, pack) for d, x in zip(keys, ids)], pa.binary())],
