@@ -1,11 +1,15 @@
 """What must not depend on how much there is of something."""
 
+import random
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldgrid.llm import decontamination, neardup, packing, secrets, toxicity
+from fieldgrid.llm import decontamination, neardup, packing, secrets, textkernel, toxicity
 from fieldgrid.llm.common import vocabulary
 
 
@@ -73,3 +77,24 @@ def test_pair_scores_are_sums_over_neighbours(spark):
 @pytest.mark.parametrize("bad", ["", "x"])
 def test_training_on_short_tokens(spark, bad):
     assert secrets.train(spark.createDataFrame([(bad, True), (bad, False)], "token string, random boolean")) == {}
+
+
+def test_features_of_many_texts_take_little_memory():
+    r = random.Random(1)
+    texts = pa.array([" ".join(f"w{r.randrange(10**5)}" for _ in range(300)) for _ in range(1500)])
+
+    def found(most):
+        parts = []
+        for row, _, data, offsets in textkernel.text_slices(texts, most):
+            codes, doc = toxicity._distinct(*toxicity.features(textkernel.words(data, offsets, textkernel.SIGNS, lower=True)))
+            parts.append(np.stack([codes, doc + row]))
+        return np.concatenate(parts, axis=1)
+
+    assert (found(1 << 30) == found(textkernel.SLICE_BYTES)).all()
+    tracemalloc.start()
+    try:
+        for _, _, data, offsets in textkernel.text_slices(texts):
+            toxicity._distinct(*toxicity.features(textkernel.words(data, offsets, textkernel.SIGNS, lower=True)))
+        assert tracemalloc.get_traced_memory()[1] < 60e6  # 120 million by slices of 2 MB
+    finally:
+        tracemalloc.stop()
