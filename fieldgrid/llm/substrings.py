@@ -9,6 +9,8 @@ repeated.
   others at once, so a passage found in many documents is sent once per slice.
 * A minimiser with a large share of all windows is split by a second minimiser, also a function of the window alone.
 * Pieces of a slice that go to one bucket form one compressed row.
+* Hashes are made a block at a time and only windows whose first hash is not alone are compared further, so a worker
+  keeps little beside the windows of one slice or bucket.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import Words, _span_hash, mix, text_slices, words
+from .common import cut
+from .textkernel import Words, _span_hash, mix, span_blocks, span_hashes, text_slices, words
 
 WINDOW, MER = 20, 4
 SLICE_BYTES = 8 << 20  # texts whose windows are compared and sent together
@@ -34,18 +37,26 @@ _HEAD = struct.Struct("<II")
 
 def _second(w: Words, at: np.ndarray) -> np.ndarray:
     """A second, independent hash of the windows."""
-    return _span_hash(mix(w.code ^ _OTHER), at, at + WINDOW)
+    return span_hashes(w.code, at, at + WINDOW, lambda code: mix(code ^ _OTHER))
+
+
+def _owners(w: Words) -> np.ndarray:
+    """Text of each window, in the order of ``Words.sequences``."""
+    return np.repeat(np.arange(len(w.first) - 1), np.maximum(np.diff(w.first) - WINDOW + 1, 0))
 
 
 def _minimisers(w: Words, at: np.ndarray, seed: np.uint64) -> np.ndarray:
-    """Least ordered hash of the word runs inside each window."""
-    runs = _span_hash(w.code, np.arange(len(w.code) - MER + 1), np.arange(MER, len(w.code) + 1))
-    runs = mix(runs ^ seed)
-    n, step = WINDOW - MER + 1, 1
-    while 2 * step <= n:  # doubling: the least of 2, 4, 8 .. neighbours
-        runs = np.minimum(runs[:-step], runs[step:])
-        step *= 2
-    return np.minimum(runs[at], runs[at + n - step])
+    """Least ordered hash of the word runs inside each window; ``at`` ascends."""
+    out = np.empty(len(at), np.uint64)
+    for i, j in span_blocks(at, at + WINDOW):
+        code, place = w.code[at[i] : at[j - 1] + WINDOW], at[i:j] - at[i]
+        runs = mix(_span_hash(code, np.arange(len(code) - MER + 1), np.arange(MER, len(code) + 1)) ^ seed)
+        n, step = WINDOW - MER + 1, 1
+        while 2 * step <= n:  # doubling: the least of 2, 4, 8 .. neighbours
+            runs = np.minimum(runs[:-step], runs[step:])
+            step *= 2
+        out[i:j] = np.minimum(runs[place], runs[place + n - step])
+    return out
 
 
 def _buckets(w: Words, at: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,15 +69,30 @@ def _buckets(w: Words, at: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[n
     return key, (mix(key) % np.uint64(buckets)).astype(np.int64)
 
 
-def _repeated(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """True for windows that also start earlier: in a smaller document, or earlier in the same one."""
-    order = np.lexsort((at, tag, doc, h2, h1))
-    a, b, d, t, p = h1[order], h2[order], doc[order], tag[order], at[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+def _alike(h: np.ndarray) -> np.ndarray:
+    """Ascending indices of the hashes that occur more than once."""
+    order = np.argsort(h)
+    same = np.diff(h[order]) == 0
+    return np.sort(order[np.append(same, False) | np.append(False, same)]) if len(h) else order
+
+
+def _ranks(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Rank of each row's document in the order of id and tag, shifted to leave room for a place in it."""
+    order = np.lexsort((tag, doc))
+    new = (np.diff(doc[order]) != 0) | (np.diff(tag[order]) != 0)
+    rank = np.zeros(len(doc), np.int64)
+    rank[order[1:]] = np.cumsum(new)
+    return rank << 32
+
+
+def _repeated(h1: np.ndarray, h2: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """True for windows that also start earlier; ``at`` is a document's rank plus the place in it."""
+    order = np.lexsort((at, h2, h1))
+    new = np.append(True, np.diff(h1[order]) != 0) if len(order) else np.zeros(0, bool)
+    new[1:] |= np.diff(h2[order]) != 0
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     out = np.zeros(len(order), bool)
-    out[order] = (d != d[head]) | (t != t[head]) | (p != p[head])
+    out[order] = at[order] != at[head]
     return out
 
 
@@ -84,8 +110,8 @@ def _runs(doc: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarra
 def hot_minimisers(texts: DataFrame, buckets: int) -> np.ndarray:
     """Minimisers with more windows than a quarter of a mean bucket, counted over all texts.
 
-    Tasks report those above a twentieth of a bucket's share of their own windows; the list is bounded by the number
-    of buckets.  It balances buckets and changes no result.
+    Tasks report those above a twentieth of a bucket's share of their own windows, and under no key the number of all;
+    the list is bounded by the number of buckets.  It balances buckets and changes no result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,17 +122,18 @@ def hot_minimisers(texts: DataFrame, buckets: int) -> np.ndarray:
                 if not len(at):
                     continue
                 _, one = np.unique(h, return_index=True)  # windows that are sent
-                key, n = np.unique(_minimisers(w, at[one], _SEED_1), return_counts=True)
+                key, n = np.unique(_minimisers(w, at[np.sort(one)], _SEED_1), return_counts=True)
                 big = n > max(8, len(one) / (20 * buckets))
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(key[big], np.uint64(0)).view(np.int64)), pa.array(np.append(n[big], 0)), pa.array(np.append(np.zeros(big.sum(), np.int64), len(one)))], names=["key", "n", "all"])
+                keys = pa.array(np.append(key[big], np.uint64(0)).view(np.int64), mask=np.append(np.zeros(big.sum(), bool), True))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.append(n[big], len(one)))], names=["key", "n"])
 
-    seen = texts.mapInArrow(count, "key long, n long, all long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
-    total = seen.agg(F.sum("all")).first()[0] or 0
-    rows = seen.where(F.col("n") > total / (4 * buckets)).select("key").collect()
+    seen = cut(texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))  # texts are read once
+    total = seen.where("key IS NULL").agg(F.sum("n")).first()[0] or 0
+    rows = seen.where(F.col("key").isNotNull() & (F.col("n") > total / (4 * buckets))).select("key").collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
-def _pack(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, pieces: list[bytes], settled: tuple[np.ndarray, ...]) -> bytes:
+def _pack(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, pieces: list[memoryview], settled: tuple[np.ndarray, ...]) -> bytes:
     sizes = np.array([len(p) for p in pieces], "<u4")
     head = _HEAD.pack(len(pieces), len(settled[0]))
     return b"".join([head, docs.astype("<i8").tobytes(), tags.astype("<i8").tobytes(), starts.astype("<u4").tobytes(), sizes.tobytes(), settled[0].astype("<i8").tobytes(), settled[1].astype("<i8").tobytes(), settled[2].astype("<u4").tobytes(), settled[3].astype("<u4").tobytes(), *pieces])
@@ -137,28 +164,33 @@ def repeated_ranges(documents: DataFrame, key: str = "doc_id", text: str = "text
         for batch in batches:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             tags = batch.column(2).to_numpy(zero_copy_only=False)
-            for lo, _, data, offsets in text_slices(batch.column(1), SLICE_BYTES):
+            for lo, hi, data, offsets in text_slices(batch.column(1), SLICE_BYTES):
                 w = words(data, offsets)
                 at, h1 = w.sequences(WINDOW)
                 if not len(at):
                     continue
-                row = np.searchsorted(w.first, at, side="right") - 1
-                doc, tag, place = ids[lo + row], tags[lo + row], at - w.first[row]
-                settled = _repeated(h1, _second(w, at), doc, tag, place)
-                a, b = _runs(row[settled], at[settled])
-                done = (doc[settled][a], tag[settled][a], place[settled][a], place[settled][b] + WINDOW)
-                at, row, doc, tag, place = at[~settled], row[~settled], doc[~settled], tag[~settled], place[~settled]
+                row, settled = _owners(w), np.zeros(len(at), bool)
+                own = lambda at, row: (ids[lo + row], tags[lo + row], at - w.first[row])
+                some = _alike(h1)
+                here = (_ranks(ids[lo:hi], tags[lo:hi]) - w.first[:-1])[row[some]] + at[some]
+                settled[some] = _repeated(h1[some], _second(w, at[some]), here)
+                del h1, some, here
+                first, last = _runs(row[settled], at[settled])
+                first, last = np.flatnonzero(settled)[first], np.flatnonzero(settled)[last]
+                done = (*own(at[first], row[first]), at[last] - w.first[row[last]] + WINDOW)
+                at, row = at[~settled], row[~settled]
                 mini, bucket = _buckets(w, at, hot, buckets)
                 a, b = _runs(row, at, mini)
                 order = np.argsort(bucket[a], kind="stable")
                 a, b = a[order], b[order]
+                docs, mine, places = own(at[a], row[a])
                 low, high = w.start[at[a]], w.end[at[b] + WINDOW - 1]
                 edges = np.append(np.flatnonzero(np.diff(bucket[a], prepend=-1)), len(a))
                 none = tuple(np.zeros(0, np.int64) for _ in range(4))
-                raw, out = data.tobytes(), []
+                raw, out = memoryview(data), []
                 for k, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
                     pieces = [raw[x:y] for x, y in zip(low[i:j].tolist(), high[i:j].tolist())]
-                    out.append((int(bucket[a[i]]), pack.compress(_pack(doc[a[i:j]], tag[a[i:j]], place[a[i:j]], pieces, done if k == 0 else none))))
+                    out.append((int(bucket[a[i]]), pack.compress(_pack(docs[i:j], mine[i:j], places[i:j], pieces, done if k == 0 else none))))
                 if not out:
                     out.append((0, pack.compress(_pack(none[0], none[0], none[0], [], done))))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
@@ -166,7 +198,8 @@ def repeated_ranges(documents: DataFrame, key: str = "doc_id", text: str = "text
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unpack, parts = zstandard.ZstdDecompressor(), []
+        unpack, size = zstandard.ZstdDecompressor(), 0
+        parts, owners = ([], [], [], []), []  # of windows: two hashes, piece, place; of pieces: document, tag
 
         def ranges(doc, tag, start, stop) -> pa.RecordBatch:
             known = pa.array(doc, pa.int64(), mask=doc == NULL_ID)
@@ -180,15 +213,27 @@ def repeated_ranges(documents: DataFrame, key: str = "doc_id", text: str = "text
                 if len(docs):
                     w = words(data, np.append(0, np.cumsum(sizes)))
                     at, h1 = w.sequences(WINDOW)
-                    piece = np.searchsorted(w.first, at, side="right") - 1
-                    parts.append((h1, _second(w, at), docs[piece], tags[piece], (starts[piece] + at - w.first[piece]).astype(np.int32)))
-        if parts:
-            h1, h2, doc, tag, place = (np.concatenate(x) for x in zip(*parts))
-            parts.clear()
-            again = _repeated(h1, h2, doc, tag, place)
-            doc, tag, place = doc[again], tag[again], place[again]
-            order = np.lexsort((place, tag, doc))
-            doc, tag, place = doc[order], tag[order], place[order]
+                    piece = _owners(w)
+                    found = (h1, _second(w, at), (size + piece).astype(np.int32), (starts[piece] + at - w.first[piece]).astype(np.int32))
+                    for one, x in zip(parts, found):
+                        one.append(x)
+                    owners.append((docs, tags))
+                    size += len(docs)
+        if owners:
+
+            def whole(k: int) -> np.ndarray:
+                out = np.concatenate(parts[k])
+                parts[k].clear()
+                return out
+
+            h1 = whole(0)
+            some = _alike(h1)
+            h1, h2, piece, place = h1[some], *(whole(k)[some] for k in (1, 2, 3))
+            doc, tag = (np.concatenate(x) for x in zip(*owners))
+            at = _ranks(doc, tag)[piece] + place
+            again = np.flatnonzero(_repeated(h1, h2, at))
+            again = again[np.argsort(at[again])]
+            doc, tag, place = doc[piece[again]], tag[piece[again]], place[again]
             a, b = _runs(doc, place, tag)
             yield ranges(doc[a], tag[a], place[a], place[b] + WINDOW)
 
@@ -223,10 +268,10 @@ def keep_first(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, removed, kept = [], [], []
             starts, stops, copy = batch.column(2), batch.column(3), batch.column(4).to_numpy()
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 w, raw = words(data, offsets), data.tobytes()
+                n_words, removed, kept = [], [], []
                 for d in range(lo, hi):
                     first, last = int(w.first[d - lo]), int(w.first[d - lo + 1])
                     keep = np.ones(last - first, bool)
@@ -241,7 +286,7 @@ def keep_first(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
                     n_words.append(last - first)
                     removed.append(last - first - len(low))
                     kept.append(b" ".join([raw[x:y] for x, y in zip(low, high)]).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[key, "n_words", "n_removed", "kept_text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[key, "n_words", "n_removed", "kept_text"])
 
     return joined.mapInArrow(finish, f"{key} long, n_words long, n_removed long, kept_text string")
 

@@ -3,13 +3,14 @@
 import random
 import time
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldgrid.llm import decontamination, neardup, packing, secrets, textkernel, toxicity
+from fieldgrid.llm import decontamination, neardup, packing, secrets, substrings, textkernel, toxicity
 from fieldgrid.llm.common import vocabulary
 
 
@@ -98,3 +99,61 @@ def test_features_of_many_texts_take_little_memory():
         assert tracemalloc.get_traced_memory()[1] < 60e6  # 120 million by slices of 2 MB
     finally:
         tracemalloc.stop()
+
+
+def test_hashes_of_spans_do_not_depend_on_blocks(monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join("x" * r.randrange(1, 9) + str(r.randrange(50)) for _ in range(r.randrange(90))) for _ in range(30)] + ["", "y" * 500, None]
+    ((_, _, data, offsets),) = textkernel.text_slices(pa.array(texts, pa.string()))
+
+    def found():
+        w = textkernel.words(data, offsets)
+        at, h = w.sequences(substrings.WINDOW)
+        assert (substrings._owners(w) == np.searchsorted(w.first, at, side="right") - 1).all()
+        some = at[::7]
+        return [w.code, at, h, substrings._second(w, at), substrings._minimisers(w, at, np.uint64(3)), substrings._second(w, some), substrings._minimisers(w, some, np.uint64(3))]
+
+    whole = found()
+    w = textkernel.words(data, offsets)
+    assert (whole[0] == textkernel._span_hash(textkernel._BYTE_CODE[data], w.start, w.end)).all()
+    assert (whole[2] == textkernel._span_hash(w.code, whole[1], whole[1] + substrings.WINDOW)).all()
+    monkeypatch.setattr(textkernel, "BLOCK", 23)
+    assert all((a == b).all() for a, b in zip(whole, found()))
+
+
+def test_windows_of_a_slice_take_little_room():
+    r = np.random.default_rng(6)
+    text = " ".join(f"w{x}" for x in r.integers(0, 10**6, substrings.SLICE_BYTES // 8))
+    texts = pa.array([text[i : i + 4000] for i in range(0, len(text), 4000)], pa.string())
+    tracemalloc.start()
+    try:
+        for _, _, data, offsets in textkernel.text_slices(texts, substrings.SLICE_BYTES):
+            w = textkernel.words(data, offsets)
+            at, _ = w.sequences(substrings.WINDOW)
+            substrings._second(w, at)
+            substrings._minimisers(w, at, np.uint64(3))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 14 * substrings.SLICE_BYTES  # bytes kept for each byte of text
+
+
+def test_minimisers_are_counted_in_one_pass_over_the_texts(spark, monkeypatch):
+    stored = []
+    whole = substrings.cut
+    monkeypatch.setattr(substrings, "cut", lambda df: (stored.append(df), whole(df))[1])
+    common = " ".join(f"c{i}" for i in range(24))
+    own = lambda i: " ".join(f"v{i}x{j}" for j in range(30))
+    rows = [f"{own(i)} {common} {i}" for i in range(400)]
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 4000)
+    found = substrings.hot_minimisers(spark.createDataFrame([(x,) for x in rows], "text string").coalesce(1), 8)
+    seen, total = Counter(), 0
+    for _, _, data, offsets in textkernel.text_slices(pa.array(rows), 4000):
+        w = textkernel.words(data, offsets)
+        at, h = w.sequences(substrings.WINDOW)
+        at = at[np.sort(np.unique(h, return_index=True)[1])]
+        counts = Counter(substrings._minimisers(w, at, substrings._SEED_1).tolist())
+        seen.update({k: n for k, n in counts.items() if n > max(8, len(at) / 160)})
+        total += len(at)
+    assert found.tolist() == sorted(k for k, n in seen.items() if n > total / 32) and len(found)
+    assert len(stored) == 1 and stored[0].columns == ["key", "n"]
