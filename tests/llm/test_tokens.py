@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from fieldgrid.llm import packing, records, tokens
 from fieldgrid.llm.common import shared_folder, vocabulary
+from fieldgrid.llm.queries import QUERIES
 from fieldgrid.llm.tokens import PieceEncoder
 
 from .conftest import ODD_TEXTS
@@ -96,6 +97,60 @@ def test_packing_odd_input(spark, odd):
     assert packing.pack_documents(odd.limit(0), vocabulary(WORD)).count() == 0
 
 
+def ids_in(sequence, piece):
+    return sequence.ids[4 * piece.offset : 4 * (piece.offset + piece.length)]
+
+
+def test_sequences_hold_the_ids_that_the_pieces_speak_of(odd):
+    docs = odd.collect()
+    want = Counter((d.doc_id, x) for d, x in zip(docs, direct(WORD, [d.text for d in docs], 1)))
+    sequences = packing.pack_sequences(odd, vocabulary(WORD), pad_id=7).collect()
+    assert any(s.n_tokens < 2048 for s in sequences)
+    parts = defaultdict(dict)
+    for s in sequences:
+        size = s.n_tokens if s.n_tokens & (s.n_tokens - 1) == 0 else 2048
+        assert len(s.ids) == 4 * size and s.ids[4 * s.n_tokens :] == np.full(size - s.n_tokens, 7, "<u4").tobytes()
+        assert (s.n_tokens, s.n_segments) == (sum(p.length for p in s.pieces), len(s.pieces))
+        assert s.n_loss == s.n_tokens - sum(p.start == 0 for p in s.pieces)
+        for p in s.pieces:
+            parts[p.doc_id, p.doc_tokens].setdefault(p.start, []).append(ids_in(s, p))
+    assert sum(map(sum, ((len(y) // 4 for y in x) for v in parts.values() for x in v.values()))) == sum(len(x) // 4 * n for (_, x), n in want.items())
+    for (doc, ids), n in want.items():  # rows that share id and length are short here, and not cut
+        pieces = parts[doc, len(ids) // 4]
+        if sum(k for (d, x), k in want.items() if (d, len(x)) == (doc, len(ids))) > 1:
+            assert pieces[0].count(ids) == n
+        else:
+            assert b"".join(x for start in sorted(pieces) for x in pieces[start]) == ids
+
+
+@pytest.mark.parametrize(("rows", "size"), [(64, 64), (65, 2048), (2047, 2048)])
+def test_a_sequence_is_filled_up_unless_its_length_is_a_power_of_two(spark, rows, size):
+    docs = spark.createDataFrame([(i, None) for i in range(rows)], "doc_id long, text string").repartition(2)
+    (s,) = packing.pack_sequences(docs, vocabulary(WORD)).collect()
+    assert (s.n_tokens, s.n_segments, s.n_loss) == (rows, rows, 0)
+    assert np.frombuffer(s.ids, "<u4").tolist() == [1] * rows + [0] * (size - rows)
+
+
+def test_one_long_document_and_other_limits(spark):
+    docs = spark.createDataFrame([(1, "word " * 50_000), (2, "other words"), (None, "")], "doc_id long, text string").coalesce(1)
+    (long,) = direct(WORD, ["word " * 50_000], 1)
+    rows = packing.pack_sequences(docs, vocabulary(WORD), limits=(1000, 2, 999)).collect()
+    assert all(s.n_tokens <= 1000 and s.n_segments <= 2 and s.n_loss <= 999 for s in rows)
+    found = sorted((p.start, ids_in(s, p)) for s in rows for p in s.pieces if p.doc_id == 1)
+    assert b"".join(x for _, x in found) == long
+    assert packing.pack_sequences(docs.limit(0), vocabulary(WORD)).isEmpty()
+
+
+def test_the_query_reads_its_rows_off_whole_sequences(odd, tmp_path, spark, monkeypatch):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    made, whole = [], packing.pack_sequences
+    monkeypatch.setattr(packing, "pack_sequences", lambda *a, **k: made.append(whole(*a, **k)) or made[-1])
+    rows = QUERIES["op3_packing"](spark, str(tmp_path)).collect()
+    (sequences,) = made
+    want = Counter((p.doc_id, p.start, p.length, zlib.crc32(ids_in(s, p)), p.doc_tokens, s.sequence_id, p.offset) for s in sequences.collect() for p in s.pieces)
+    assert Counter(map(tuple, rows)) == want
+
+
 def test_limits_on_segments_and_loss(spark):
     r = random.Random(1)
     rows = [(i, n := r.randrange(1, 90), r.randrange(0, n + 1)) for i in range(2000)] + [(-1, 500, 10), (-2, None, None)]
